@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wordmill.functions.arrays import unnest
 from wordmill.functions.hashing import hash_key
 from wordmill.operators.features import bucket_histogram, ordered_pairs
-from wordmill.operators.scale import broadcast_if_small, join_by_token, settle, take_first
+from wordmill.operators.scale import join_by_token, settle, take_first
 from wordmill.operators.vocab import bucketize, field_tokens, label_prior, token_buckets
 
 
@@ -139,7 +139,7 @@ def pair_matrix(cells: DataFrame) -> DataFrame:
     cells = settle(cells, "cells")
     diagonal = cells.where("b1 = b2").select("label", F.col("b1").alias("top"), F.col("n").alias("d"))
     joined = cells.withColumn("top", F.greatest("b1", "b2")).join(
-        broadcast_if_small(settle(diagonal, "diagonal")), ["label", "top"], "left"
+        settle(diagonal, "diagonal"), ["label", "top"], "left"
     )
     return joined.select("label", "b1", "b2", F.coalesce(F.col("n") / F.col("d"), F.lit(0.0)).alias("ratio"))
 
@@ -307,6 +307,6 @@ def probe_rows(df: DataFrame, keep: list[str], token: str, split: str, mapping:
     for kind, label in (("word", "word"), ("control", "control_word")):
         own = rows.select(*keep, split, "token", F.lit(kind).alias("kind"), F.col(label).alias("label"))
         seen = settle(train.select(F.col(label).alias("label")).distinct(), "seen")
-        test = own.where(F.col(split) != "train").join(broadcast_if_small(seen), "label", "left_semi")
+        test = own.where(F.col(split) != "train").join(seen, "label", "left_semi")
         parts.append(own.where(F.col(split) == "train").unionByName(test))
     return parts[0].unionByName(parts[1])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordmill.functions.arrays import unnest
 from wordmill.functions.text import basic_tokens, is_present
-from wordmill.operators.scale import broadcast_if_small, join_by_token, numbered, settle
+from wordmill.operators.scale import join_by_token, numbered, settle
 from wordmill.operators.vocab import field_tokens, token_buckets
 
 
@@ -18,13 +18,7 @@ def bow(df: DataFrame, key: str, cols: list[str], index: DataFrame) -> DataFrame
     outside the index are dropped.
     """
     size = index.count() if len(cols) > 1 else 0
-    tagged = [
-        F.transform(
-            F.coalesce(field_tokens(c), F.array().cast("array<string>")),
-            lambda t, at=at: F.struct(F.lit(at).alias("field"), t.alias("token")),
-        )
-        for at, c in enumerate(cols)
-    ]
+    tagged = [_field_words(at, c) for at, c in enumerate(cols)]
     counts = (
         unnest(df, [key], F.concat(*tagged), "t")
         .groupBy(key, "t.field", "t.token")
@@ -34,6 +28,11 @@ def bow(df: DataFrame, key: str, cols: list[str], index: DataFrame) -> DataFrame
     return hits.select(key, (F.col("idx") + F.col("field") * size).alias("idx"), "cnt")
 
 
+def _field_words(field: int, col: str) -> Column:
+    tokens = F.coalesce(field_tokens(col), F.array().cast("array<string>"))
+    return F.transform(tokens, lambda t: F.struct(F.lit(field).alias("field"), t.alias("token")))
+
+
 def cut_tokens(col: str, max_len: int) -> Column:
     return F.slice(basic_tokens(col), 1, max_len)
 
@@ -118,7 +117,7 @@ def pair_bow(df: DataFrame, key: str, col: str, buckets: DataFrame, max_len: int
         key, "p.b1", "p.b2", "p.n"
     )
     return (
-        pairs.join(broadcast_if_small(ranks), ["b1", "b2"])
+        pairs.join(ranks, ["b1", "b2"])
         .groupBy(key, "idx")
         .agg(F.sum("n").alias("cnt"))
     )

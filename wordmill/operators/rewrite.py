@@ -21,13 +21,7 @@ def _replace_tokens(
     small enough to broadcast; a larger map goes through the hot/cold join.
     """
     docs = df.select(key, *[c.alias(name) for name, c in arrays.items()])
-    tagged = [
-        F.transform(
-            F.coalesce(F.col(name), F.array().cast("array<string>")),
-            lambda t, i, at=at: F.struct(F.lit(at).alias("field"), i.alias("pos"), t.alias("token")),
-        )
-        for at, name in enumerate(arrays)
-    ]
+    tagged = [_tagged(at, name) for at, name in enumerate(arrays)]
     rows = (
         docs.repartition(key)
         .select(key, F.explode_outer(F.concat(*tagged)).alias("t"))
@@ -45,15 +39,22 @@ def _replace_tokens(
     )
     return lists.select(
         key,
-        *[
-            F.transform(
-                F.filter("items", lambda x, at=at: x["field"] == at), lambda x: x["w"]
-            ).alias(name)
-            for at, name in enumerate(arrays)
-        ],
+        *[_words_of(at).alias(name) for at, name in enumerate(arrays)],
+    )
+
+
+def _tagged(field: int, name: str) -> Column:
+    tokens = F.coalesce(F.col(name), F.array().cast("array<string>"))
+    return F.transform(
+        tokens,
+        lambda t, i: F.struct(F.lit(field).alias("field"), i.alias("pos"), t.alias("token")),
     )
 
 
+def _words_of(field: int) -> Column:
+    return F.transform(F.filter("items", lambda x: x["field"] == field), lambda x: x["w"])
+
+
 def apply_swap(df: DataFrame, key: str, cols: list[str], mapping: DataFrame) -> DataFrame:
     """Tokenise the text columns, replace every mapped word once, and join the words again.
 

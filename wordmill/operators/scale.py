@@ -32,6 +32,13 @@ def new_path(spark: SparkSession, name: str = "table") -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/wordmill-{name}-{uuid.uuid4().hex}"
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for compute-heavy work on a small table, which would otherwise be packed into a few."""
+    return max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+
+
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -52,31 +59,25 @@ def numbered(
 ) -> DataFrame:
     """Consecutive numbers in a global (or per-group) order without a single-task window.
 
-    A range-partitioned sort spreads even one huge group over all tasks; each row's number is its index
-    within its sorted partition plus the sizes of the partitions before it (one row per partition). In
-    the grouped form the number of the group's first row is subtracted.
+    A range-partitioned sort spreads even one huge group over all tasks and is written once. A row's
+    number is its place among its group's rows in its sorted partition plus the group's rows in earlier
+    partitions; the table of those offsets has at most (partitions + groups) rows.
     """
     by = by or []
-    low_bits = F.lit((1 << _LOCAL_BITS) - 1)
     ordered = settle(
         df.orderBy(*by, *order).withColumn("_at", F.monotonically_increasing_id()), "sorted"
     ).withColumn("_part", F.shiftright("_at", _LOCAL_BITS))
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = (
-        ordered.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(low_bits) + start)
-        .drop("_part", "_at", "_before")
-    )
-    if not by:
-        return placed
-    firsts = settle(placed.groupBy(*by).agg(F.min(name).alias("_first")), "firsts")
-    same = [placed[c].eqNullSafe(firsts[c]) for c in by]
-    return (
-        placed.join(broadcast_if_small(firsts), same)
-        .select(*[placed[c] for c in df.columns], (placed[name] - F.col("_first") + start).alias(name))
-    )
+    runs = ordered.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    offsets = runs.select("_part", *by, (before - F.col("_first") + start).alias("_offset"))
+    if by:
+        offsets = settle(offsets, "offsets")
+        same = [ordered["_part"] == offsets["_part"]] + [ordered[c].eqNullSafe(offsets[c]) for c in by]
+        joined = ordered.join(offsets, same)
+    else:
+        joined = ordered.join(F.broadcast(offsets), "_part")
+    return joined.select(*[ordered[c] for c in df.columns], (F.col("_at") + F.col("_offset")).alias(name))
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -97,11 +98,6 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return table_bytes(df) <= limit
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only for a settled table whose size was measured; otherwise the plain table."""
-    return F.broadcast(df) if is_small(df, limit) else df
-
-
 def join_by_token(rows: DataFrame, table: DataFrame, how: str = "inner", on: str = "token") -> DataFrame:
     """Equi-join of corpus tokens with a settled vocabulary-sized table, one row per token.
 
@@ -138,7 +134,7 @@ def mark_first(
     quota = n if isinstance(n, Column) else F.lit(n)
     left = quota - F.coalesce(F.sum("_n").over(before), F.lit(0))
     bins = settle(counts.select(*by, "_bin", "_n", left.alias("_left")), "bins")
-    placed = keyed.join(broadcast_if_small(bins), [*by, "_bin"])
+    placed = keyed.join(bins, [*by, "_bin"])
     whole = (F.col("_left") >= F.col("_n")) | (F.col("_left") <= 0)
     clear = placed.where(whole).withColumn("taken", F.col("_left") > 0)
     order_cut = [F.col("_digest"), *[F.col(t) for t in ties]]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wordmill.functions import fixed
 from wordmill.functions.hashing import hash_int, hash_key
 from wordmill.functions.text import norm_lev, utf8_length
-from wordmill.operators.scale import broadcast_if_small, numbered, settle
+from wordmill.operators.scale import numbered, settle
 from wordmill.operators.vocab import coarse_buckets, freq_rank, frequency_order
 from wordmill.operators.wordpiece import wordpieces
 
@@ -133,7 +133,7 @@ def swap_greedy(
     done = run(words)
     used = None
     while True:
-        single = done.where("partner is null").join(broadcast_if_small(last), by)
+        single = done.where("partner is null").join(last, by)
         leaving = settle(
             single.where("block < last").select(by, (F.col("block") + 1).alias("block"), *columns[2:]),
             "leaving",
@@ -146,8 +146,8 @@ def swap_greedy(
         moved = settle(moved, "moved")
         if moved.isEmpty():
             return _pairs_of(vocab, done)
-        again = words.unionByName(leaving).join(broadcast_if_small(moved), [by, "block"], "left_semi")
-        kept = done.join(broadcast_if_small(moved), [by, "block"], "left_anti")
+        again = words.unionByName(leaving).join(moved, [by, "block"], "left_semi")
+        kept = done.join(moved, [by, "block"], "left_anti")
         done = settle(kept.unionByName(run(again)), "walked")
         used = leaving
 
@@ -194,7 +194,7 @@ def _shuffled_groups(vocab: DataFrame, by: str, seed: int) -> tuple[DataFrame, D
         numbered(vocab.select("token", by), [hash_key(seed, "token")], [by], name="at", start=0), "placed"
     )
     sizes = settle(placed.groupBy(by).agg(F.count("*").alias("n")), "sizes")
-    return placed.join(broadcast_if_small(sizes), by), sizes
+    return placed.join(sizes, by), sizes
 
 
 def swap_rotate(vocab: DataFrame, seed: int, by: str = "n_pieces") -> DataFrame:
@@ -231,7 +231,7 @@ def swap_lemma(vocab: DataFrame, forms: str, seed: int, thr: float = THRESHOLD,
     )
     placed = settle(placed, "placed")
     sizes = settle(placed.groupBy("group").agg(F.count("*").alias("n")), "sizes")
-    sized = placed.join(broadcast_if_small(sizes), "group")
+    sized = placed.join(sizes, "group")
     # A list rotated right by k shows at position i what stood at i - k.
     aim = sized.withColumn("at2", (F.col("at") - F.floor(F.col("n") / 2) + F.col("n")) % F.col("n"))
     target = placed.select("group", F.col("at").alias("at2"), F.col("token").alias("dst"), F.col("forms").alias("dst_forms"))

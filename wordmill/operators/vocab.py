@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wordmill.functions.arrays import unnest, unnest_with_position
 from wordmill.functions.hashing import hash_key
 from wordmill.functions.text import basic_tokens, has_items, is_present
-from wordmill.operators.scale import broadcast_if_small, join_by_token, numbered, settle
+from wordmill.operators.scale import join_by_token, numbered, settle
 
 
 def field_tokens(col: str, tokenised: bool = False) -> Column:
@@ -79,7 +79,7 @@ def freq_of_freq(freq: DataFrame) -> DataFrame:
 def dense_bucket(freq: DataFrame) -> DataFrame:
     """0-based bucket per distinct frequency, ascending."""
     levels = settle(numbered(freq_of_freq(freq), [F.col("freq")], name="bucket", start=0), "levels")
-    return freq.join(broadcast_if_small(levels.select("freq", "bucket")), "freq").select(
+    return freq.join(levels.select("freq", "bucket"), "freq").select(
         "token", "freq", "bucket"
     )
 
@@ -120,7 +120,7 @@ def coarse_buckets(vocab: DataFrame, by: str = "n_pieces", min_size: int = 10) -
     buckets = settle(
         levels.groupBy(by).applyInPandas(walk, f"{by} {kind}, freq bigint, bucket int"), "coarse"
     )
-    return vocab.join(broadcast_if_small(buckets), [by, "freq"]).select("token", "freq", by, "bucket")
+    return vocab.join(buckets, [by, "freq"]).select("token", "freq", by, "bucket")
 
 
 def split_stats(df: DataFrame, split: str) -> DataFrame:

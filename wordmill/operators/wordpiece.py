@@ -9,7 +9,7 @@ from wordmill.functions import fixed
 from wordmill.functions.arrays import unnest_with_position
 from wordmill.functions.hashing import hash_int, hash_unit
 from wordmill.functions.text import basic_tokens
-from wordmill.operators.scale import broadcast_if_small, is_small, join_by_token
+from wordmill.operators.scale import is_small, join_by_token, task_count
 from wordmill.operators.vocab import term_freq
 
 MAX_WORD = 100
@@ -20,9 +20,10 @@ def wordpieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
 
     Candidate substrings, no longer than the longest head or continuation piece, meet the vocabulary in
     one equi-join; the longest hit per start survives; a fold over the starts follows the chain. A word
-    with a gap, or longer than 100 characters, becomes the unknown piece.
+    with a gap, or longer than 100 characters, becomes the unknown piece. The words are spread over all
+    tasks once, by word, and every later step keeps that partitioning.
     """
-    words = words.select("token").distinct()
+    words = words.select("token").repartition(task_count(words.sparkSession), "token").distinct()
     is_tail = F.col("token").startswith("##") & (F.length("token") > 2)
     limits = vocab.agg(
         F.struct(
@@ -76,8 +77,9 @@ def wordpieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("pieces"))
     chain = F.aggregate(F.sequence(F.lit(1), n), start, follow)
-    done = best.select("token", chain.alias("chain")).where(F.col("chain.at") == n + 1)
-    found = done.select("token", F.col("chain.pieces").alias("pieces"))
+    # Bound once: a filter on the chain would make the optimizer run the fold twice.
+    whole = F.transform(F.array(chain), lambda c: F.when(c["at"] == n + 1, c["pieces"]))
+    found = best.select("token", F.element_at(whole, 1).alias("pieces"))
     pieces = F.coalesce("pieces", F.array(F.lit(fixed.UNK)))
     return words.join(found, "token", "left").select(
         "token", pieces.alias("pieces"), F.size(pieces).alias("n_pieces")
@@ -103,7 +105,7 @@ def decode_ids(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame
     """Id arrays back to token arrays, unknown ids to the unknown piece."""
     docs = df.select(key, col).repartition(key)
     rows = unnest_with_position(docs, [key], F.col(col), "id")
-    hits = rows.join(broadcast_if_small(vocab.select("token", "id")), "id", "left")
+    hits = rows.join(vocab.select("token", "id"), "id", "left")
     return _regroup(docs, hits, key, F.coalesce("token", F.lit(fixed.UNK)), "tokens")
 
 

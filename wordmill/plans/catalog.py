@@ -1,6 +1,9 @@
 """All registered queries."""
 
 from wordmill.plans import (  # noqa: F401
+    feature_queries,
+    rewrite_queries,
+    swap_queries,
     text_queries,
     vocab_queries,
 )
