@@ -73,7 +73,7 @@ def missing_runs(expected: DataFrame, path: str, done: DataFrame, name: str) ->
     The record of a folder is its last path part without the first underscore part; that of a finished
     run is its name without the first four.
     """
-    folder = F.element_at(F.split(F.trim(F.lit("/"), F.col(path)), "/"), -1)
+    folder = F.element_at(F.split(F.trim(F.col(path), F.lit("/")), "/"), -1)
     wanted = expected.select(F.col(path).alias("path"), _drop_parts(folder, 1).alias("record"))
     finished = done.select(_drop_parts(F.col(name), 4).alias("record")).distinct()
     return wanted.join(finished, "record", "left_anti").select("record", "path")
