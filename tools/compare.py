@@ -58,6 +58,8 @@ def main() -> int:
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
+    rows = con.execute("SELECT count(*) FROM documents").fetchone()[0]
+    print(f"{folder}: {rows} documents", flush=True)
     bad = 0
     for name in names or catalog.QUERIES:
         start = time.time()

@@ -293,20 +293,27 @@ def probe_rows(df: DataFrame, keep: list[str], token: str, split: str, mapping:
     """Word-identity probe: swapped tokens with the original word and a random control word as labels.
 
     Test rows survive only with a label that the training rows have; each label is checked on its own.
+    Which labels the training rows have is settled on the vocabulary, so the corpus meets one table.
     ``mapping`` is ``(src, dst)`` and ``control`` is ``(dst, label)``.
     """
-    labels = settle(
+    tokens = df.select(*keep, split, F.col(token).alias("token"))
+    is_train = F.col(split) == "train"
+    pairs = settle(
         mapping.select(F.col("dst").alias("token"), F.col("src").alias("word"))
-        .join(control.select(F.col("dst").alias("token"), F.col("label").alias("control_word")), "token"),
+        .join(control.select(F.col("dst").alias("token"), F.col("label").alias("control")), "token")
+        .join(tokens.where(is_train).select("token").distinct().withColumn("seen", F.lit(True)), "token", "left"),
         "labels",
     )
-    tokens = df.select(*keep, split, F.col(token).alias("token"))
-    rows = settle(join_by_token(tokens, labels), "probe")
-    train = rows.where(F.col(split) == "train")
-    parts = []
-    for kind, label in (("word", "word"), ("control", "control_word")):
-        own = rows.select(*keep, split, "token", F.lit(kind).alias("kind"), F.col(label).alias("label"))
-        seen = settle(train.select(F.col(label).alias("label")).distinct(), "seen")
-        test = own.where(F.col(split) != "train").join(seen, "label", "left_semi")
-        parts.append(own.where(F.col(split) == "train").unionByName(test))
-    return parts[0].unionByName(parts[1])
+    labels = pairs.drop("seen")
+    for kind in ("word", "control"):
+        known = pairs.where("seen").select(kind).distinct().withColumn(f"{kind}_known", F.lit(True))
+        labels = labels.join(known, kind, "left")
+    labels = settle(labels, "labels")
+    choices = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("label"), F.col(f"{kind}_known").alias("known"))
+            for kind in ("word", "control")
+        ]
+    )
+    rows = join_by_token(tokens, labels).select(*keep, split, "token", F.explode(choices).alias("c"))
+    return rows.where(is_train | F.col("c.known")).select(*keep, split, "token", "c.kind", "c.label")

@@ -14,13 +14,14 @@ from wordmill.operators.vocab import field_tokens, token_buckets
 def bow(df: DataFrame, key: str, cols: list[str], index: DataFrame) -> DataFrame:
     """Sparse word counts ``(key, idx, cnt)``; the second field of a pair is offset by the vocabulary size.
 
-    Words are counted per row before they meet the index, so a row sends each distinct word once. Words
-    outside the index are dropped.
+    The rows are partitioned by ``key`` while they are compact; counting per row and the lookup of a
+    small index keep that partitioning. Words are counted before they meet the index, so a row sends each
+    distinct word once to a large one. Words outside the index are dropped.
     """
     size = index.count() if len(cols) > 1 else 0
     tagged = [_field_words(at, c) for at, c in enumerate(cols)]
     counts = (
-        unnest(df, [key], F.concat(*tagged), "t")
+        unnest(df.repartition(key), [key], F.concat(*tagged), "t")
         .groupBy(key, "t.field", "t.token")
         .agg(F.count("*").alias("cnt"))
     )
@@ -41,7 +42,7 @@ def bucket_bow(
     df: DataFrame, key: str, col: str, buckets: DataFrame, max_len: int = 128, binary: bool = True
 ) -> DataFrame:
     """Frequency-bucket features of the first ``max_len`` tokens: which buckets occur, or how often."""
-    rows = unnest(df, [key], cut_tokens(col, max_len))
+    rows = unnest(df.repartition(key), [key], cut_tokens(col, max_len))
     counts = rows.groupBy(key, "token").agg(F.count("*").alias("n"))
     sums = token_buckets(counts, buckets).groupBy(key, "bucket").agg(F.sum("n").alias("cnt"))
     value = F.lit(1).cast("bigint") if binary else F.col("cnt")
@@ -49,8 +50,11 @@ def bucket_bow(
 
 
 def bucket_histogram(df: DataFrame, key: str, keep: list[str], tokens: Column, buckets: DataFrame) -> DataFrame:
-    """Per row one array of (bucket, count), at most as long as there are buckets."""
-    rows = unnest(df, [key, *keep], tokens)
+    """Per row one array of (bucket, count), at most as long as there are buckets.
+
+    One shuffle of the compact rows serves all three groupings when the bucket table is broadcast.
+    """
+    rows = unnest(df.repartition(key), [key, *keep], tokens)
     counts = rows.groupBy(key, *keep, "token").agg(F.count("*").alias("n"))
     sums = token_buckets(counts, buckets).groupBy(key, *keep, "bucket").agg(F.sum("n").alias("n"))
     return sums.groupBy(key, *keep).agg(

@@ -191,7 +191,11 @@ def span_report(df: DataFrame, gold: str, pred: str) -> DataFrame:
     tag = lambda side: F.transform(
         side, lambda s: F.struct(s["type"].alias("type"), F.array_contains("gs", s).alias("in_gold"), F.array_contains("ps", s).alias("in_pred"))
     )
-    marked = both.select(tag(F.array_union("gs", "ps")).alias("s"))
+    same = F.size(F.filter(F.zip_with("g", "p", lambda a, b: a == b), lambda x: x))
+    marked = settle(
+        both.select(tag(F.array_union("gs", "ps")).alias("s"), same.alias("same"), F.size("g").alias("size")),
+        "marked",
+    )
     counts = (
         unnest(marked, [], F.col("s"), "s")
         .groupBy("s.type")
@@ -204,8 +208,7 @@ def span_report(df: DataFrame, gold: str, pred: str) -> DataFrame:
     counts = settle(counts, "spans")
     total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("support", "predicted", "hit")])
     rows = counts.unionByName(total.withColumn("type", F.lit("overall")))
-    same = F.size(F.filter(F.zip_with("g", "p", lambda a, b: a == b), lambda x: x))
-    accuracy = both.agg(F.sum(same) / F.sum(F.size("g"))).scalar()
+    accuracy = marked.agg(F.sum("same") / F.sum("size")).scalar()
     return rows.select(
         "type",
         ratio(F.col("hit"), F.col("predicted")).alias("precision"),

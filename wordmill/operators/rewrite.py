@@ -12,76 +12,92 @@ from wordmill.operators.scale import join_by_token, mark_first, numbered, settle
 
 
 def _replace_tokens(
-    df: DataFrame, key: str, arrays: dict[str, Column], mapping: DataFrame, strict: bool
+    docs: DataFrame, key: str, fields: int, mapping: DataFrame, strict: bool
 ) -> DataFrame:
-    """Substitute tokens of several array columns in one pass: ``(key, <name>...)``.
+    """Substitute tokens of the arrays ``t0, t1, ...``: ``(key, items, raw0, raw1, ...)``.
 
-    The rows are partitioned by ``key`` once, while they are still compact. Unnesting, a broadcast lookup
-    and the regrouping keep that partitioning, so the exploded tokens are not shuffled when the map is
-    small enough to broadcast; a larger map goes through the hot/cold join.
+    ``docs`` arrives partitioned by ``key``, with compact rows. Unnesting, a broadcast lookup and the
+    regrouping keep that partitioning, so the exploded tokens are not shuffled when the map is small
+    enough to broadcast; a larger map goes through the hot/cold join. A field without tokens travels as
+    one item that only carries its ``raw`` value.
     """
-    docs = df.select(key, *[c.alias(name) for name, c in arrays.items()])
-    tagged = [_tagged(at, name) for at, name in enumerate(arrays)]
-    rows = (
-        docs.repartition(key)
-        .select(key, F.explode_outer(F.concat(*tagged)).alias("t"))
-        .where("t is not null")
-        .select(key, "t.field", "t.pos", "t.token")
+    items = F.concat(*[_tagged(i) for i in range(fields)])
+    rows = docs.select(key, F.explode_outer(items).alias("t")).select(
+        key, "t.field", "t.pos", "t.token", "t.raw"
     )
-    table = mapping.withColumnRenamed("src", "token")
-    hits = join_by_token(rows, table, "left")
+    hits = join_by_token(rows, mapping.withColumnRenamed("src", "token"), "left")
     word = F.coalesce("dst", "token")
     if strict:
         missing = F.raise_error(F.concat(F.lit("no replacement for token "), F.col("token")))
-        word = F.when(F.col("dst").isNull(), missing.cast("string")).otherwise(F.col("dst"))
-    lists = hits.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("field", "pos", word.alias("w")))).alias("items")
+        lost = F.col("dst").isNull() & F.col("token").isNotNull()
+        word = F.when(lost, missing.cast("string")).otherwise(F.col("dst"))
+    placed = F.when(F.col("pos") >= 0, F.struct("field", "pos", word.alias("w")))
+    raws = [F.max(F.when(F.col("field") == i, F.col("raw"))).alias(f"raw{i}") for i in range(fields)]
+    return hits.groupBy(key).agg(F.array_sort(F.collect_list(placed)).alias("items"), *raws)
+
+
+def _tagged(i: int) -> Column:
+    """Items of one field: its tokens with their positions, or a single one with the raw value."""
+    tokens = F.transform(
+        f"t{i}",
+        lambda t, pos: F.struct(
+            F.lit(i).alias("field"), pos.alias("pos"), t.alias("token"), F.lit(None).cast("string").alias("raw")
+        ),
     )
-    return lists.select(
-        key,
-        *[_words_of(at).alias(name) for at, name in enumerate(arrays)],
+    bare = F.struct(
+        F.lit(i).alias("field"),
+        F.lit(-1).alias("pos"),
+        F.lit(None).cast("string").alias("token"),
+        F.col(f"raw{i}").alias("raw"),
     )
+    return F.when(F.size(f"t{i}") > 0, tokens).otherwise(F.array(bare))
 
 
-def _tagged(field: int, name: str) -> Column:
-    tokens = F.coalesce(F.col(name), F.array().cast("array<string>"))
-    return F.transform(
-        tokens,
-        lambda t, i: F.struct(F.lit(field).alias("field"), i.alias("pos"), t.alias("token")),
-    )
+def _words_of(i: int) -> Column:
+    return F.transform(F.filter("items", lambda x: x["field"] == i), lambda x: x["w"])
 
 
-def _words_of(field: int) -> Column:
-    return F.transform(F.filter("items", lambda x: x["field"] == field), lambda x: x["w"])
+def _with_other_columns(df: DataFrame, key: str, changed: DataFrame, cols: list[str]) -> DataFrame:
+    """Put the untouched columns next to the rewritten ones; the texts themselves do not travel again."""
+    rest = [c for c in df.columns if c not in cols and c != key]
+    table = df.select(key, *rest).join(changed, key) if rest else changed
+    return table.select(*df.columns)
 
 
 def apply_swap(df: DataFrame, key: str, cols: list[str], mapping: DataFrame) -> DataFrame:
     """Tokenise the text columns, replace every mapped word once, and join the words again.
 
-    Empty texts stay as they are. All other columns are kept.
+    Empty texts stay as they are. All other columns are kept. ``key`` identifies the rows.
     """
-    arrays = {f"_t{i}": F.when(is_present(c), basic_tokens(c)) for i, c in enumerate(cols)}
-    swapped = _replace_tokens(df, key, arrays, mapping, strict=False)
-    back = df.repartition(key).join(swapped, key, "left")
-    return back.select(
-        *[
-            F.when(is_present(c), F.coalesce(join_pieces(f"_t{cols.index(c)}"), F.lit(""))).otherwise(F.col(c)).alias(c)
-            if c in cols
-            else F.col(c)
-            for c in df.columns
-        ]
-    )
+    docs = df.select(key, *cols).repartition(key)
+    fields = [
+        col
+        for i, c in enumerate(cols)
+        for col in (
+            F.when(is_present(c), basic_tokens(c)).alias(f"t{i}"),
+            F.when(is_present(c), F.lit("")).otherwise(F.col(c)).alias(f"raw{i}"),
+        )
+    ]
+    swapped = _replace_tokens(docs.select(key, *fields), key, len(cols), mapping, strict=False)
+    texts = [
+        F.when(F.size(_words_of(i)) > 0, join_pieces(_words_of(i))).otherwise(F.col(f"raw{i}")).alias(c)
+        for i, c in enumerate(cols)
+    ]
+    return _with_other_columns(df, key, swapped.select(key, *texts), cols)
 
 
 def apply_swap_tokens(
     df: DataFrame, key: str, col: str, mapping: DataFrame, strict: bool = True
 ) -> DataFrame:
     """Replace the tokens of an array column; in strict mode a token without a replacement is an error."""
-    swapped = _replace_tokens(df, key, {"_t0": F.col(col)}, mapping, strict)
-    back = df.repartition(key).join(swapped, key, "left")
-    return back.select(
-        *[F.coalesce("_t0", c).alias(c) if c == col else F.col(c) for c in df.columns]
+    docs = df.repartition(key).select(
+        key, F.col(col).alias("t0"), F.when(F.col(col).isNotNull(), F.lit("empty")).alias("raw0")
     )
+    swapped = _replace_tokens(docs, key, 1, mapping, strict)
+    words = _words_of(0)
+    absent = (F.size("items") == 0) & F.col("raw0").isNull()
+    changed = swapped.select(key, F.when(~absent, words).alias(col))
+    return _with_other_columns(df, key, changed, [col])
 
 
 def scramble_windows(df: DataFrame, key: str, cols: list[str], proportion: float, seed: int) -> DataFrame:

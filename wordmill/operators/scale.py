@@ -102,14 +102,18 @@ def join_by_token(rows: DataFrame, table: DataFrame, how: str = "inner", on: str
     """Equi-join of corpus tokens with a settled vocabulary-sized table, one row per token.
 
     A table of measured small size is broadcast. A larger one is cut in two: its most frequent tokens
-    (at most ``HOT_KEYS`` rows, by the column ``freq``) are broadcast, so that no task receives all
-    occurrences of a common word, and the remaining occurrences meet the rest in a shuffled join.
+    (at most ``HOT_KEYS`` rows, by its column ``freq`` or else by counting the corpus tokens) are
+    broadcast, so that no task receives all occurrences of a common word, and the remaining occurrences
+    meet the rest in a shuffled join.
     """
     if is_small(table):
         return rows.join(F.broadcast(table), on, how)
-    if "freq" not in table.columns:
-        return rows.join(table, on, how)
-    hot = settle(table.orderBy(F.desc("freq"), on).limit(HOT_KEYS), "hot")
+    if "freq" in table.columns:
+        top = table.orderBy(F.desc("freq"), on).limit(HOT_KEYS)
+    else:
+        counts = settle(rows.groupBy(on).agg(F.count("*").alias("_n")), "counts")
+        top = counts.orderBy(F.desc("_n"), on).limit(HOT_KEYS)
+    hot = settle(table.join(F.broadcast(top.select(on)), on, "left_semi"), "hot")
     columns = [c for c in table.columns if c != on]
     at_hot = rows.join(F.broadcast(hot), on, "inner")
     at_cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(

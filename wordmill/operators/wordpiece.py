@@ -52,7 +52,7 @@ def wordpieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
     candidates = short.select("token", F.explode_outer(spans).alias("c")).select(
         "token", "c.s", "c.nxt", F.col("c.piece").alias("piece")
     )
-    known = vocab.select(F.col("token").alias("piece")).distinct()
+    known = vocab.select(F.col("token").alias("piece"))
     known = F.broadcast(known) if is_small(vocab) else known
     best = (
         candidates.join(known, "piece", "left_semi")
