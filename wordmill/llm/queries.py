@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm import langid, licences, pii, quality, toxicity
-from wordmill.llm.common import fold, table
+from wordmill.llm import langid, licences, pii, quality, topk, toxicity, warc
+from wordmill.llm.common import fold, new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,10 +42,33 @@ def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages written as archives and read back; revisits give what their response and headers say."""
+    at = new_path(spark, "warc")
+    warc.write(warc.records(table(spark, folder, "pages")), at)
+    both = warc.read(spark, at).where(F.col("record_type").isin("response", "revisit"))
+    told = F.replace(F.col("payload_digest"), F.lit("sha1:"), F.lit(""))
+    number = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
+    return both.select(
+        number("record_id").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        F.when(F.col("payload").isNotNull(), F.sha1("payload")).otherwise(told).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
+def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    rows = table(spark, folder, "embeddings").where(topk.usable(F.col("embedding")))
+    rows = rows.select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    return topk.search(rows, F.col("vec_id") % 50 == 0, "vec_id", "v", 5)
+
+
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document."""
     return pii.report(table(spark, folder, "documents"))
 
 
-QUERIES |= {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op10_pii": op10_pii}
-SQL |= {"op5_licences": licences.SQL, "op10_pii": pii.SQL}
+QUERIES |= {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_pii": op10_pii}
+SQL |= {"op5_licences": licences.SQL, "op8_warc": warc.SQL, "op9_topk": topk.SQL, "op10_pii": pii.SQL}
