@@ -66,6 +66,14 @@ def runs(texts: pa.Array, chunk: int = CHUNK, rows: int = 4096) -> Iterator[tupl
         at = to
 
 
+def stretches(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of bytes."""
+    up, down = powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row, first byte and end byte of every word; ASCII capitals count as small."""
     inside = ~apart[data]
@@ -79,11 +87,7 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> tuple[np.
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    hashes = mix((total[end] - total[start]) * down[start])
-    return hashes, np.searchsorted(offsets, start, "right") - 1, start, end
+    return stretches(LOWER[data], start, end), np.searchsorted(offsets, start, "right") - 1, start, end
 
 
 def grams(hashes: np.ndarray, rows: np.ndarray, steps: tuple[int, ...], seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm import langid, licences, pii, quality, topk, toxicity, warc
+from wordmill.llm import langid, licences, pieces, pii, quality, topk, toxicity, warc
 from wordmill.llm.common import fold, new_path, table
 
+#: Model file of the registered tokenizer query.
+MODEL = "piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -42,6 +46,11 @@ def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path(MODEL))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     """The pages written as archives and read back; revisits give what their response and headers say."""
     at = new_path(spark, "warc")
@@ -70,5 +79,5 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents"))
 
 
-QUERIES |= {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_pii": op10_pii}
+QUERIES |= {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op6_pieces": op6_pieces, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_pii": op10_pii}
 SQL |= {"op5_licences": licences.SQL, "op8_warc": warc.SQL, "op9_topk": topk.SQL, "op10_pii": pii.SQL}
