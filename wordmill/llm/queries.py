@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm import langid, licences, pieces, pii, quality, topk, toxicity, warc
+from wordmill.llm import jaccard, langid, licences, pieces, pii, quality, topk, toxicity, warc
 from wordmill.llm.common import fold, new_path, table
 
 #: Model file of the registered tokenizer query.
@@ -51,6 +51,11 @@ def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path(MODEL))
 
 
+def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of documents that a Jaccard similarity of 0.85 on four-word shingles connects."""
+    return jaccard.classes(table(spark, folder, "documents"))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     """The pages written as archives and read back; revisits give what their response and headers say."""
     at = new_path(spark, "warc")
@@ -79,5 +84,5 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents"))
 
 
-QUERIES |= {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op6_pieces": op6_pieces, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_pii": op10_pii}
-SQL |= {"op5_licences": licences.SQL, "op8_warc": warc.SQL, "op9_topk": topk.SQL, "op10_pii": pii.SQL}
+QUERIES |= {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op6_pieces": op6_pieces, "op7_jaccard": op7_jaccard, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_pii": op10_pii}
+SQL |= {"op5_licences": licences.SQL, "op7_jaccard": jaccard.SQL, "op8_warc": warc.SQL, "op9_topk": topk.SQL, "op10_pii": pii.SQL}
