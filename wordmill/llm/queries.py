@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm import jaccard, langid, licences, pieces, pii, quality, topk, toxicity, warc
+from wordmill.llm import decontaminate, jaccard, langid, licences, pieces, pii, quality, topk, toxicity, warc
 from wordmill.llm.common import fold, new_path, table
 
 #: Model file of the registered tokenizer query.
@@ -26,6 +26,22 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("held_out", fold("doc_id", 4) == 2)
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items in every document: how many, the best one, its similarity and its bytes."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.mark(docs, table(spark, folder, "benchmark")).drop("text")
+    best = F.try_element_at("leaks", F.lit(1))
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).cast("int").alias("contaminated"),
+        F.size("leaks").cast("long").alias("n_items"),
+        best["item"].alias("item_id"),
+        F.coalesce(best["similarity"], F.lit(0.0)).alias("similarity"),
+        best["start"].alias("start_byte"),
+        best["end"].alias("end_byte"),
+    )
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document, by the votes of labelled documents outside the held-out fold."""
     docs = table(spark, folder, "documents")
@@ -84,5 +100,5 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents"))
 
 
-QUERIES |= {"op1_toxicity": op1_toxicity, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op6_pieces": op6_pieces, "op7_jaccard": op7_jaccard, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_pii": op10_pii}
+QUERIES |= {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op6_pieces": op6_pieces, "op7_jaccard": op7_jaccard, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_pii": op10_pii}
 SQL |= {"op5_licences": licences.SQL, "op7_jaccard": jaccard.SQL, "op8_warc": warc.SQL, "op9_topk": topk.SQL, "op10_pii": pii.SQL}

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordmill.llm.common import labelled_sample
 from wordmill.llm.hashed import PUNCT, distinct, grams, runs, words
@@ -131,24 +132,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", set
     return Model(s, np.frombuffer(row["ids"], np.int32).astype(np.int64), np.frombuffer(row["weights"]), row["intercept"])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """Key, score between 0 and 1, and the decision at the threshold, for every row."""
-    threshold = model.settings.threshold
-    ids, weights, intercept, bits = model.features, model.weights, model.intercept, model.settings.bits
-    settings = model.settings
+def mark(docs: DataFrame, model: Model, to: str = "score", text: str = "text") -> DataFrame:
+    """The rows with their score between 0 and 1."""
+    at, names = docs.columns.index(text), [*docs.columns, to]
+    ids, weights, intercept, settings = model.features, model.weights, model.intercept, model.settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = Model(settings, ids, weights, intercept).dense()
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for at, to, data, offsets in runs(batch["_text"]):
-                found, rows = features(data, offsets, bits)
+            for a, b, data, offsets in runs(batch.column(at)):
+                found, rows = features(data, offsets, settings.bits)
                 used = dense[found] != 0
                 found, rows = distinct(found[used], rows[used])
-                scores[at:to] = np.bincount(rows, dense[found], to - at)
+                scores[a:b] = np.bincount(rows, dense[found], b - a)
             scores = sigmoid(scores + intercept) if np.isfinite(intercept) else scores * 0
-            yield pa.record_batch([batch["_key"], pa.array(scores)], ["_key", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
-    plain = docs.select(F.col(key).alias("_key"), F.col("text").alias("_text"))
-    scored = plain.mapInArrow(run, f"_key {docs.schema[key].dataType.simpleString()}, score double")
-    return scored.select(F.col("_key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """Key, score between 0 and 1, and the decision at the threshold, for every row."""
+    scored = mark(docs.select(F.col(key), F.col("text")), model)
+    return scored.select(key, "score", (F.col("score") >= model.settings.threshold).cast("int").alias("predicted"))
