@@ -26,14 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each class of similar ones: the one with the smallest id; of repeated rows of it, one.
+    """One document of each class of similar ones: the one with the smallest id.
 
-    Rows without an id are kept unless they are empty of words too; ids say which row stands for a class.
+    Rows without an id stay; of rows that share id and text, one stays.
     """
     found = jaccard.classes(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    kept = docs.join(first, "doc_id")
+    once = kept.where("_n > 1").dropDuplicates(["doc_id", "text"])
+    return kept.where("_n = 1").unionByName(once).drop("_n").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

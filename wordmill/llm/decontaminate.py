@@ -1,6 +1,6 @@
 """Benchmark items in texts: SimHash fingerprints of item-sized windows, a multi-index over them, exact verification.
 
-Words are lower-cased stretches of letters and digits; a shingle is five of them (the whole item if it is shorter). For
+Words are stretches of letters and digits of the text in small letters (places are bytes of that); a shingle is five of them (the whole item if it is shorter). For
 every item, windows of as many words as the item has are fingerprinted with 128 weighted bits. Sixteen byte tables
 hold the items whose byte is within two bits of each value: if two fingerprints differ in at most ``RADIUS`` = 16 * 2 + 15 - 11
 bits, some byte differs in two at most, so the tables name all items within the radius; the exact distance is then
@@ -143,7 +143,7 @@ class Items:
 
 def mark(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", to: str = "leaks", threshold: float = THRESHOLD) -> DataFrame:
     """The rows with an array of the items found: (similarity, item, first byte, end byte), the best one first."""
-    known = items.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).cast("long").alias("id"), F.col("text").alias("text"))
+    known = items.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).cast("long").alias("id"), F.lower("text").alias("text"))
     passes = max(1, -(-known.count() // ITEMS * 5 // 4))
     for p in range(passes):
         rows = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == p).distinct().collect()
@@ -154,7 +154,7 @@ def mark(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "t
 
 
 def _mark(docs: DataFrame, ids: list[int], texts: list[str], text: str, to: str, threshold: float) -> DataFrame:
-    at, names = docs.columns.index(text), [*docs.columns, to]
+    names, width = [*docs.columns, to], len(docs.columns)
     kind = T.StructType([T.StructField("similarity", T.DoubleType()), T.StructField("item", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     arrow = pa.list_(pa.struct([("similarity", pa.float64()), ("item", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -162,9 +162,10 @@ def _mark(docs: DataFrame, ids: list[int], texts: list[str], text: str, to: str,
         items = Items(ids, texts)
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for a, _, data, offsets in runs(batch.column(at)):
+            for a, _, data, offsets in runs(batch.column(width)):
                 for row, item, same, start, end in items.find(data, offsets, threshold):
                     found[a + row].append({"similarity": same, "item": item, "start": start - int(offsets[row]), "end": end - int(offsets[row])})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(found, arrow)], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(kind))]))
+    small = docs.select(*docs.columns, F.lower(text).alias(f"{to}_text"))
+    return small.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(kind))]))

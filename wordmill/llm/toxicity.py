@@ -1,6 +1,6 @@
 """Toxicity scores: logistic regression trained by FTRL-proximal over hashed word n-grams and skip-grams.
 
-Features of a text are its words, pairs of neighbouring words and pairs with one word between them (lower-cased,
+Features of a text are its words, pairs of neighbouring words and pairs with one word between them (in small letters,
 punctuation apart), hashed into ``2**bits`` marks that say whether the text holds the feature. Features of fewer than
 ``min_docs`` learned texts stay out. Per-coordinate rates let rare features learn fast, and the L1 term keeps most
 weights at zero, so the model that goes to the executors is a short list of (feature, weight).
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", set
         yield pa.record_batch([pa.array([at.astype(np.int32).tobytes()]), pa.array([w[at].tobytes()]), pa.array([float(w[-1])])], ["ids", "weights", "intercept"])
 
     sample = labelled_sample(docs, labels, key, label, s.sample)
-    made = sample.select(F.col("key").cast("string").alias("key"), "text", "label").mapInArrow(extract, "key string, label string, ids binary")
+    made = sample.select(F.col("key").cast("string").alias("key"), F.lower("text").alias("text"), "label").mapInArrow(extract, "key string, label string, ids binary")
     ordered = made.repartition(1).sortWithinPartitions(F.md5("key"), "ids")
     row = ordered.mapInArrow(train, "ids binary, weights binary, intercept double").first()
     if row is None:
@@ -134,22 +134,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", set
 
 def mark(docs: DataFrame, model: Model, to: str = "score", text: str = "text") -> DataFrame:
     """The rows with their score between 0 and 1."""
-    at, names = docs.columns.index(text), [*docs.columns, to]
+    names, width = [*docs.columns, to], len(docs.columns)
     ids, weights, intercept, settings = model.features, model.weights, model.intercept, model.settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = Model(settings, ids, weights, intercept).dense()
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for a, b, data, offsets in runs(batch.column(at)):
+            for a, b, data, offsets in runs(batch.column(width)):
                 found, rows = features(data, offsets, settings.bits)
                 used = dense[found] != 0
                 found, rows = distinct(found[used], rows[used])
                 scores[a:b] = np.bincount(rows, dense[found], b - a)
             scores = sigmoid(scores + intercept) if np.isfinite(intercept) else scores * 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(scores)], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
+    small = docs.select(*docs.columns, F.lower(text).alias(f"{to}_text"))
+    return small.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
