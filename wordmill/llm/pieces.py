@@ -275,9 +275,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", en
             for a, b, _, _ in runs(column):
                 part = batch.slice(a, b - a)
                 found, stop, per = codec.encode(part.column(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, listed(found, per, pa.int32()), listed(stop, per, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([*part.columns, listed(found, per, pa.int32()), listed(stop.astype(np.int32), per, pa.int32())], names)
 
-    kinds = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(ends, T.ArrayType(T.LongType(), False))]
+    kinds = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(ends, T.ArrayType(T.IntegerType(), False))]
     return docs.mapInArrow(run, _with(docs, kinds))
 
 
@@ -302,12 +302,13 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
 
 def digests(docs: DataFrame, model: str, key: str = "doc_id") -> DataFrame:
     """Per row: number of ids, digest of the ids, digest of the decoded text, bytes that the pieces cover."""
-    coded = encode(docs.select(F.col(key), F.col("text")), model).drop("text")
+    covered = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long")
+    coded = encode(docs.select(F.col(key), F.col("text")), model).select(key, "ids", covered.alias("n_bytes"))
     both = decode(coded, model)
     return both.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("n_bytes"),
+        "n_bytes",
     )
