@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordmill.operators.scale import new_path, settle
 
-__all__ = ["fold", "new_path", "settle", "table", "labelled_sample"]
+__all__ = ["arrow", "fold", "new_path", "settle", "table", "labelled_sample"]
+
+
+#: Bytes that a task hands to Python at a time, unless the session says less.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows; the session hands them to Python in batches of bounded size."""
+    said = df.sparkSession.conf.get(BATCH_SETTING, None)
+    if said is None or not said.rstrip("b").isdigit() or not 0 < int(said.rstrip("b")) <= BATCH_BYTES:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
+def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size."""
+    return bounded(df).mapInArrow(function, schema)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

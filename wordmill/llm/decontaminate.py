@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordmill.llm.common import arrow
 from wordmill.llm.hashed import PUNCT, buffers, grams, mix, runs, words
 
 U = np.uint64
@@ -168,4 +169,4 @@ def _mark(docs: DataFrame, ids: list[int], texts: list[str], text: str, to: str,
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(found, arrow)], names)
 
     small = docs.select(*docs.columns, F.lower(text).alias(f"{to}_text"))
-    return small.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(kind))]))
+    return arrow(small, run, T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(kind))]))

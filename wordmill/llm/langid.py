@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import labelled_sample
+from wordmill.llm.common import arrow, labelled_sample
 from wordmill.llm.hashed import LOWER, runs
 
 UNKNOWN = "und"
@@ -159,9 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "lang", key: str = "doc
 
     known = labels.where(F.col(label).isNotNull() & (F.col(label) != ""))
     sample = labelled_sample(docs, known, key, label, s.sample).select(F.col("key").cast("string").alias("key"), "text", "label")
-    made = sample.mapInArrow(extract, "key string, label string, row binary")
+    made = arrow(sample, extract, "key string, label string, row binary")
     ordered = made.repartition(1).sortWithinPartitions(F.md5("key"), "row")
-    row = ordered.mapInArrow(train, "languages array<string>, prior binary, profile binary, planes binary").first()
+    row = arrow(ordered, train, "languages array<string>, prior binary, profile binary, planes binary").first()
     if row is None:
         return None
     languages = list(row["languages"])
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id") -> DataFr
     plain = docs.select(F.col(key).alias("_key"), F.col("text").alias("_text"), letters.alias("_letters"))
     if model is None:
         return plain.select(F.col("_key").alias(key), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    judged = plain.mapInArrow(run, f"_key {docs.schema[key].dataType.simpleString()}, lang_pred string, score double, _letters boolean")
+    judged = arrow(plain, run, f"_key {docs.schema[key].dataType.simpleString()}, lang_pred string, score double, _letters boolean")
     return judged.select(
         F.col("_key").alias(key),
         F.when(F.col("_letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),

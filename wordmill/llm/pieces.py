@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as protos
 
+from wordmill.llm.common import arrow
 from wordmill.llm.hashed import buffers, runs, stretches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 BPE = 2
 #: Distinct parts that a task remembers before it starts anew.
-POOL = 500_000
+POOL = 400_000
 
 
 class CharMap:
@@ -115,9 +116,10 @@ class Codec:
         texts = [raw[a:b].decode().replace(" ", MARK) for a, b in zip((to - (end - start)).tolist(), to.tolist(), strict=True)]
         ids = self.inner.encode(texts, num_threads=1)
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        all_keys, slots = np.concatenate([self.keys, keys]), np.concatenate([self.slot, len(self.count) + np.arange(len(keys))])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys, self.slot = all_keys[order], slots[order]
+        order = np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[order])
+        self.slot = np.insert(self.slot, place, len(self.count) + order)
+        self.keys = np.insert(self.keys, place, keys[order])
         self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))])
@@ -272,13 +274,13 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", en
         codec = Codec(blob)
         for batch in batches:
             column = batch.column(at)
-            for a, b, _, _ in runs(column):
+            for a, b, _, _ in runs(column, 1 << 19):
                 part = batch.slice(a, b - a)
                 found, stop, per = codec.encode(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, listed(found, per, pa.int32()), listed(stop.astype(np.int32), per, pa.int32())], names)
 
     kinds = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(ends, T.ArrayType(T.IntegerType(), False))]
-    return docs.mapInArrow(run, _with(docs, kinds))
+    return arrow(docs, run, _with(docs, kinds))
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -297,7 +299,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
                 said = codec.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), per)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.string())], names)
 
-    return docs.mapInArrow(run, _with(docs, [T.StructField(text, T.StringType())]))
+    return arrow(docs, run, _with(docs, [T.StructField(text, T.StringType())]))
 
 
 def digests(docs: DataFrame, model: str, key: str = "doc_id") -> DataFrame:

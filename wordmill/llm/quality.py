@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import labelled_sample
+from wordmill.llm.common import arrow, labelled_sample
 from wordmill.llm.hashed import PUNCT, runs, words
 
 #: Classes of bytes: small letters, capitals, digits, blanks, parts of other characters; the rest stays itself.
@@ -131,9 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", set
             yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in parts], ["idf", "basis", "vectors", "labels"])
 
     sample = labelled_sample(docs, labels, key, label, s.sample).select(F.col("key").cast("string").alias("key"), "text", "label")
-    made = sample.mapInArrow(extract, "key string, label string, row binary")
+    made = arrow(sample, extract, "key string, label string, row binary")
     ordered = made.repartition(1).sortWithinPartitions(F.md5("key"), "row")
-    row = ordered.mapInArrow(train, "idf binary, basis binary, vectors binary, labels binary").first()
+    row = arrow(ordered, train, "idf binary, basis binary, vectors binary, labels binary").first()
     if row is None:
         return Model(s, np.ones(s.width, np.float32), np.zeros((s.width, s.rank), np.float32), np.zeros((0, s.rank), np.float32), np.zeros(0, np.float32))
     idf, basis, vectors, known = (np.frombuffer(row[x], np.float32) for x in ("idf", "basis", "vectors", "labels"))
@@ -152,5 +152,5 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             yield pa.record_batch([batch["_key"], pa.array(scores)], ["_key", "score"])
 
     plain = docs.select(F.col(key).alias("_key"), F.col("text").alias("_text"))
-    scored = plain.mapInArrow(run, f"_key {docs.schema[key].dataType.simpleString()}, score double")
+    scored = arrow(plain, run, f"_key {docs.schema[key].dataType.simpleString()}, score double")
     return scored.select(F.col("_key").alias(key), "score", (F.col("score") >= s.threshold).cast("int").alias("predicted"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import settle
+from wordmill.llm.common import arrow, settle
 from wordmill.operators.scale import task_count
 
 PIVOTS = 16
@@ -58,7 +58,7 @@ def packed(rows: DataFrame, pivots: dict[int, np.ndarray], size: int) -> DataFra
                     parts = (ids[at : at + size], v, norms, far)
                     yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([len(v)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["dim", "n", "ids", "vectors", "norms", "distances"])
 
-    return rows.mapInArrow(pack, FIELDS)
+    return arrow(rows, pack, FIELDS)
 
 
 class Block:
@@ -141,7 +141,7 @@ def search(rows: DataFrame, queries: Column, key: str, vector: str, k: int, pivo
         if block is not None:
             yield told()
 
-    found = pairs.mapInArrow(meet, "query_id long, id long, score long")
+    found = arrow(pairs, meet, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(key), "score")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordmill.llm.common import labelled_sample
+from wordmill.llm.common import arrow, labelled_sample
 from wordmill.llm.hashed import PUNCT, distinct, grams, runs, words
 
 #: Distances of the words that make up a feature.
@@ -124,9 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", set
         yield pa.record_batch([pa.array([at.astype(np.int32).tobytes()]), pa.array([w[at].tobytes()]), pa.array([float(w[-1])])], ["ids", "weights", "intercept"])
 
     sample = labelled_sample(docs, labels, key, label, s.sample)
-    made = sample.select(F.col("key").cast("string").alias("key"), F.lower("text").alias("text"), "label").mapInArrow(extract, "key string, label string, ids binary")
+    made = arrow(sample.select(F.col("key").cast("string").alias("key"), F.lower("text").alias("text"), "label"), extract, "key string, label string, ids binary")
     ordered = made.repartition(1).sortWithinPartitions(F.md5("key"), "ids")
-    row = ordered.mapInArrow(train, "ids binary, weights binary, intercept double").first()
+    row = arrow(ordered, train, "ids binary, weights binary, intercept double").first()
     if row is None:
         return Model(s)
     return Model(s, np.frombuffer(row["ids"], np.int32).astype(np.int64), np.frombuffer(row["weights"]), row["intercept"])
@@ -150,7 +150,7 @@ def mark(docs: DataFrame, model: Model, to: str = "score", text: str = "text") -
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(scores)], names)
 
     small = docs.select(*docs.columns, F.lower(text).alias(f"{to}_text"))
-    return small.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
+    return arrow(small, run, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
