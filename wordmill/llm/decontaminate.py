@@ -157,7 +157,7 @@ def mark(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "t
 def _mark(docs: DataFrame, ids: list[int], texts: list[str], text: str, to: str, threshold: float) -> DataFrame:
     names, width = [*docs.columns, to], len(docs.columns)
     kind = T.StructType([T.StructField("similarity", T.DoubleType()), T.StructField("item", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    arrow = pa.list_(pa.struct([("similarity", pa.float64()), ("item", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    shape = pa.list_(pa.struct([("similarity", pa.float64()), ("item", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts)
@@ -166,7 +166,7 @@ def _mark(docs: DataFrame, ids: list[int], texts: list[str], text: str, to: str,
             for a, _, data, offsets in runs(batch.column(width)):
                 for row, item, same, start, end in items.find(data, offsets, threshold):
                     found[a + row].append({"similarity": same, "item": item, "start": start - int(offsets[row]), "end": end - int(offsets[row])})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(found, arrow)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(found, shape)], names)
 
     small = docs.select(*docs.columns, F.lower(text).alias(f"{to}_text"))
     return arrow(small, run, T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(kind))]))

@@ -36,7 +36,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 BPE = 2
 #: Distinct parts that a task remembers before it starts anew.
-POOL = 400_000
+POOL = 500_000
 
 
 class CharMap:
