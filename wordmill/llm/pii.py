@@ -87,7 +87,7 @@ def mod97(code: Column) -> Column:
 def confirmed(kind: str, hit: Column, before: Column) -> Column:
     """The check that a proposed match must pass; ``before`` is the text between it and the match before."""
     if kind == "ip":
-        return F.forall(F.split(hit, r"\."), lambda x: (F.length(F.ltrim(F.lit("0"), x)) <= 3) & (F.coalesce(F.ltrim(F.lit("0"), x).try_cast("int"), F.lit(0)) <= 255))
+        return F.forall(F.split(hit, r"\."), lambda x: (F.length(F.ltrim(x, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(x, F.lit("0")).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return F.length(digits(hit)).between(12, 19) & luhn(digits(hit))
     if kind == "phone":
