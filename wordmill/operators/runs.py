@@ -16,7 +16,9 @@ MODEL_MARKERS = [
 ]
 # Models whose embeddings are re-initialised only on request; all others always are.
 OPTIONAL_REINIT = ["bert-base-uncased", "microsoft/deberta-base"]
+# Language shifts in run names.
 SHIFTS = ["en~fr@N~fr@V", "en~jaktc@N~jaktc@V", "en~fr@N~jaktc@V"]
+# Learning rates in run names.
 LEARNING_RATES = [("lr_4e-05", 4e-05), ("lr_2e-05", 2e-05), ("lr_6e-05", 6e-05), ("lr_8e-05", 8e-05)]
 
 

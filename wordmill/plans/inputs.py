@@ -9,7 +9,7 @@ from wordmill.functions.text import basic_tokens
 from wordmill.operators.scale import settle
 from wordmill.operators.vocab import doc_freq, term_freq
 from wordmill.operators.wordpiece import piece_vocabulary, vocab_table, wordpieces
-from wordmill.session import load, spread
+from wordmill.session import load
 
 SEED = 42
 
@@ -33,8 +33,7 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with quality labels; predictions flip the label of every third text length."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     flipped = F.when(F.col("n_chars") % 3 == 0, 1 - F.col("quality")).otherwise(F.col("quality"))
-    joined = spark.read.parquet(f"{folder}/documents.parquet").join(labels, "doc_id")
-    return spread(joined).withColumn("pred", flipped)
+    return documents(spark, folder).join(labels, "doc_id").withColumn("pred", flipped)
 
 
 def languages(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,12 +65,12 @@ def norm_lev(a: str, b: str) -> str:
     return f"(CASE WHEN {longest} = 0 THEN 0 ELSE {lev(a, b)}::DOUBLE / {longest} END)"
 
 
-DOC_TOKENS = f"doc_tokens AS (SELECT doc_id, {tok('text')} AS toks FROM documents)"
+DOC_TOKENS = f"doc_tokens AS MATERIALIZED (SELECT doc_id, {tok('text')} AS toks FROM documents)"
 DOC_ROWS = (
     "doc_rows AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos FROM doc_tokens)"
 )
-TERM_FREQ = "tf AS (SELECT token, count(*) AS freq FROM (SELECT unnest(toks) AS token FROM doc_tokens) GROUP BY token)"
-DOC_FREQ = "df AS (SELECT token, count(*) AS freq FROM (SELECT unnest(list_distinct(toks)) AS token FROM doc_tokens) GROUP BY token)"
+TERM_FREQ = "tf AS MATERIALIZED (SELECT token, count(*) AS freq FROM (SELECT unnest(toks) AS token FROM doc_tokens) GROUP BY token)"
+DOC_FREQ = "df AS MATERIALIZED (SELECT token, count(*) AS freq FROM (SELECT unnest(list_distinct(toks)) AS token FROM doc_tokens) GROUP BY token)"
 PIECES = """vocab_chars AS (SELECT DISTINCT unnest(list_transform(range(1, length(token) + 1), lambda i: substr(token, i, 1))) AS token FROM tf),
 piece_vocab AS (
   SELECT token FROM tf WHERE freq >= 5 UNION SELECT token FROM vocab_chars UNION SELECT '##' || token FROM vocab_chars),
@@ -78,7 +78,7 @@ heads AS (
   SELECT w.token, max(w.k) AS head
   FROM (SELECT token, unnest(range(1, length(token) + 1)) AS k FROM tf WHERE length(token) <= 100) w
   JOIN piece_vocab v ON v.token = substr(w.token, 1, w.k) GROUP BY w.token),
-pieced AS (
+pieced AS MATERIALIZED (
   SELECT tf.token, CASE WHEN head IS NULL THEN ['[UNK]'] ELSE list_concat(
       [substr(tf.token, 1, head)],
       list_transform(range(head + 1, length(tf.token) + 1), lambda i: '##' || substr(tf.token, i, 1))) END AS pieces
@@ -117,24 +117,24 @@ def buckets(freq: str, points: int) -> str:
 def swap_rank(vocab: str, out: str = "swaps") -> str:
     """Neighbour swap over ``vocab(token, freq, n_pieces)``."""
     return f"""
-sr_ranked AS (SELECT *, row_number() OVER (PARTITION BY n_pieces ORDER BY freq DESC, md5(token)) AS rn FROM {vocab}),
-sr_first AS (
+sr_ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY n_pieces ORDER BY freq DESC, md5(token)) AS rn FROM {vocab}),
+sr_first AS MATERIALIZED (
   SELECT n_pieces, (rn - 1) // 2 AS pair, min_by(token, rn) AS a, max_by(token, rn) AS b, min_by(freq, rn) AS fa, max_by(freq, rn) AS fb
   FROM sr_ranked GROUP BY ALL HAVING count(*) = 2),
-sr_ok AS (SELECT *, {norm_lev('a', 'b')} > 0.3 AS ok FROM sr_first),
-sr_refused AS (
+sr_ok AS MATERIALIZED (SELECT *, {norm_lev('a', 'b')} > 0.3 AS ok FROM sr_first),
+sr_refused AS MATERIALIZED (
   SELECT n_pieces, a AS token, fa AS freq FROM sr_ok WHERE NOT ok UNION ALL SELECT n_pieces, b, fb FROM sr_ok WHERE NOT ok),
-sr_again AS (SELECT *, row_number() OVER (PARTITION BY n_pieces ORDER BY freq DESC, md5(token)) AS rn FROM sr_refused),
-sr_second AS (
+sr_again AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY n_pieces ORDER BY freq DESC, md5(token)) AS rn FROM sr_refused),
+sr_second AS MATERIALIZED (
   SELECT n_pieces, rn // 2 AS pair, min_by(token, rn) AS a, max_by(token, rn) AS b FROM sr_again GROUP BY ALL HAVING count(*) = 2),
-sr_good AS (
+sr_good AS MATERIALIZED (
   SELECT a, b FROM sr_ok WHERE ok UNION ALL SELECT a, b FROM sr_second WHERE {norm_lev('a', 'b')} > 0.3),
-sr_both AS (SELECT a AS src, b AS dst FROM sr_good UNION ALL SELECT b, a FROM sr_good),
+sr_both AS MATERIALIZED (SELECT a AS src, b AS dst FROM sr_good UNION ALL SELECT b, a FROM sr_good),
 {out} AS (SELECT v.token AS src, coalesce(m.dst, v.token) AS dst FROM {vocab} v LEFT JOIN sr_both m ON m.src = v.token)"""
 
 
 VOCAB = "vocab AS (SELECT token, freq, 1 AS n_pieces FROM df)"
-PIECED_VOCAB = "pvocab AS (SELECT df.token, df.freq, len(pieces)::INT AS n_pieces FROM df JOIN pieced USING (token))"
+PIECED_VOCAB = "pvocab AS MATERIALIZED (SELECT df.token, df.freq, len(pieces)::INT AS n_pieces FROM df JOIN pieced USING (token))"
 
 
 def with_(*parts: str) -> str:

@@ -67,7 +67,7 @@ def swap_random_alphabetical(spark, folder):
     return W.swap_random(I.vocabulary(spark, folder), I.SEED, order=[F.col("token")])
 
 
-PLACED = f"""placed AS (
+PLACED = f"""placed AS MATERIALIZED (
   SELECT token, n_pieces, row_number() OVER (PARTITION BY n_pieces ORDER BY {S.key(42, 'token')}) - 1 AS spot, count(*) OVER (PARTITION BY n_pieces) AS n
   FROM pvocab)"""
 
