@@ -2,9 +2,8 @@
 
 Words are stretches of letters and digits of the text in small letters (places are bytes of that); a shingle is five of them (the whole item if it is shorter). For
 every item, windows of as many words as the item has are fingerprinted with 128 weighted bits. Sixteen byte tables
-hold the items whose byte is within two bits of each value: if two fingerprints differ in at most ``RADIUS`` = 16 * 2 + 15 - 11
-bits, some byte differs in two at most, so the tables name all items within the radius; the exact distance is then
-checked. What remains is verified by weighted Jaccard similarity of the distinct shingles. A shingle of n items weighs
+hold the items whose byte is within two bits of each value: two fingerprints without such a byte differ in at least 48
+bits, so the tables name all items within ``RADIUS``; the exact distance is then checked. What remains is verified by weighted Jaccard similarity of the distinct shingles. A shingle of n items weighs
 1 / n, one of no item weighs 1.
 
 Windows that hold no shingle of an item of their size have similarity 0 with all of these and are not fingerprinted.
