@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wordmill.operators import assoc as A
@@ -89,6 +90,23 @@ def test_proximity_by_moments_equals_all_pairs(spark):
         assert math.isclose(r.mean_cos, others.mean(), abs_tol=1e-9) and math.isclose(r.std_cos, others.std(), abs_tol=1e-9)
 
 
+def test_proximity_of_missing_and_single_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None])], "id int, v array<double>")
+    assert {tuple(r) for r in A.proximity_stats(df, "id", "v").collect()} == {(i, None, None) for i in (1, 2, 3)}
+    none = df.where("id > 5")
+    assert A.proximity_stats(none, "id", "v").count() == 0 and A.proximity_corr(none, none, "id", "v").count() == 0
+
+
+def test_cosines_under_other_names(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0])], "id string, v array<double>")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "a")], "x string, y string")
+    names = spark.createDataFrame([("a", "A"), ("b", "B")], "src string, dst string")
+    (row,) = A.cosine_pairs(df, "id", "v", pairs, "x", "y", names).collect()
+    assert (row.x, row.y) == ("A", "B") and math.isclose(row.cos, math.sqrt(0.5))
+    with pytest.raises(Exception, match="no name"):
+        A.cosine_pairs(df, "id", "v", pairs, "x", "y", names.where("src = 'a'")).collect()
+
+
 def test_coarse_buckets_follow_the_walk(spark):
     rng = random.Random(3)
     rows = [(f"w{i}", int(rng.paretovariate(0.8)), i % 3) for i in range(300)] + [("x", 1, 9), ("y", 2, 9)]

@@ -3,7 +3,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordmill.functions.hashing import hash_key
-from wordmill.operators import rewrite, scale
+from wordmill.operators import rewrite, scale, wordpiece
 
 
 def skewed(spark, n=5000):
@@ -52,7 +52,6 @@ def test_large_vocabulary_join_equals_broadcast(spark, monkeypatch, how):
     small = scale.join_by_token(rows, table, how)
     want = sorted(map(str, small.select("key", "token", "dst", "freq").collect()))
     monkeypatch.setattr(scale, "is_small", lambda *_: False)
-    monkeypatch.setattr(scale, "HOT_KEYS", 3)
     large = scale.join_by_token(rows, table, how)
     assert sorted(map(str, large.select("key", "token", "dst", "freq").collect())) == want
 
@@ -63,10 +62,65 @@ def test_swap_with_large_map_equals_broadcast(spark, monkeypatch):
     want = sorted(map(str, rewrite.apply_swap(docs, "id", ["text"], mapping).collect()))
     assert "text='A1 b A1 C1'" in want[0] and "text=''" in want[1] and "text='C1 C1 d !'" in want[2] and "text=None" in want[3]
     monkeypatch.setattr(scale, "is_small", lambda *_: False)
-    monkeypatch.setattr(scale, "HOT_KEYS", 1)
     assert sorted(map(str, rewrite.apply_swap(docs, "id", ["text"], mapping).collect())) == want
 
 
+def test_swap_with_large_map_reads_the_documents_once(spark, monkeypatch):
+    path = scale.new_path(spark, "docs")
+    rows = [(i, "the the cat " + ("mat " * (i % 5)) + f"w{i}", i % 3) for i in range(300)]
+    spark.createDataFrame(rows, "id int, text string, tag int").write.parquet(path)
+    docs = spark.read.parquet(path)
+    words = {t for _, text, _ in rows for t in text.split()}
+    counts = {w: sum(text.split().count(w) for _, text, _ in rows) for w in words}
+    mapping = scale.settle(
+        spark.createDataFrame([(w, w.upper(), n) for w, n in counts.items()], "src string, dst string, freq int")
+    )
+    small = rewrite.apply_swap(docs.drop("tag"), "id", ["text"], mapping)
+    want = sorted(map(tuple, small.collect()))
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(scale, "is_small", lambda *_: False)
+    large = rewrite.apply_swap(docs.drop("tag"), "id", ["text"], mapping)
+    assert sorted(map(tuple, large.collect())) == want
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("== Initial Plan ==")[0]
+    assert sum("FileScan" in line and path in line for line in initial.splitlines()) == 1
+
+
+def test_ids_decode_with_a_large_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(scale, "is_small", lambda *_: False)
+    vocab = scale.settle(spark.createDataFrame([("a", 1), ("b", 2)], "token string, id int"))
+    docs = spark.createDataFrame([(i, [1, 1, 2, 9]) for i in range(500)] + [(900, [])], "key int, ids array<int>")
+    got = {r.key: r.tokens for r in wordpiece.decode_ids(docs, "key", "ids", vocab).collect()}
+    assert got == {i: ["a", "a", "b", "[UNK]"] for i in range(500)} | {900: []}
+
+
+def test_common_tokens_are_salted(spark, monkeypatch):
+    """A token with half of all rows ends in no task with more than twice a fair share of them."""
+    monkeypatch.setattr(scale, "is_small", lambda *_: False)
+    monkeypatch.setattr(scale, "task_count", lambda *_: 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token = F.when(F.col("id") % 2 == 0, "the").otherwise(F.concat(F.lit("w"), F.col("id") % 1000))
+        rows = spark.range(20000).select("id", token.alias("token"))
+        table = scale.settle(rows.groupBy("token").agg(F.count("*").alias("freq")))
+        joined = scale.join_by_token(rows, table)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 20000 and max(sizes) <= 2 * 20000 / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_cumulated_sums(spark):
+    df = skewed(spark, 500)
+    got = {r.key: r.before for r in scale.cumulated(df, [F.col("key")], "v").collect()}
+    total, want = 0, {}
+    for r in df.orderBy("key").collect():
+        want[r.key], total = total, total + r.v
+    assert got == want
+
+
 def test_strict_swap_fails_on_unknown_token(spark):
     docs = spark.createDataFrame([(1, ["a", "b"])], "id int, t array<string>")
     mapping = scale.settle(spark.createDataFrame([("a", "x")], "src string, dst string"))

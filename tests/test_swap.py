@@ -123,8 +123,22 @@ def test_rotation_has_no_fixed_point_and_mutual_is_an_involution(spark):
 def test_near_words_equal_all_pairs(spark):
     vocab = words(spark, 150)
     names = [r.token for r in vocab.collect()]
-    got = {(r.a, r.b) for r in W.near_words(vocab).collect()}
-    assert got == {(a, b) for a in names for b in names if edits(a, b) <= 1}
+    for limit in (0.1, 0.3, 1.0):
+        got = {(r.a, r.b) for r in W.near_words(vocab, limit).collect()}
+        want = {(a, b) for a in names for b in names if edits(a, b) <= 1 and edits(a, b) / max(len(a), len(b)) <= limit}
+        assert got == want
+
+
+def test_short_words_are_near_themselves_only(spark):
+    vocab = spark.createDataFrame([(chr(0x4E00 + i),) for i in range(1500)], "token string")
+    got = W.near_words(vocab).collect()
+    assert len(got) == 1500 and all(r.a == r.b for r in got)
+
+
+def test_weights_join_the_map(spark):
+    vocab = spark.createDataFrame([("a", 3), ("b", 2)], "token string, freq bigint")
+    mapping = spark.createDataFrame([("a", "b"), ("b", "a"), ("new", "x")], "src string, dst string")
+    assert {tuple(r) for r in W.weighed(mapping, vocab).collect()} == {("a", "b", 3), ("b", "a", 2), ("new", "x", 0)}
 
 
 def test_vocabulary_permutation_stays_in_category(spark):

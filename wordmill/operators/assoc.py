@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordmill.functions.arrays import unnest
 from wordmill.functions.hashing import hash_key
@@ -179,91 +184,126 @@ def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine_pairs(emb: DataFrame, key: str, value: str, pairs: DataFrame, first: str, second: str) -> DataFrame:
-    """Cosine of every given pair of rows; a row paired with itself is left out."""
+def cosine_pairs(
+    emb: DataFrame, key: str, value: str, pairs: DataFrame, first: str, second: str, names: DataFrame | None = None
+) -> DataFrame:
+    """Cosine of every given pair of rows; a row paired with itself is left out.
+
+    With ``names (src, dst)``, such as a swap map, both rows are called by their other name in the result;
+    a row without one is an error.
+    """
     unit = unit_vectors(emb, key, value)
-    left = unit.select(F.col(key).alias(first), F.col("u").alias("_a"))
-    right = unit.select(F.col(key).alias(second), F.col("u").alias("_b"))
+    if names is not None:
+        missing = F.raise_error(F.concat(F.lit("no name for row "), F.col(key).cast("string")))
+        called = names.select(F.col("src").alias(key), F.col("dst").alias("_name"))
+        unit = unit.join(called, key, "left").withColumn("_name", F.coalesce("_name", missing.cast(names.schema["dst"].dataType)))
+    else:
+        unit = unit.withColumn("_name", F.col(key))
+    left = unit.select(F.col(key).alias(first), F.col("u").alias("_a"), F.col("_name").alias("_first"))
+    right = unit.select(F.col(key).alias(second), F.col("u").alias("_b"), F.col("_name").alias("_second"))
     return (
         pairs.where(F.col(first) != F.col(second))
         .join(left, first)
         .join(right, second)
-        .select(first, second, dot("_a", "_b").alias("cos"))
+        .select(F.col("_first").alias(first), F.col("_second").alias(second), dot("_a", "_b").alias("cos"))
     )
 
 
-def _outer(a: str, b: str):
-    """All products of two short vectors, in row order."""
-    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * y)))
+def _gram(vectors: DataFrame, sides: list[str]) -> np.ndarray:
+    """Count, sums and products of all components: the Gram matrix of ``[1, *sides]`` over all rows.
 
+    Each task adds up its batches by matrix products and sends one matrix; its size is the square of the
+    dimension, whatever the number of rows, and so is what the driver holds.
+    """
 
-def _sum_vector(df: DataFrame, value) -> DataFrame:
-    """Element-wise sum of array values as a one-row array; summed by position before the shuffle."""
-    sums = (
-        df.select(F.posexplode_outer(value).alias("i", "x"))
-        .where("i is not null")
-        .groupBy("i")
-        .agg(F.sum("x").alias("x"))
-    )
-    return sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("s"))
+    def partial(batches):
+        total = None
+        for batch in batches:
+            m = np.hstack([np.ones((len(batch), 1)), *[np.stack(batch[s]) for s in sides]]) if len(batch) else None
+            if m is not None:
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pd.DataFrame({"m": [total.ravel()]})
+
+    cells = vectors.select(*sides).mapInPandas(partial, "m array<double>").select(F.posexplode("m").alias("i", "x"))
+    sums = cells.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").select("x").toPandas()["x"].to_numpy()
+    width = math.isqrt(len(sums))
+    return sums.reshape(width, width)
+
+
+def _usable(side: str) -> Column:
+    """Vectors that are there, with all components."""
+    return F.col(side).isNotNull() & ~F.exists(side, F.isnull)
+
+
+def _per_row(df: DataFrame, key: str, sides: list[str], names: list[str], score) -> DataFrame:
+    """Statistics of each row against all others from the Gram matrix; null for rows without a vector.
+
+    ``score`` gets the matrices of a batch, the sums and products, and the number of other rows.
+    """
+    usable = F.lit(True)
+    for side in sides:
+        usable = usable & _usable(side)
+    vectors = df.where(F.coalesce(usable, F.lit(False)))
+    gram = _gram(vectors, sides)
+    kinds = T.StructType([df.schema[key], *[T.StructField(n, T.DoubleType()) for n in names]])
+    if not len(gram):
+        return df.select(key, *[F.lit(None).cast("double").alias(n) for n in names])
+
+    def scored(batches):
+        for batch in batches:
+            if len(batch):
+                values = score([np.stack(batch[s]) for s in sides], gram, gram[0, 0] - 1)
+                yield pd.DataFrame({key: batch[key]} | dict(zip(names, values)))
+
+    found = vectors.select(key, *sides).mapInPandas(scored, kinds)
+    rest = df.where(~F.coalesce(usable, F.lit(False)))
+    return found.unionByName(rest.select(key, *[F.lit(None).cast("double").alias(n) for n in names]))
+
+
+def _form(left: np.ndarray, gram: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left @ gram) * right).sum(axis=1)
 
 
 def proximity_stats(emb: DataFrame, key: str, value: str) -> DataFrame:
     """Mean and standard deviation of the cosine of each row to all other rows.
 
     All pairs enter, none is formed: the sums over the other rows follow from the sum of the unit vectors
-    and of their outer products, which have the size of the dimension and its square.
+    and of their products. A row without others, or without a vector, gets nulls.
     """
-    unit = settle(unit_vectors(emb, key, value), "unit")
-    total = _sum_vector(unit, "u").scalar()
-    second = _sum_vector(unit, _outer("u", "u")).scalar()
-    others = F.lit(unit.count() - 1)
-    rows = unit.select(key, "u", total.alias("t"), second.alias("q"), _outer("u", "u").alias("uu"))
-    s1 = dot("u", "t") - dot("u", "u")
-    s2 = dot("uu", "q") - dot("u", "u") * dot("u", "u")
-    return rows.select(
-        key,
-        (s1 / others).alias("mean_cos"),
-        F.sqrt(F.greatest(s2 / others - (s1 / others) * (s1 / others), F.lit(0.0))).alias("std_cos"),
-    )
+
+    def score(sides, gram, others):
+        (u,) = sides
+        own = (u * u).sum(axis=1)
+        s1, s2 = u @ gram[0, 1:] - own, _form(u, gram[1:, 1:], u) - own * own
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = s1 / others
+            return mean, np.sqrt(np.maximum(s2 / others - mean * mean, 0.0))
+
+    return _per_row(settle(unit_vectors(emb, key, value), "unit"), key, ["u"], ["mean_cos", "std_cos"], score)
 
 
 def proximity_corr(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
     """Pearson correlation, per row, of its cosines to all other rows in two embedding matrices.
 
-    As above, the five sums behind the correlation come from moments of the joined unit vectors.
+    As above, the five sums behind the correlation come from moments of the joined unit vectors. A row
+    without variation gets null.
     """
-    both = settle(
-        unit_vectors(first, key, value, "u").join(unit_vectors(second, key, value, "v"), key), "both"
-    )
-    n = F.lit(both.count() - 1)
-    rows = both.select(
-        key,
-        "u",
-        "v",
-        _sum_vector(both, "u").scalar().alias("su"),
-        _sum_vector(both, "v").scalar().alias("sv"),
-        _sum_vector(both, _outer("u", "u")).scalar().alias("quu"),
-        _sum_vector(both, _outer("v", "v")).scalar().alias("qvv"),
-        _sum_vector(both, _outer("u", "v")).scalar().alias("quv"),
-        _outer("u", "u").alias("uu"),
-        _outer("v", "v").alias("vv"),
-        _outer("u", "v").alias("uv"),
-    )
-    own_u, own_v = dot("u", "u"), dot("v", "v")
-    sums = rows.select(
-        key,
-        (dot("u", "su") - own_u).alias("x"),
-        (dot("v", "sv") - own_v).alias("y"),
-        (dot("uu", "quu") - own_u * own_u).alias("xx"),
-        (dot("vv", "qvv") - own_v * own_v).alias("yy"),
-        (dot("uv", "quv") - own_u * own_v).alias("xy"),
-    )
-    cov = n * F.col("xy") - F.col("x") * F.col("y")
-    spread = F.sqrt(n * F.col("xx") - F.col("x") * F.col("x")) * F.sqrt(
-        n * F.col("yy") - F.col("y") * F.col("y")
-    )
-    return sums.select(key, (cov / spread).alias("corr"))
+
+    def score(sides, gram, n):
+        u, v = sides
+        d = u.shape[1] + 1
+        own_u, own_v = (u * u).sum(axis=1), (v * v).sum(axis=1)
+        x, y = u @ gram[0, 1:d] - own_u, v @ gram[0, d:] - own_v
+        xx = _form(u, gram[1:d, 1:d], u) - own_u * own_u
+        yy = _form(v, gram[d:, d:], v) - own_v * own_v
+        xy = _form(u, gram[1:d, d:], v) - own_u * own_v
+        spread = np.sqrt(np.maximum(n * xx - x * x, 0.0)) * np.sqrt(np.maximum(n * yy - y * y, 0.0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (np.where(spread > 0, (n * xy - x * y) / spread, np.nan),)
+
+    both = unit_vectors(first, key, value, "u").join(unit_vectors(second, key, value, "v"), key)
+    return _per_row(settle(both, "both"), key, ["u", "v"], ["corr"], score)
 
 
 def selectivity(df: DataFrame) -> DataFrame:

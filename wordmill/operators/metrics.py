@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wordmill.functions import fixed
 from wordmill.functions.arrays import unnest
 from wordmill.functions.hashing import hash_unit
-from wordmill.operators.scale import numbered, settle
+from wordmill.operators.scale import cumulated, join_by_token, settle
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -93,17 +93,34 @@ def mcc(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     return mcc_of(class_scores(confusion(df, gold, pred)))
 
 
-def average_ranks(df: DataFrame, key: str, col: str, name: str) -> DataFrame:
-    """Rank of each value, ties sharing their average rank (from a distributed numbering)."""
-    placed = numbered(df.select(F.col(col).alias("v")), [F.col("v")], name="at")
-    means = placed.groupBy("v").agg(F.avg("at").alias(name))
-    return df.join(means, F.col(col).eqNullSafe(means["v"])).drop("v")
+def average_ranks(cells: DataFrame, col: str, name: str) -> DataFrame:
+    """Add to ``(col, ..., n)`` the rank of each value among all ``n`` rows, ties sharing their average rank.
 
+    Only distinct values are ordered: a value's rank is the number of rows before it plus half its own.
+    Values with many cells are salted when the ranks are too large to broadcast.
+    """
+    values = cells.groupBy(col).agg(F.sum("n").alias("_rows"), F.count("*").alias("freq"))
+    placed = cumulated(values, [F.col(col)], "_rows", "_before")
+    rank = F.col("_before") + (F.col("_rows") + 1) / 2
+    ranks = settle(placed.select(col, rank.alias(name), "freq"), "ranks")
+    return join_by_token(cells, ranks, on=col).drop("freq")
+
+
+def spearman(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """Pearson correlation of the average ranks, over the rows that have both values.
 
-def spearman(df: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
-    """Pearson correlation of the average ranks."""
-    ranked = average_ranks(average_ranks(df.select(key, gold, pred), key, gold, "rg"), key, pred, "rp")
-    return ranked.agg(F.corr("rg", "rp").alias("spearmanr"))
+    The rows are counted per (gold, predicted) value once; all else works on those counts.
+    """
+    both = df.where(F.col(gold).isNotNull() & F.col(pred).isNotNull())
+    cells = settle(confusion(both, gold, pred), "cells")
+    ranked = average_ranks(average_ranks(cells, "gold", "rg"), "pred", "rp")
+    middle = (cells.agg(F.sum("n")).scalar() + 1) / 2
+    x, y, n = F.col("rg") - F.col("_middle"), F.col("rp") - F.col("_middle"), F.col("n")
+    sums = ranked.withColumn("_middle", middle).agg(
+        F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy")
+    )
+    spread = F.sqrt("xx") * F.sqrt("yy")
+    return sums.select(F.when(spread > 0, F.col("xy") / spread).alias("spearmanr"))
 
 
 def task_metrics(df: DataFrame, task: str, key: str, gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -122,7 +139,7 @@ def task_metrics(df: DataFrame, task: str, key: str, gold: str = "gold", pred: s
     if "pearson" in names:
         parts.append(df.agg(F.corr(gold, pred).alias("value")).withColumn("metric", F.lit("pearson")))
     if "spearmanr" in names:
-        parts.append(spearman(df, key, gold, pred).select(F.col("spearmanr").alias("value"), F.lit("spearmanr").alias("metric")))
+        parts.append(spearman(df, gold, pred).select(F.col("spearmanr").alias("value"), F.lit("spearmanr").alias("metric")))
     table = parts[0].select("metric", "value")
     for part in parts[1:]:
         table = table.unionByName(part.select("metric", "value"))
@@ -183,32 +200,37 @@ def spans(tags: Column) -> Column:
 def span_report(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """Precision, recall, F1 and support of entity spans, per type and overall, and token accuracy.
 
-    Gold and predicted spans are compared inside their row; only counts are shuffled.
+    Spans are coded as text, so a row's gold and predicted ones meet in one hashed intersection. The
+    rows are passed once; each sends its spans' types and its token counts into one combined count.
     """
+    code = lambda s: F.concat_ws(":", s["first"], s["last"], s["type"])
     both = df.select(F.col(gold).alias("g"), F.col(pred).alias("p")).select(
-        "g", "p", spans(F.col("g")).alias("gs"), spans(F.col("p")).alias("ps")
-    )
-    tag = lambda side: F.transform(
-        side, lambda s: F.struct(s["type"].alias("type"), F.array_contains("gs", s).alias("in_gold"), F.array_contains("ps", s).alias("in_pred"))
+        F.transform(spans(F.col("g")), code).alias("gs"),
+        F.transform(spans(F.col("p")), code).alias("ps"),
+        F.aggregate(F.zip_with("g", "p", lambda a, b: a == b), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(False)).cast("int")).alias("same"),
+        F.size("g").alias("size"),
     )
-    same = F.size(F.filter(F.zip_with("g", "p", lambda a, b: a == b), lambda x: x))
-    marked = settle(
-        both.select(tag(F.array_union("gs", "ps")).alias("s"), same.alias("same"), F.size("g").alias("size")),
-        "marked",
+    item = lambda kind, support, predicted, hit: F.struct(
+        kind.alias("type"),
+        *[
+            (F.lit(x) if isinstance(x, int) else x).cast("bigint").alias(name)
+            for name, x in (("support", support), ("predicted", predicted), ("hit", hit))
+        ],
     )
-    counts = (
-        unnest(marked, [], F.col("s"), "s")
-        .groupBy("s.type")
-        .agg(
-            F.count_if("s.in_gold").alias("support"),
-            F.count_if("s.in_pred").alias("predicted"),
-            F.count_if(F.col("s.in_gold") & F.col("s.in_pred")).alias("hit"),
-        )
+    kind_of = lambda s: F.regexp_replace(s, "^[0-9]+:[0-9]+:", "")
+    items = F.concat(
+        F.transform("gs", lambda s: item(kind_of(s), 1, 0, 0)),
+        F.transform("ps", lambda s: item(kind_of(s), 0, 1, 0)),
+        F.transform(F.array_intersect("gs", "ps"), lambda s: item(kind_of(s), 0, 0, 1)),
+        F.array(item(F.lit(None).cast("string"), F.col("size"), 0, F.col("same"))),
     )
-    counts = settle(counts, "spans")
-    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("support", "predicted", "hit")])
+    sides = ("support", "predicted", "hit")
+    found = unnest(both, [], items, "s").groupBy("s.type").agg(*[F.sum(f"s.{c}").alias(c) for c in sides])
+    found = settle(found, "spans")
+    counts = found.where("type IS NOT NULL")
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sides])
     rows = counts.unionByName(total.withColumn("type", F.lit("overall")))
-    accuracy = marked.agg(F.sum("same") / F.sum("size")).scalar()
+    accuracy = found.where("type IS NULL").agg(F.try_divide(F.sum("hit"), F.sum("support"))).scalar()
     return rows.select(
         "type",
         ratio(F.col("hit"), F.col("predicted")).alias("precision"),

@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordmill.operators.metrics import class_scores, confusion, mcc_of
-from wordmill.operators.scale import settle
+from wordmill.operators.scale import new_path, settle
 
 
 def feature_vectors(features: DataFrame, rows: DataFrame, key: str, label: str, size: int) -> DataFrame:
-    """Sparse vectors of the rows; a row without features gets the zero vector."""
+    """Sparse vectors of the rows, settled; a row without features gets the zero vector.
+
+    The vectors are written as the plain columns that make up a sparse vector and read back as vectors, so no row passes through Python.
+    """
     lists = features.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("cnt").cast("double").alias("cnt")))).alias("f")
     )
-    pack = F.udf(lambda idx, cnt: Vectors.sparse(size, idx, cnt), VectorUDT())
     filled = rows.select(key, F.col(label).cast("double").alias("label")).join(lists, key, "left")
-    return filled.select(
-        key,
-        "label",
-        pack(
-            F.coalesce("f.idx", F.array().cast("array<int>")),
-            F.coalesce("f.cnt", F.array().cast("array<double>")),
-        ).alias("features"),
+    sparse = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size).alias("size"),
+        F.coalesce("f.idx", F.array().cast("array<int>")).alias("indices"),
+        F.coalesce("f.cnt", F.array().cast("array<double>")).alias("values"),
     )
+    plain = filled.select(key, "label", sparse.alias("features"))
+    path = new_path(plain.sparkSession, "vectors")
+    plain.write.parquet(path)
+    schema = T.StructType([*plain.schema.fields[:2], T.StructField("features", VectorUDT())])
+    return plain.sparkSession.read.schema(schema).parquet(path)
 
 
 def scored(model, data: DataFrame, name: str) -> DataFrame:
@@ -38,8 +44,10 @@ def scored(model, data: DataFrame, name: str) -> DataFrame:
 def bow_classifier(
     train: DataFrame, evals: dict[str, DataFrame], max_iter: tuple[int, ...] = (5, 20)
 ) -> DataFrame:
-    """Linear classifier, scored on every evaluation set after each training length; the best is kept."""
-    train = settle(train, "train")
+    """Linear classifier, scored on every evaluation set after each training length; the best is kept.
+
+    ``train`` and the evaluation sets are settled tables. The driver holds one coefficient per feature and class.
+    """
     rounds = []
     for steps in max_iter:
         model = LogisticRegression(maxIter=steps, family="multinomial").fit(train)
@@ -52,7 +60,7 @@ def bow_classifier(
 
 def mlp(train: DataFrame, evals: dict[str, DataFrame], layers: list[int], steps: int = 20, seed: int = 42) -> DataFrame:
     """Small feed-forward classifier with the given layer sizes, scored on every evaluation set."""
-    model = MultilayerPerceptronClassifier(layers=layers, maxIter=steps, seed=seed).fit(settle(train, "train"))
+    model = MultilayerPerceptronClassifier(layers=layers, maxIter=steps, seed=seed).fit(train)
     parts = [scored(model, data, name) for name, data in evals.items()]
     table = parts[0]
     for part in parts[1:]:

@@ -36,7 +36,10 @@ def _after(name: Column, word: str) -> Column:
 
 
 def parse_run_names(df: DataFrame, col: str) -> DataFrame:
-    """Condition columns of a run from its name."""
+    """Condition columns of a run from its name.
+
+    The perturbed type is what follows the second dash of the last data section that has one, else empty.
+    """
     name = F.col(col)
     tokenizer = _first_marker(name, MODEL_MARKERS, F.lit(None).cast("string"))
     reinit = F.when(tokenizer.isNull(), F.lit(None)).when(
@@ -54,6 +57,7 @@ def parse_run_names(df: DataFrame, col: str) -> DataFrame:
             "inoculation": F.coalesce(_after(name, "inoculation").cast("double"), F.lit(0.0)),
             "midtuning": mid,
             "galactic_shift": shift,
+            "perturbed_type": F.regexp_extract(name, r"^(?:.*_)?data_[^_-]*-[^_-]*-([^_]*)", 1),
             "reinit_embedding": reinit,
             "reverse_order": name.contains("reverse_True"),
             "random_order": name.contains("random_True"),
@@ -70,7 +74,7 @@ def _drop_parts(name: Column, n: int) -> Column:
 
 
 def missing_runs(expected: DataFrame, path: str, done: DataFrame, name: str) -> DataFrame:
-    """Expected run folders without a finished run.
+    """Expected records without a finished run, one row each, with the (alphabetically last) folder.
 
     The record of a folder is its last path part without the first underscore part; that of a finished
     run is its name without the first four.
@@ -78,7 +82,8 @@ def missing_runs(expected: DataFrame, path: str, done: DataFrame, name: str) ->
     folder = F.element_at(F.split(F.trim(F.col(path), F.lit("/")), "/"), -1)
     wanted = expected.select(F.col(path).alias("path"), _drop_parts(folder, 1).alias("record"))
     finished = done.select(_drop_parts(F.col(name), 4).alias("record")).distinct()
-    return wanted.join(finished, "record", "left_anti").select("record", "path")
+    folders = wanted.groupBy("record").agg(F.max("path").alias("path"))
+    return folders.join(finished, "record", "left_anti").select("record", "path")
 
 
 def best_runs(df: DataFrame, keys: list[str], score: str, run: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 SETTING = "spark.checkpoint.dir"
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_KEYS = 1000
+#: A token is salted when it holds more than one of this many shares of a task's rows.
+SHARES_PER_TASK = 8
 _LOCAL_BITS = 33
 
 
@@ -80,6 +81,20 @@ def numbered(
     return joined.select(*[ordered[c] for c in df.columns], (F.col("_at") + F.col("_offset")).alias(name))
 
 
+def cumulated(df: DataFrame, order: list[Column], value: str, name: str = "before") -> DataFrame:
+    """Sum of ``value`` over all earlier rows of a global order, without a single-task window."""
+    ordered = settle(
+        df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted"
+    ).withColumn("_part", F.shiftright("_at", _LOCAL_BITS))
+    parts = ordered.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    earlier = lambda by: by.rowsBetween(W.unboundedPreceding, -1)
+    none = F.lit(0)
+    offsets = parts.select("_part", F.coalesce(F.sum("_sum").over(earlier(W.orderBy("_part"))), none).alias("_offset"))
+    inside = F.coalesce(F.sum(value).over(earlier(W.partitionBy("_part").orderBy("_at"))), none)
+    placed = ordered.withColumn("_inside", inside).join(F.broadcast(offsets), "_part")
+    return placed.select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(name))
+
+
 def table_bytes(df: DataFrame) -> int:
     """Upper estimate of the in-memory size of a settled table: its strings plus 16 bytes per value."""
     width = 16 * len(df.columns)
@@ -101,25 +116,29 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 def join_by_token(rows: DataFrame, table: DataFrame, how: str = "inner", on: str = "token") -> DataFrame:
     """Equi-join of corpus tokens with a settled vocabulary-sized table, one row per token.
 
-    A table of measured small size is broadcast. A larger one is cut in two: its most frequent tokens
-    (at most ``HOT_KEYS`` rows, by its column ``freq`` or else by counting the corpus tokens) are
-    broadcast, so that no task receives all occurrences of a common word, and the remaining occurrences
-    meet the rest in a shuffled join.
+    A table of measured small size is broadcast. With a larger one the corpus is read once, for one shuffled
+    join in which no task gets all occurrences of a common token: tokens that hold more than a task's share
+    are salted by their own share, so the list of them has at most as many rows as there are shares. The
+    weights are the table's column ``freq``, or else counts of the corpus tokens. Rows that differ in any
+    column get salts of their own; null tokens, which match nothing, are spread too.
     """
     if is_small(table):
         return rows.join(F.broadcast(table), on, how)
     if "freq" in table.columns:
-        top = table.orderBy(F.desc("freq"), on).limit(HOT_KEYS)
+        weights = table.select(on, F.col("freq").alias("_n"))
     else:
-        counts = settle(rows.groupBy(on).agg(F.count("*").alias("_n")), "counts")
-        top = counts.orderBy(F.desc("_n"), on).limit(HOT_KEYS)
-    hot = settle(table.join(F.broadcast(top.select(on)), on, "left_semi"), "hot")
+        weights = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
+        weights = settle(weights, "counts")
+    shares = SHARES_PER_TASK * task_count(rows.sparkSession)
+    share = max(1, (weights.agg(F.sum("_n")).first()[0] or 0) // shares + 1)
+    heavy = weights.where(F.col("_n") > share)
+    hot = settle(heavy.select(on, F.ceil(F.col("_n") / share).cast("int").alias("_salts")), "hot")
     columns = [c for c in table.columns if c != on]
-    at_hot = rows.join(F.broadcast(hot), on, "inner")
-    at_cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(
-        table.join(F.broadcast(hot.select(on)), on, "left_anti"), on, how
-    )
-    return at_hot.unionByName(at_cold.select(*at_hot.columns)).select(*rows.columns, *columns)
+    parts = F.when(F.col(on).isNull(), F.lit(shares)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), parts))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)).cast("bigint") - 1)
+    copies = table.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts)).drop("_salts")
+    return salted.join(copies, [on, "_salt"], how).select(*rows.columns, *columns)
 
 
 def mark_first(

@@ -23,35 +23,31 @@ def lev_pairs(pairs: DataFrame, first: str = "src", second: str = "dst") -> Data
     return both.withColumn("dist", norm_lev("a", "b"))
 
 
-def near_words(vocab: DataFrame) -> DataFrame:
-    """All pairs of words at most one edit apart, both directions and each word with itself.
+def near_words(vocab: DataFrame, max_dist: float = THRESHOLD) -> DataFrame:
+    """Pairs of words one edit and at most ``max_dist`` of the longer length apart, both directions and each word with itself.
 
     Two such words share the word itself or a form with one letter left out, so the pairs come from an
-    equi-join on those forms. A form is shared by at most (alphabet size x length) words, whatever the
-    size of the vocabulary.
+    equi-join on those forms. Words too short for one edit within ``max_dist`` have no such forms and meet
+    only themselves; a form is then shared by at most (alphabet size x length) words.
     """
     n = F.length("token")
     without = lambda i: F.concat(
         F.substring(F.col("token"), F.lit(1), i - 1), F.substring(F.col("token"), i + 1, n)
     )
+    shorter = F.when(1 / n <= max_dist, F.transform(F.sequence(F.lit(1), n), without))
     forms = vocab.where(n > 0).select(
         "token",
         F.explode_outer(
             F.array_distinct(
-                F.concat(F.array("token"), F.transform(F.sequence(F.lit(1), n), without))
+                F.concat(F.array("token"), F.coalesce(shorter, F.array().cast("array<string>")))
             )
         ).alias("form"),
     )
     left = forms.select("form", F.col("token").alias("a"))
     right = forms.select("form", F.col("token").alias("b"))
     close = F.levenshtein(F.col("a"), F.col("b"), 1)
-    return (
-        left.join(right, "form")
-        .where(close >= 0)
-        .select("a", "b")
-        .distinct()
-        .select("a", "b", norm_lev("a", "b").alias("dist"))
-    )
+    near = left.join(right, "form").where(close >= 0).select("a", "b").distinct()
+    return near.select("a", "b", norm_lev("a", "b").alias("dist")).where(F.col("dist") <= max_dist)
 
 
 def swap_rank(vocab: DataFrame, thr: float = THRESHOLD, by: str = "n_pieces") -> DataFrame:
@@ -393,6 +389,12 @@ def invert_map(mapping: DataFrame) -> DataFrame:
     return mapping.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def weighed(mapping: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Map with the frequency of its source words, by which a rewrite salts the common ones."""
+    weights = vocab.select(F.col("token").alias("src"), "freq")
+    return mapping.join(weights, "src", "left").select("src", "dst", F.coalesce("freq", F.lit(0)).alias("freq"))
+
+
 def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         F.explode(

@@ -9,7 +9,7 @@ from wordmill.functions import fixed
 from wordmill.functions.arrays import unnest_with_position
 from wordmill.functions.hashing import hash_int, hash_unit
 from wordmill.functions.text import basic_tokens
-from wordmill.operators.scale import is_small, join_by_token, task_count
+from wordmill.operators.scale import is_small, join_by_token, settle, task_count
 from wordmill.operators.vocab import term_freq
 
 MAX_WORD = 100
@@ -97,7 +97,7 @@ def encode_ids(df: DataFrame, key: str, col: str, vocab: DataFrame, unk: int) ->
     """Token arrays to id arrays, unknown tokens to ``unk``; an empty array stays empty."""
     docs = df.select(key, col).repartition(key)
     rows = unnest_with_position(docs, [key], F.col(col))
-    hits = join_by_token(rows, vocab.select("token", "id"), "left")
+    hits = join_by_token(rows, _ids(vocab), "left")
     return _regroup(docs, hits, key, F.coalesce("id", F.lit(unk)), "ids")
 
 
@@ -105,10 +105,15 @@ def decode_ids(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame
     """Id arrays back to token arrays, unknown ids to the unknown piece."""
     docs = df.select(key, col).repartition(key)
     rows = unnest_with_position(docs, [key], F.col(col), "id")
-    hits = rows.join(vocab.select("token", "id"), "id", "left")
+    hits = join_by_token(rows, _ids(vocab), "left", on="id")
     return _regroup(docs, hits, key, F.coalesce("token", F.lit(fixed.UNK)), "tokens")
 
 
+def _ids(vocab: DataFrame) -> DataFrame:
+    """Tokens and ids of a vocabulary, with their frequency if it is known."""
+    return vocab.select("token", "id", *[c for c in ("freq",) if c in vocab.columns])
+
+
 def _regroup(docs: DataFrame, hits: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     """Positions back into one array per row. Both sides keep the partitioning by ``key``."""
     lists = hits.groupBy(key).agg(
@@ -225,7 +230,7 @@ def mask_tokens(
 
 def piece_vocabulary(df: DataFrame, col: str, min_freq: int = 5) -> DataFrame:
     """Small word-piece vocabulary of a corpus: frequent words, all characters, all continuation characters."""
-    freq = term_freq(df, col)
+    freq = settle(term_freq(df, col), "freq")
     chars = freq.select(F.explode_outer(F.split("token", "")).alias("token")).where("token <> ''").distinct()
     frequent = freq.where(F.col("freq") >= min_freq).select("token")
     return (

@@ -150,6 +150,20 @@ def cosine_pairs(spark, folder):
     return rounded(A.cosine_pairs(emb, "vec_id", "embedding", moved, "vec_id", "old_key"), "cos")
 
 
+@query(
+    S.with_(*PERMUTED)
+    + "SELECT q.old_key AS vec_id, r.old_key, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM permuted p "
+    + "JOIN embeddings a USING (vec_id) JOIN embeddings b ON b.vec_id = p.old_key JOIN permuted q ON q.vec_id = p.vec_id JOIN permuted r ON r.vec_id = p.old_key "
+    + "WHERE p.vec_id <> p.old_key"
+)
+def cosine_pairs_renamed(spark, folder):
+    """The same similarities, each row called by the one that replaces it."""
+    emb = _embeddings(spark, folder)
+    moved = settle(W.permute_rows(emb, "vec_id", "embedding", I.SEED).select("vec_id", "old_key"), "moved")
+    names = moved.select(F.col("vec_id").alias("src"), F.col("old_key").alias("dst"))
+    return rounded(A.cosine_pairs(emb, "vec_id", "embedding", moved, "vec_id", "old_key", names), "cos")
+
+
 COSINES = "SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM {t} a, {t} b WHERE a.vec_id <> b.vec_id"
 
 

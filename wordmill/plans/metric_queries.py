@@ -267,17 +267,13 @@ def bow_classifier(spark, folder):
         return models.feature_vectors(X.bow(rows, "doc_id", ["text"], index), rows, "doc_id", "quality", size)
 
     held_out = docs.where("split <> 'train'")
-    matched = R.apply_swap(held_out, "doc_id", ["text"], settle(W.swap_rank(vocab), "map"))
-    blind = R.apply_swap(held_out, "doc_id", ["text"], settle(W.swap_random(vocab, I.SEED), "map"))
+    matched = R.apply_swap(held_out, "doc_id", ["text"], settle(W.weighed(W.swap_rank(vocab), vocab), "map"))
+    blind = R.apply_swap(held_out, "doc_id", ["text"], settle(W.weighed(W.swap_random(vocab, I.SEED), vocab), "map"))
     sets = {"original": held_out, "matched": matched, "blind": blind}
-    evals = {name: settle_vectors(vectors(rows)) for name, rows in sets.items()}
+    evals = {name: vectors(rows) for name, rows in sets.items()}
     return models.bow_classifier(vectors(docs.where("split = 'train'")), evals)
 
 
-def settle_vectors(df):
-    return settle(df, "vectors")
-
-
 @query()
 def bow_mlp(spark, folder):
     """Two-layer classifier on frequency-bucket features of the labelled documents."""
@@ -286,7 +282,7 @@ def bow_mlp(spark, folder):
 
     def vectors(rows):
         features = X.bucket_bow(rows, "doc_id", "text", buckets)
-        return settle(models.feature_vectors(features, rows, "doc_id", "quality", 25), "vectors")
+        return models.feature_vectors(features, rows, "doc_id", "quality", 25)
 
     evals = {"original": vectors(docs.where("split <> 'train'"))}
     return models.mlp(vectors(docs.where("split = 'train'")), evals, [25, 32, 2])
@@ -370,6 +366,7 @@ MODEL_SQL = (
   regexp_extract(path, '_seed_([0-9]+)', 1)::INT AS seed, regexp_extract(path, '_inoculation_([0-9.]+)', 1)::DOUBLE AS inoculation,
   contains(path, 'inoculation_1.0') AS midtuning,
   CASE WHEN contains(path, 'data_wikitext-15M-en~fr@N~fr@V') THEN 'en~fr@N~fr@V' WHEN contains(path, 'data_wikitext-15M-en~fr@N~jaktc@V') THEN 'en~fr@N~jaktc@V' ELSE 'null' END AS galactic_shift,
+  array_to_string(string_split(regexp_extract(path, '_data_([^_]*)', 1), '-')[3:], '-') AS perturbed_type,
   CASE WHEN model IS NULL THEN 'none' WHEN model IN ('bert-base-uncased', 'microsoft/deberta-base') THEN contains(path, 'reinit_emb_True')::VARCHAR ELSE 'true' END AS reinit_embedding,
   contains(path, 'reverse_True') AS reverse_order, contains(path, 'random_True') AS random_order, contains(path, 'token_s_True') AS token_swap,
   contains(path, 'word_s_True') AS word_swap, contains(path, 'word_freq_s_True') AS word_swap_frequency FROM named"""
@@ -390,7 +387,7 @@ def parse_run_names(spark, folder):
         "wanted AS (SELECT path, array_to_string(string_split(string_split(path, '/')[-1], '_')[2:], '_') AS record FROM names)",
         "finished AS (SELECT DISTINCT record FROM (SELECT array_to_string(string_split(string_split(path, '/')[-1], '_')[2:], '_') AS record, lang FROM names) WHERE lang = 'en')",
     )
-    + "SELECT record, path FROM wanted WHERE record NOT IN (SELECT record FROM finished)"
+    + "SELECT record, max(path) AS path FROM wanted WHERE record NOT IN (SELECT record FROM finished) GROUP BY record"
 )
 def missing_runs(spark, folder):
     names = _run_names(spark, folder)

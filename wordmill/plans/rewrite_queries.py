@@ -21,7 +21,8 @@ SWAPPED = f"swapped AS (SELECT doc_id, {GLUE} AS swapped FROM doc_rows LEFT JOIN
 
 
 def _map(spark, folder):
-    return settle(W.swap_rank(I.vocabulary(spark, folder)), "map")
+    vocab = I.vocabulary(spark, folder)
+    return settle(W.weighed(W.swap_rank(vocab), vocab), "map")
 
 
 @query(S.with_(*BASE, SWAPPED) + f"SELECT doc_id, CASE WHEN {S.present('text')} THEN coalesce(swapped, '') ELSE text END AS text, lang FROM documents LEFT JOIN swapped USING (doc_id)")
@@ -50,7 +51,7 @@ def _pair_field(col: str) -> str:
 def apply_swap_pairs(spark, folder):
     pairs = I.pairs(spark, folder)
     vocab = settle(vocab_table(doc_freq(pairs, ["first", "second"])), "vocab")
-    return R.apply_swap(pairs, "pair_id", ["first", "second"], settle(W.swap_rank(vocab), "map"))
+    return R.apply_swap(pairs, "pair_id", ["first", "second"], settle(W.weighed(W.swap_rank(vocab), vocab), "map"))
 
 
 @query(S.with_(*BASE) + "SELECT doc_id, coalesce(string_agg(dst, ' ' ORDER BY pos), '') AS tokens FROM documents LEFT JOIN doc_rows USING (doc_id) LEFT JOIN swaps ON src = token GROUP BY doc_id")

@@ -232,7 +232,7 @@ def lev_pairs(spark, folder):
         "FROM (SELECT token, unnest(range(1, length(token) + 1)) AS i FROM df))",
         f"near AS (SELECT DISTINCT x.token AS a, y.token AS b FROM forms x JOIN forms y USING (form) WHERE {S.lev('x.token', 'y.token')} <= 1)",
     )
-    + f"SELECT a, b, round({S.norm_lev('a', 'b')}, 6) AS dist FROM near"
+    + f"SELECT a, b, round(dist, 6) AS dist FROM (SELECT a, b, {S.norm_lev('a', 'b')} AS dist FROM near) WHERE dist <= 0.3"
 )
 def near_words(spark, folder):
     return W.near_words(I.field_frequencies(spark, folder)).withColumn("dist", F.round("dist", 6))
