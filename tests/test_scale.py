@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wordmill.functions.hashing import hash_key
 from wordmill.operators import rewrite, scale, wordpiece
+from wordmill.plans import inputs
 
 
 def skewed(spark, n=5000):
@@ -83,7 +84,7 @@ def test_swap_with_large_map_reads_the_documents_once(spark, monkeypatch):
     assert sorted(map(tuple, large.collect())) == want
     plan = large._jdf.queryExecution().executedPlan().toString()
     initial = plan.split("== Initial Plan ==")[0]
-    assert sum("FileScan" in line and path in line for line in initial.splitlines()) == 1
+    assert sum("FileScan" in line and "text:string" in line for line in initial.splitlines()) == 1
 
 
 def test_ids_decode_with_a_large_vocabulary(spark, monkeypatch):
@@ -140,3 +141,28 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         scale.checkpoint_folder(Session)
+
+
+def test_clean_up_removes_the_run_folder(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scale, "checkpoint_folder", lambda _: str(tmp_path))
+    scale.settle(spark.range(3))
+    assert [p.name for p in tmp_path.iterdir()] == [f"wordmill-{spark.sparkContext.applicationId}"]
+    assert scale.clean_up(spark) and not list(tmp_path.iterdir()) and not scale.clean_up(spark)
+
+
+def test_local_mode_has_one_temporary_folder(tmp_path):
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "local[2]", "applicationId": "test-app"})
+
+    assert scale.checkpoint_folder(Session) == scale.checkpoint_folder(Session)
+
+
+def test_labelled_documents_start_no_join(spark):
+    """Only the two schemas are read while the plan is built."""
+    context = spark.sparkContext
+    context.setJobGroup("labelled", "plan")
+    inputs.labelled(spark, "/root/testdata/sf0.001")
+    jobs = context.statusTracker().getJobIdsForGroup("labelled")
+    context.setJobGroup("tests", "")
+    assert len(jobs) <= 2

@@ -85,3 +85,20 @@ def test_run_names_and_missing_runs(spark):
     expected = spark.createDataFrame([("a/1-5_x_y/",), ("a/1-5_z/",)], "path string")
     done = spark.createDataFrame([("1-5_task_t_ft_x_y",)], "name string")
     assert [tuple(r) for r in runs.missing_runs(expected, "path", done, "name").collect()] == [("z", "a/1-5_z/")]
+
+
+def test_line_numbers_over_several_files_and_stretches(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    want = {}
+    for name, n in (("a", 700), ("b", 3), ("c", 2000)):
+        lines = [f"{name} {i}" for i in range(n)]
+        want |= {line: len(want) + i for i, line in enumerate(lines)}
+        (folder / f"{name}.txt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        df = readers.with_line_numbers(spark.read.text(str(folder)))
+        assert {r.value: r.line for r in df.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert readers.with_line_numbers(spark.read.text(str(folder)).where("false")).count() == 0

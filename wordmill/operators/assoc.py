@@ -107,6 +107,23 @@ def pair_coverage(df: DataFrame, key: str, label: str, text: str, points: int =
     return _coverage(hits, ["b1", "b2"], df, label)
 
 
+def lift_and_coverage(
+    df: DataFrame, key: str, label: str, text: str, points: int = 25, pairs: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Lift and coverage of buckets, or of ordered bucket pairs, from one count of the rows' histograms.
+
+    The corpus is tokenised once for the buckets and once for the histograms, whatever is reported.
+    """
+    hist = _pair_histograms(df, key, label, text, points)
+    items, keys = (ordered_pairs(F.col("hist")), ["b1", "b2"]) if pairs else (F.col("hist"), ["bucket"])
+    counts = hist.select("label", F.explode(items).alias("p")).groupBy("label", *[f"p.{k}" for k in keys])
+    cells = settle(counts.agg(F.sum("p.n").alias("n"), F.count("*").alias("rows")), "cells")
+    priors = settle(label_prior(df.select(F.col(label).alias("label")), "label"), "priors")
+    sizes = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("size"))
+    coverage = cells.join(sizes, "label").select("label", *keys, (F.col("rows") / F.col("size")).alias("coverage"))
+    return _lift(cells.select("label", *keys, "n"), keys, priors), coverage
+
+
 def lift_topk(lift: DataFrame, coverage: DataFrame, keys: list[str], k: int, every: int = 1) -> DataFrame:
     """Best ``k`` cells of every label by lift, with their coverage; ``every=2`` drops mirrored pairs.
 

@@ -15,22 +15,35 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 #: A token is salted when it holds more than one of this many shares of a task's rows.
 SHARES_PER_TASK = 8
 _LOCAL_BITS = 33
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only in local mode."""
+    """Shared folder named by the cluster; a temporary one only in local mode, the same for all of a session's tables."""
     folder = spark.conf.get(SETTING, None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{SETTING} must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="wordmill-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="wordmill-")
+    return _LOCAL_FOLDERS[app]
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Folder of all intermediate tables of this application."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/wordmill-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str = "table") -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/wordmill-{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> bool:
+    """Delete the intermediate tables of this application; results that were not written elsewhere go with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def task_count(spark: SparkSession) -> int:

@@ -69,9 +69,7 @@ def pair_coverage(spark, folder):
     + "(SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(lift, 9) DESC, bucket) AS rank FROM lifts) JOIN covers USING (label, bucket) WHERE rank <= 5"
 )
 def lift_topk(spark, folder):
-    docs = _docs(spark, folder)
-    lift = A.bucket_lift(docs, "quality", "text")
-    cover = A.bucket_coverage(docs, "doc_id", "quality", "text")
+    lift, cover = A.lift_and_coverage(_docs(spark, folder), "doc_id", "quality", "text")
     return rounded(A.lift_topk(lift, cover, ["bucket"], 5), "lift", "coverage")
 
 
@@ -82,9 +80,7 @@ def lift_topk(spark, folder):
     + "WHERE rank <= 10 AND rank % 2 = 1"
 )
 def pair_lift_topk(spark, folder):
-    docs = _docs(spark, folder)
-    lift = A.pair_lift(docs, "doc_id", "quality", "text")
-    cover = A.pair_coverage(docs, "doc_id", "quality", "text")
+    lift, cover = A.lift_and_coverage(_docs(spark, folder), "doc_id", "quality", "text", pairs=True)
     return rounded(A.lift_topk(lift, cover, ["b1", "b2"], 10, every=2), "lift", "coverage")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from wordmill.functions import fixed
 from wordmill.functions.hashing import hash_key
-from wordmill.operators.scale import numbered, take_first
+from wordmill.operators.scale import cumulated, settle, take_first
 
 SPLIT_FILES = {"train": "train.tsv", "validation": "dev.tsv", "test": "test.tsv"}
 GOLD_SCHEMA = T.StructType(
@@ -41,17 +41,25 @@ def read_splits(spark: SparkSession, folder: str, schema: T.StructType) -> DataF
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def file_order() -> list[Column]:
-    """Order of rows as they stand in their files."""
-    return [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
-
-
 def with_line_numbers(df: DataFrame, name: str = "line") -> DataFrame:
-    """0-based line numbers of a table just read from files."""
-    path, block, at = file_order()
-    placed = df.select("*", path.alias("_path"), block.alias("_block"), at.alias("_row"))
-    order = [F.col("_path"), F.col("_block"), F.col("_row")]
-    return numbered(placed, order, name=name, start=0).drop("_path", "_block", "_row")
+    """0-based line numbers of a table just read from files, in the order of file and place.
+
+    Tasks read stretches of files in order, so the text is written once as it comes, unsorted; a line's number is
+    its place in its stretch plus the lines of earlier stretches, which are counted in a small table.
+    """
+    placed = settle(
+        df.select(
+            "*",
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"),
+        ),
+        "lines",
+    )
+    stretches = placed.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = cumulated(stretches, [F.col("_path"), F.col("_block")], "_n", "_before").drop("_n")
+    line = F.col("_row") - F.col("_first") + F.col("_before")
+    return placed.join(settle(before, "stretches"), ["_path", "_block"]).select(*df.columns, line.alias(name))
 
 
 def read_reviews(
