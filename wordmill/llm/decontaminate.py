@@ -6,6 +6,9 @@ hold the items whose byte is within two bits of each value: two fingerprints wit
 bits, so the tables name all items within ``RADIUS``; the exact distance is then checked. What remains is verified by weighted Jaccard similarity of the distinct shingles. A shingle of n items weighs
 1 / n, one of no item weighs 1.
 
+A row with fewer words than an item is one window for it, and its similarity with every such item that it shares a shingle with
+comes from the postings of the shingles, without fingerprints.
+
 Windows that hold no shingle of an item of their size have similarity 0 with all of these and are not fingerprinted.
 For two sets of similarity 0.8 a fingerprint bit differs with probability 0.15, 19 of 128 on average; the radius lies four
 standard deviations above.
@@ -59,6 +62,10 @@ class Sized:
     tables: np.ndarray
     shingles: list[np.ndarray]
     anchors: np.ndarray
+    #: Items that hold each anchor: those from ``posted[a]`` to ``posted[a + 1]`` of ``holders``; weight of every item.
+    posted: np.ndarray
+    holders: np.ndarray
+    total: np.ndarray
 
 
 class Items:
@@ -81,7 +88,13 @@ class Items:
             at = at[np.argsort(np.array(ids)[at], kind="stable")]
             made = prints(np.stack([own[i] for i in at]), np.stack([self.weights(own[i]) for i in at]))
             near = BITS[np.arange(256, dtype=np.uint8)[:, None, None] ^ made[None]] <= NEAR
-            self.sized.append(Sized(int(n), np.array(ids)[at], made, near.transpose(2, 0, 1), [every[i] for i in at], np.unique(np.concatenate([every[i] for i in at]))))
+            sets = [every[i] for i in at]
+            joined, of = np.concatenate(sets), np.repeat(np.arange(len(at)), [len(x) for x in sets])
+            order = np.argsort(joined, kind="stable")
+            anchors, counts = np.unique(joined, return_counts=True)
+            posted = np.concatenate([[0], np.cumsum(counts)])
+            total = np.bincount(of, self.weights(joined), len(at))
+            self.sized.append(Sized(int(n), np.array(ids)[at], made, near.transpose(2, 0, 1), sets, anchors, posted, of[order], total))
 
     @staticmethod
     def _shingles(hashes: np.ndarray) -> np.ndarray:
@@ -100,9 +113,22 @@ class Items:
         common = self.weights(both).sum()
         return float(common / (self.weights(a).sum() + self.weights(b).sum() - common))
 
+    def whole(self, shingles: np.ndarray, group: Sized) -> np.ndarray:
+        """Similarity of a set of distinct shingles with every item of a group."""
+        weights = self.weights(shingles)
+        at = np.minimum(np.searchsorted(group.anchors, shingles), len(group.anchors) - 1)
+        held = group.anchors[at] == shingles
+        at, own = at[held], weights[held]
+        n = group.posted[at + 1] - group.posted[at]
+        places = np.repeat(group.posted[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(group.holders[places], np.repeat(own, n), len(group.ids))
+        return common / (weights.sum() + group.total - common)
+
     def find(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
         """Row, item, similarity, first and end byte of the best window of each item found in each row."""
         hashes, rows, start, end = words(data, offsets, PUNCT)
+        size = np.bincount(rows, minlength=len(offsets) - 1)
+        head = np.cumsum(size) - size
         out: list[tuple[int, int, float, int, int]] = []
         at_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for group in self.sized:
@@ -118,11 +144,17 @@ class Items:
                 hits = hits[np.isin(whole[hits], group.anchors)]
             if not len(hits):
                 continue
+            best: dict[tuple[int, int], tuple[float, int, int]] = {}
+            short = np.unique(rows[hits])
+            for row in short[size[short] < group.words]:
+                a, n = int(head[row]), int(size[row])
+                same = self.whole(np.unique(whole[a : a + n - k + 1]), group)
+                for y in np.flatnonzero(same >= threshold - 1e-9):
+                    best[int(row), int(y)] = float(same[y]), a, a + n - 1
             # every window of this many words that holds one of the shingles found
             first = np.unique((hits[:, None] + np.arange(k - group.words, 1)).ravel())
             first = first[(first >= 0) & (first + group.words <= len(hashes))]
             first = first[rows[first] == rows[first + group.words - 1]]
-            best: dict[tuple[int, int], tuple[float, int]] = {}
             for a in range(0, len(first), 512):
                 part = first[a : a + 512]
                 shingles = whole[part[:, None] + np.arange(group.words - k + 1)]
@@ -135,9 +167,9 @@ class Items:
                 for x, y in zip(w[close], i[close], strict=True):
                     same = self.similarity(np.unique(shingles[x]), group.shingles[y])
                     spot = int(rows[part[x]]), int(y)
-                    if same >= threshold - 1e-9 and same > best.get(spot, (0.0, 0))[0]:
-                        best[spot] = same, int(part[x])
-            out += [(row, int(group.ids[y]), same, int(start[p]), int(end[p + group.words - 1])) for (row, y), (same, p) in best.items()]
+                    if same >= threshold - 1e-9 and same > best.get(spot, (0.0,))[0]:
+                        best[spot] = same, int(part[x]), int(part[x]) + group.words - 1
+            out += [(row, int(group.ids[y]), same, int(start[p]), int(end[q])) for (row, y), (same, p, q) in best.items()]
         return out
 
 
