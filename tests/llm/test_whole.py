@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from wordmill.llm import decontaminate
 
 
@@ -20,3 +22,24 @@ def test_decontaminate_rows_shorter_than_the_item(spark):
     texts = [item[:30] + item[31:], item[3:], item[:-3], item[:40], few[:-1], few[:4], item[:56] + ["x", "y"]]
     got = leaks(spark, [(1, " ".join(item)), (2, " ".join(few))], [" ".join(x) for x in texts])
     assert got == [{1: 0.85}, {1: 0.946}, {1: 0.946}, {}, {2: 0.833}, {}, {1: 0.897}]
+
+
+def test_decontaminate_fingerprints_follow_the_weights():
+    """96 shingles of which ten items hold each, one of them replaced by one that no item holds: similarity 0.896."""
+    rng = np.random.default_rng(3)
+    missed = 0
+    for _ in range(200):
+        shingles = rng.integers(1, 2**63, 97, dtype=np.uint64)
+        item, window = shingles[None, :96], shingles[None, 1:]
+        made = decontaminate.prints(item, np.full((1, 96), 0.1)) ^ decontaminate.prints(window, np.r_[np.full(95, 0.1), 1.0][None])
+        missed += int(decontaminate.BITS[made].sum()) > decontaminate.RADIUS
+    assert missed <= 2
+
+
+def test_decontaminate_items_that_share_their_shingles(spark):
+    """Ten items with the same 100 words before a word of their own."""
+    rng = random.Random(4)
+    shared = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    items = [(i, " ".join([*shared, f"own{i}"])) for i in range(10)]
+    got = leaks(spark, items, [" ".join(["a", "b", *shared, "other", "c"])])
+    assert set(got[0]) == set(range(10))

@@ -10,8 +10,9 @@ A row with fewer words than an item is one window for it, and its similarity wit
 comes from the postings of the shingles, without fingerprints.
 
 Windows that hold no shingle of an item of their size have similarity 0 with all of these and are not fingerprinted.
-For two sets of similarity 0.8 a fingerprint bit differs with probability 0.15, 19 of 128 on average; the radius lies four
-standard deviations above.
+For two sets of similarity 0.8 a fingerprint bit differs with probability 0.15 at most, 19 of 128 on average; the radius lies four
+standard deviations above. Votes are square roots of the weights, so this holds for shingles of unequal weights too, as long as
+no few of them outweigh the others.
 
 Items are dealt to passes of ``ITEMS`` at most, so what goes to the tasks is bounded however many items there are.
 
@@ -43,11 +44,16 @@ BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def prints(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """128-bit fingerprints, as 16 bytes, of rows of shingles with weights."""
+    """128-bit fingerprints, as 16 bytes, of rows of shingles with weights; repeats of a shingle weigh 0.
+
+    A vote is the square root of the weight, so bits agree by the cosine whose squares are the weights. That is
+    the overlap that is verified: for a weighted Jaccard similarity of s it is at least 2s / (1 + s).
+    """
+    force = np.sqrt(weights)
     out = np.zeros((len(shingles), 16), np.uint8)
     for half, salt in enumerate((U(0), U(0xA24BAED4963EE407))):
         bits = np.unpackbits(mix(shingles ^ salt).view(np.uint8).reshape(*shingles.shape, 8), axis=2)
-        votes = np.einsum("nmb,nm->nb", bits.astype(np.float32), weights.astype(np.float32)) - weights.sum(1, keepdims=True) / 2
+        votes = np.einsum("nmb,nm->nb", bits.astype(np.float32), force.astype(np.float32)) - force.sum(1, keepdims=True) / 2
         out[:, half * 8 : half * 8 + 8] = np.packbits(votes > 1e-4, axis=1)
     return out
 
@@ -86,7 +92,7 @@ class Items:
         for n in np.unique(size[size > 0]):
             at = np.flatnonzero(size == n)
             at = at[np.argsort(np.array(ids)[at], kind="stable")]
-            made = prints(np.stack([own[i] for i in at]), np.stack([self.weights(own[i]) for i in at]))
+            made = self.prints(np.stack([own[i] for i in at]))
             near = BITS[np.arange(256, dtype=np.uint8)[:, None, None] ^ made[None]] <= NEAR
             sets = [every[i] for i in at]
             joined, of = np.concatenate(sets), np.repeat(np.arange(len(at)), [len(x) for x in sets])
@@ -107,6 +113,13 @@ class Items:
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
         return np.where(self.known[at] == shingles, self.weight[at], 1.0)
 
+    def prints(self, shingles: np.ndarray) -> np.ndarray:
+        """Fingerprints of rows of shingles, each shingle of a row counted once."""
+        shingles = np.sort(shingles, axis=1)
+        weights = self.weights(shingles)
+        weights[:, 1:][shingles[:, 1:] == shingles[:, :-1]] = 0
+        return prints(shingles, weights)
+
     def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
         """Weighted Jaccard similarity of two sets of distinct shingles."""
         both = np.intersect1d(a, b, assume_unique=True)
@@ -158,7 +171,7 @@ class Items:
             for a in range(0, len(first), 512):
                 part = first[a : a + 512]
                 shingles = whole[part[:, None] + np.arange(group.words - k + 1)]
-                made = prints(shingles, self.weights(shingles))
+                made = self.prints(shingles)
                 near = np.zeros((len(part), len(group.ids)), bool)
                 for block in range(16):
                     near |= group.tables[block][made[:, block]]
