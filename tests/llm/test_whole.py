@@ -43,3 +43,26 @@ def test_decontaminate_items_that_share_their_shingles(spark):
     items = [(i, " ".join([*shared, f"own{i}"])) for i in range(10)]
     got = leaks(spark, items, [" ".join(["a", "b", *shared, "other", "c"])])
     assert set(got[0]) == set(range(10))
+
+
+def test_decontaminate_does_not_depend_on_passes(spark, monkeypatch):
+    """Equal items, items that differ in one word and one alone, in one pass and in several."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    alone, equal, base = fresh(60), fresh(60), fresh(60)
+    near = [[*base[:i], *fresh(1), *base[i + 1 :]] for i in (5, 20, 40, 50)]
+    items = [(1, alone), (2, equal), (3, [w.upper() for w in equal]), *enumerate([base, *near], 4)]
+    items = [(i, " ".join(x)) for i, x in items]
+    changed = [" ".join([*x[:30], "other", *x[31:]]) for x in (alone, equal, base)]
+    one = leaks(spark, items, changed)
+    assert one[0] == {1: 0.836} and one[1] == {2: 0.836, 3: 0.836} and 4 in one[2]
+    for most in (1, 2, 4):
+        monkeypatch.setattr(decontaminate, "ITEMS", most)
+        assert leaks(spark, items, changed) == one
+
+
+def test_decontaminate_changed_word_among_shared_ones(spark):
+    rng = random.Random(7)
+    shared = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    items = [(i, " ".join([*shared, f"own{i}"])) for i in range(10)]
+    assert 3 in leaks(spark, items, [" ".join([*shared[:50], "other", *shared[51:], "own3"])])[0]

@@ -4,7 +4,9 @@ Words are stretches of letters and digits of the text in small letters (places a
 every item, windows of as many words as the item has are fingerprinted with 128 weighted bits. Sixteen byte tables
 hold the items whose byte is within two bits of each value: two fingerprints without such a byte differ in at least 48
 bits, so the tables name all items within ``RADIUS``; the exact distance is then checked. What remains is verified by weighted Jaccard similarity of the distinct shingles. A shingle of n items weighs
-1 / n, one of no item weighs 1.
+1 / n, one of no item weighs 1, but none weighs more than the item's ``cap``: the mean of the item's own weights, rounded down to a
+power of two. So a changed word weighs no more than the item's words do, however many items share these.
+Holders are counted once over all different item texts; texts that are equal in small letters are one item with several ids.
 
 A row with fewer words than an item is one window for it, and its similarity with every such item that it shares a shingle with
 comes from the postings of the shingles, without fingerprints.
@@ -14,7 +16,9 @@ For two sets of similarity 0.8 a fingerprint bit differs with probability 0.15 a
 standard deviations above. Votes are square roots of the weights, so this holds for shingles of unequal weights too, as long as
 no few of them outweigh the others.
 
-Items are dealt to passes of ``ITEMS`` at most, so what goes to the tasks is bounded however many items there are.
+Different item texts are dealt to passes of about ``ITEMS`` at most, and the result of a pass is written before the next one, so that
+one pass is in memory at a time. Shingles of two or more items go to every pass (16 bytes each), so that what is found does not depend
+on the passes.
 
 Defined cases: null or empty texts, and items without words, match nothing; equal items match together; of equal similarities
 the smaller item id counts, then the earlier window; repeated rows are judged one by one; without items nothing is contaminated.
@@ -31,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordmill.llm.common import arrow
-from wordmill.llm.hashed import PUNCT, buffers, grams, mix, runs, words
+from wordmill.llm.common import arrow, new_path, settle
+from wordmill.llm.hashed import PUNCT, buffers, distinct, grams, mix, runs, words
 
 U = np.uint64
 SHINGLE = 5
@@ -60,10 +64,11 @@ def prints(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sized:
-    """Items of one number of words."""
+    """Items of one number of words and one cap."""
 
     words: int
-    ids: np.ndarray
+    cap: float
+    ids: list[list[int]]
     prints: np.ndarray
     tables: np.ndarray
     shingles: list[np.ndarray]
@@ -77,58 +82,60 @@ class Sized:
 class Items:
     """The items of one pass, ready for lookup in a task."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
+    def __init__(self, ids: list[list[int]], texts: list[str], shared: np.ndarray, holders: np.ndarray) -> None:
+        """Ids of every different text; ``shared`` are the shingles of two or more of all texts, in order, with their number of texts."""
+        self.shared, self.weight = shared, 1 / holders
         data, offsets = buffers(pa.array(texts, pa.string()))
         hashes, rows, _, _ = words(data, offsets, PUNCT)
         size = np.bincount(rows, minlength=len(ids))
         first = np.cumsum(size) - size
         own = [self._shingles(hashes[first[i] : first[i] + size[i]]) for i in range(len(ids))]
         every = [np.unique(x) for x in own]
-        self.known, holders = np.unique(np.concatenate([np.zeros(0, U), *every]), return_counts=True)
-        self.weight = 1 / holders
         self.screen = np.zeros(1 << 20, bool)
-        self.screen[(self.known >> U(44)).astype(np.int64)] = True
+        for x in every:
+            self.screen[(x >> U(44)).astype(np.int64)] = True
+        mean = np.array([self.weights(x, 1.0).mean() if len(x) else 1.0 for x in every])
+        caps = 2.0 ** np.floor(np.log2(mean) + 1e-9)
         self.sized = []
-        for n in np.unique(size[size > 0]):
-            at = np.flatnonzero(size == n)
-            at = at[np.argsort(np.array(ids)[at], kind="stable")]
-            made = self.prints(np.stack([own[i] for i in at]))
+        for n, cap in sorted({(int(n), float(cap)) for n, cap in zip(size, caps, strict=True) if n}):
+            at = np.flatnonzero((size == n) & (caps == cap))
+            made = self.prints(np.stack([own[i] for i in at]), cap)
             near = BITS[np.arange(256, dtype=np.uint8)[:, None, None] ^ made[None]] <= NEAR
             sets = [every[i] for i in at]
             joined, of = np.concatenate(sets), np.repeat(np.arange(len(at)), [len(x) for x in sets])
             order = np.argsort(joined, kind="stable")
             anchors, counts = np.unique(joined, return_counts=True)
             posted = np.concatenate([[0], np.cumsum(counts)])
-            total = np.bincount(of, self.weights(joined), len(at))
-            self.sized.append(Sized(int(n), np.array(ids)[at], made, near.transpose(2, 0, 1), sets, anchors, posted, of[order], total))
+            total = np.bincount(of, self.weights(joined, cap), len(at))
+            self.sized.append(Sized(n, cap, [ids[i] for i in at], made, near.transpose(2, 0, 1), sets, anchors, posted, of[order], total))
 
     @staticmethod
     def _shingles(hashes: np.ndarray) -> np.ndarray:
         k = min(SHINGLE, len(hashes))
         return grams(hashes, np.zeros(len(hashes), np.int64), tuple(range(k)), k)[0] if k else np.zeros(0, U)
 
-    def weights(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.ones(shingles.shape)
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weight[at], 1.0)
+    def weights(self, shingles: np.ndarray, cap: float) -> np.ndarray:
+        if not len(self.shared):
+            return np.full(shingles.shape, cap)
+        at = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+        return np.minimum(np.where(self.shared[at] == shingles, self.weight[at], 1.0), cap)
 
-    def prints(self, shingles: np.ndarray) -> np.ndarray:
+    def prints(self, shingles: np.ndarray, cap: float) -> np.ndarray:
         """Fingerprints of rows of shingles, each shingle of a row counted once."""
         shingles = np.sort(shingles, axis=1)
-        weights = self.weights(shingles)
+        weights = self.weights(shingles, cap)
         weights[:, 1:][shingles[:, 1:] == shingles[:, :-1]] = 0
-        return prints(shingles, weights)
+        return prints(shingles, weights / cap)
 
-    def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
+    def similarity(self, a: np.ndarray, b: np.ndarray, cap: float) -> float:
         """Weighted Jaccard similarity of two sets of distinct shingles."""
         both = np.intersect1d(a, b, assume_unique=True)
-        common = self.weights(both).sum()
-        return float(common / (self.weights(a).sum() + self.weights(b).sum() - common))
+        common = self.weights(both, cap).sum()
+        return float(common / (self.weights(a, cap).sum() + self.weights(b, cap).sum() - common))
 
     def whole(self, shingles: np.ndarray, group: Sized) -> np.ndarray:
         """Similarity of a set of distinct shingles with every item of a group."""
-        weights = self.weights(shingles)
+        weights = self.weights(shingles, group.cap)
         at = np.minimum(np.searchsorted(group.anchors, shingles), len(group.anchors) - 1)
         held = group.anchors[at] == shingles
         at, own = at[held], weights[held]
@@ -171,40 +178,72 @@ class Items:
             for a in range(0, len(first), 512):
                 part = first[a : a + 512]
                 shingles = whole[part[:, None] + np.arange(group.words - k + 1)]
-                made = self.prints(shingles)
+                made = self.prints(shingles, group.cap)
                 near = np.zeros((len(part), len(group.ids)), bool)
                 for block in range(16):
                     near |= group.tables[block][made[:, block]]
                 w, i = np.nonzero(near)
                 close = BITS[made[w] ^ group.prints[i]].sum(1) <= RADIUS
                 for x, y in zip(w[close], i[close], strict=True):
-                    same = self.similarity(np.unique(shingles[x]), group.shingles[y])
+                    same = self.similarity(np.unique(shingles[x]), group.shingles[y], group.cap)
                     spot = int(rows[part[x]]), int(y)
                     if same >= threshold - 1e-9 and same > best.get(spot, (0.0,))[0]:
                         best[spot] = same, int(part[x]), int(part[x]) + group.words - 1
-            out += [(row, int(group.ids[y]), same, int(start[p]), int(end[q])) for (row, y), (same, p, q) in best.items()]
+            out += [(row, i, same, int(start[p]), int(end[q])) for (row, y), (same, p, q) in best.items() for i in group.ids[y]]
         return out
 
 
 def mark(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", to: str = "leaks", threshold: float = THRESHOLD) -> DataFrame:
     """The rows with an array of the items found: (similarity, item, first byte, end byte), the best one first."""
+    spark = docs.sparkSession
     known = items.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).cast("long").alias("id"), F.lower("text").alias("text"))
-    passes = max(1, -(-known.count() // ITEMS * 5 // 4))
+    known = settle(known.groupBy("text").agg(F.collect_set("id").alias("ids")), "items")
+    n = known.count()
+    passes = 1 if n <= ITEMS else -(-n * 5 // (4 * ITEMS))
+    shared = _shared(known)
+    before = None
     for p in range(passes):
-        rows = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == p).distinct().collect()
-        docs = _mark(docs, [r["id"] for r in rows], [r["text"] for r in rows], text, f"_{to}{p}", threshold)
+        rows = known.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == p).collect()
+        docs = _mark(docs, [r["ids"] for r in rows], [r["text"] for r in rows], shared, text, f"_{to}{p}", threshold)
+        if p + 1 < passes:
+            path = new_path(spark, "pass")
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
+            if before:
+                at = spark._jvm.org.apache.hadoop.fs.Path(before)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            before = path
     every = F.concat(*[F.col(f"_{to}{p}") for p in range(passes)])
     order = lambda a, b: F.when(a["similarity"] > b["similarity"], -1).when(a["similarity"] < b["similarity"], 1).when(a["item"] < b["item"], -1).when(a["item"] > b["item"], 1).otherwise(F.when(a["start"] < b["start"], -1).otherwise(1))
     return docs.withColumn(to, F.array_sort(every, order)).drop(*[f"_{to}{p}" for p in range(passes)])
 
 
-def _mark(docs: DataFrame, ids: list[int], texts: list[str], text: str, to: str, threshold: float) -> DataFrame:
+def _shared(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of two or more item texts, in order, with their number of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in runs(batch.column(0)):
+                hashes, rows, _, _ = words(data, offsets, PUNCT)
+                size = np.bincount(rows, minlength=len(offsets) - 1)
+                for k in range(1, SHINGLE + 1):
+                    found, of, _ = grams(hashes, rows, tuple(range(k)), k)
+                    fit = size[of] == k if k < SHINGLE else size[of] >= k
+                    yield pa.RecordBatch.from_arrays([pa.array(distinct(found[fit], of[fit])[0].view(np.int64))], ["shingle"])
+
+    counted = arrow(known.select("text"), run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    shingles = counted["shingle"].to_numpy().view(U)
+    order = np.argsort(shingles)
+    return shingles[order], counted["n"].to_numpy()[order]
+
+
+def _mark(docs: DataFrame, ids: list[list[int]], texts: list[str], shared: tuple[np.ndarray, np.ndarray], text: str, to: str, threshold: float) -> DataFrame:
     names, width = [*docs.columns, to], len(docs.columns)
     kind = T.StructType([T.StructField("similarity", T.DoubleType()), T.StructField("item", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     shape = pa.list_(pa.struct([("similarity", pa.float64()), ("item", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(ids, texts)
+        items = Items(ids, texts, *shared)
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for a, _, data, offsets in runs(batch.column(width)):
