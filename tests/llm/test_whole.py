@@ -1,10 +1,11 @@
 """Cases in which the corpus operators once did less than the whole job."""
 
 import random
+import textwrap
 
 import numpy as np
 
-from wordmill.llm import decontaminate
+from wordmill.llm import decontaminate, licences
 
 
 def leaks(spark, items, texts):
@@ -66,3 +67,44 @@ def test_decontaminate_changed_word_among_shared_ones(spark):
     shared = [f"w{rng.randrange(10**6)}" for _ in range(100)]
     items = [(i, " ".join([*shared, f"own{i}"])) for i in range(10)]
     assert 3 in leaks(spark, items, [" ".join([*shared[:50], "other", *shared[51:], "own3"])])[0]
+
+
+MIT = [
+    "Copyright (c) 2020 Some Body",
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+]
+BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the Some Body Institute nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+]
+APACHE = [
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "    http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+]
+GPL = [
+    "This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{1} either version {2} of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.",
+    "You should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>.",
+]
+
+
+def test_licences_full_notices(spark):
+    """The notices as they are published: one paragraph a line, wrapped, and wrapped in comments."""
+    gpl2, gpl3 = [x.format(";", ";", 2) for x in GPL], [x.format(":", ",", 3) for x in GPL]
+    want, texts = [], []
+    for name, notice in (("MIT", MIT), ("BSD-3-Clause", BSD), ("BSD-2-Clause", [*BSD[:3], BSD[4]]), ("Apache-2.0", APACHE), ("GPL-2.0-or-later", gpl2), ("GPL-3.0-or-later", gpl3)):
+        lines = "\n\n".join(textwrap.fill(x, 66) for x in notice)
+        for text in ("\n\n".join(notice), lines, textwrap.indent(lines, "# ", lambda _: True), "/*\n" + textwrap.indent(lines, " * ", lambda _: True) + "\n */\nint main;"):
+            texts.append(f"Some prose.\n{text}\nMore prose.")
+            want.append((name, 0))
+    texts += ["This is not released under the\nMIT License of old", "\ue000licenmit-grant", "licensed\n" * 20_000]
+    want += [("", 1), ("", 1), ("", 20_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["licences"], r["n_unknown"]) for r in licences.scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want

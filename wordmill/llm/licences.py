@@ -5,6 +5,12 @@ letters, everything but letters, digits, dots and plus signs as one blank, no do
 sentences; those that are not known get ``?``, lines that state a copyright get ``copyright``. The identifiers of a
 text, in order, are matched against the rules from the most specific to the least; a matched stretch is used up.
 
+Before that, sentences of ``WORDING`` and known ones are found in the whole text, however they are wrapped: between two words may stand
+line ends, comment marks and punctuation. They begin at a line or after closing punctuation (at most 200 marks before the first word)
+and end likewise. Sentences of a notice that name no licence by themselves (``PLAIN``) are left out.
+
+The SQL has the lines only, so texts with wrapped or full notices are covered by the tests alone.
+
 Every known sentence holds a cue word (tested), so nothing is lost by looking only at sentences that do.
 
 Defined cases: a null or empty text, or one without cue words, has no identifiers and no licences; a statement that occurs more than
@@ -13,6 +19,7 @@ once names its licence once; licences are listed in the order of the rules; repe
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -84,9 +91,46 @@ RULES = (
     ("Unlicense", ("unlicense-ref",)),
     ("proprietary", ("rights",)),
 )
+#: Full sentences of the notices, as they are published, by identifier; an asterisk stands for one to eight words.
+WORDING = (
+    ("apache2-ref", "Licensed under the Apache License, Version 2.0 (the License)"),
+    ("mit-ref2", "This * is licensed under the MIT License"),
+    ("mit-ref", "This * is released under the MIT License"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("mit-asis", "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("gpl-grant", "This * is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("gpl2-grant", "This * is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("gpl3-ref", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"),
+    ("gpl2-ref", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("gpl-warranty", "This * is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("lgpl-ref", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("lgpl-ref", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("agpl-ref", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("bsd-names", "Neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("cc-by-ref", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-ref", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-ref", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+)
+#: Sentences that belong to a notice and name no licence.
+PLAIN = (
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software",
+    "This software is provided by * as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "In no event shall * be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage",
+    "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "See the GNU General Public License for more details",
+    "See the GNU Lesser General Public License for more details",
+    "See the GNU Affero General Public License for more details",
+    "You should have received a copy of the GNU * License along with this *. If not, see http://www.gnu.org/licenses",
+    "You should have received a copy of the GNU * License along with this *. If not, see https://www.gnu.org/licenses",
+    "You should have received a copy of the GNU * License along with this *",
+)
 ENDS = r"[\n\r]+|[.!?;]+[ \t]+"
 COPYRIGHT = r"^copyright( c)? [0-9]{4}"
 USED = "|"
+#: Private character before the identifier of a sentence that was found; in a text it counts as a mark like others.
+MARK = "\ue000"
 
 
 def tag(name: str) -> str:
@@ -104,6 +148,23 @@ def identifier(sentence: Column) -> Column:
     return F.coalesce(known[sentence], F.when(sentence.rlike(COPYRIGHT), "copyright").otherwise("?"))
 
 
+def wrapped(wording: str) -> str:
+    """Pattern of a sentence with anything but letters and digits between its words."""
+    first, *others = re.findall(r"[a-z0-9]+|\*", wording.lower())
+    apart, word = "[^A-Za-z0-9]++", "[A-Za-z0-9]++"
+    begin = rf"(?<![A-Za-z0-9]){first}(?<=(?:^|[\n\r]|[.!?;:][^A-Za-z0-9\n\r])[^A-Za-z0-9\n\r]{{0,200}}{first})"
+    end = r"(?![A-Za-z0-9])(?=[^A-Za-z0-9\n\r.!?;:]*+(?:[\n\r]|[.!?;:]++[^A-Za-z0-9]|[.!?;:]*+\z))"
+    return "(?i)" + begin + "".join(apart + (f"{word}(?:{apart}{word}){{0,7}}?" if w == "*" else w) for w in others) + end
+
+
+def marked(text: Column) -> Column:
+    """The text with every sentence found, longest wordings first, as a line of its own: ``MARK``, a cue word and its identifier."""
+    every = [*WORDING, *SENTENCES.items(), *[("", x) for x in PLAIN]]
+    every.sort(key=lambda x: -len(x[1].split()))
+    clean = F.replace(text, F.lit(MARK), F.lit("*"))
+    return reduce(lambda t, x: F.regexp_replace(t, wrapped(x[1]), f"\n{MARK}{CUES[0]}{x[0]}\n" if x[0] else "\n"), every, clean)
+
+
 def cued(text: Column) -> Column:
     small = F.lower(text)
     return reduce(or_, [F.contains(small, F.lit(cue)) for cue in CUES])
@@ -111,7 +172,8 @@ def cued(text: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Identifiers of the sentences with a cue word, in order, each in angle brackets."""
-    named = F.transform(F.filter(F.split(text, ENDS), cued), lambda s: F.concat(F.lit("<"), identifier(normal(s)), F.lit(">")))
+    known = lambda s: F.when(F.startswith(s, F.lit(MARK)), F.substr(s, F.lit(len(MARK + CUES[0]) + 1))).otherwise(identifier(normal(s)))
+    named = F.transform(F.filter(F.split(marked(text), ENDS), cued), lambda s: F.concat(F.lit("<"), known(s), F.lit(">")))
     return F.when(cued(text), F.array_join(named, "")).otherwise("")
 
 
