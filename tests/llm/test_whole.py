@@ -5,7 +5,7 @@ import textwrap
 
 import numpy as np
 
-from wordmill.llm import decontaminate, licences
+from wordmill.llm import decontaminate, licences, pii
 
 
 def leaks(spark, items, texts):
@@ -108,3 +108,16 @@ def test_licences_full_notices(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["licences"], r["n_unknown"]) for r in licences.scan(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_pii_iban_before_other_codes(spark):
+    """Capitals, digits and other ibans after or before a valid one do not hide it."""
+    a, b = "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819"
+    texts = [a + " BIC COBADEFFXXX", "DE89370400440532013000 EUR 500", f"{b} {a}, {b}", f"Ref AB12 {a} 17", "DE88 3704 0044 0532 0130 00 EUR", f"x{b}", f"é {b}7 {a}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if "iban" in x] for r in pii.report(docs).collect()}
+    span = lambda *found: [f"iban:{n}:{n + len(x)}" for x, n in found]
+    assert got == {
+        0: span((a, 0)), 1: ["iban:0:22"], 2: span((b, 0), (a, 23), (b, 52)), 3: span((a, 9)), 4: [], 5: [], 6: span((a, 26)),
+    }
+    assert pii.redact(docs).first()["text"] == "<iban> BIC COBADEFFXXX"
