@@ -50,6 +50,30 @@ def near_words(vocab: DataFrame, max_dist: float = THRESHOLD) -> DataFrame:
     return near.select("a", "b", norm_lev("a", "b").alias("dist")).where(F.col("dist") <= max_dist)
 
 
+def near_pairs(vocab: DataFrame, max_dist: float = THRESHOLD) -> DataFrame:
+    """All pairs of words at most ``max_dist`` of the longer length apart, both directions and each word with itself.
+
+    The longer word of a pair may have k = floor(max_dist * its length) edits, so one of its k + 1 segments stands unchanged
+    in the shorter one, at most k places from its own. Candidates come from an equi-join on length, segment and text.
+    """
+    n = F.char_length("token")
+    tokens = vocab.where(n > 0).select("token", n.alias("size")).distinct()
+    k = F.floor(F.lit(max_dist) * F.col("longer") + 1e-9).cast("int")
+    lengths = tokens.select(F.col("size").alias("longer")).distinct().withColumn("k", k)
+    first = F.floor(F.col("i") * F.col("longer") / (F.col("k") + 1)).cast("int")
+    after = F.floor((F.col("i") + 1) * F.col("longer") / (F.col("k") + 1)).cast("int")
+    segments = lengths.withColumn("i", F.explode(F.sequence(F.lit(0), "k"))).select("longer", "k", "i", first.alias("at"), (after - first).alias("wide"))
+    part = lambda at: F.substring(F.col("token"), at + 1, F.col("wide"))
+    right = tokens.join(F.broadcast(segments), F.col("size") == F.col("longer")).select("longer", "i", part(F.col("at")).alias("part"), F.col("token").alias("b"))
+    places = tokens.join(F.broadcast(segments), (F.col("size") <= F.col("longer")) & (F.col("size") >= F.col("longer") - F.col("k")))
+    low, high = F.greatest(F.lit(0), F.col("at") - F.col("k")), F.least(F.col("size") - F.col("wide"), F.col("at") + F.col("k"))
+    parts = F.explode(F.array_distinct(F.transform(F.sequence(low, high), part)))
+    left = places.where(low <= high).select("longer", "i", parts.alias("part"), F.col("token").alias("a"))
+    near = left.join(right, ["longer", "i", "part"]).select("a", "b").distinct().withColumn("dist", norm_lev("a", "b")).where(F.col("dist") <= max_dist)
+    turned = near.where(F.char_length("a") < F.char_length("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "dist")
+    return near.unionByName(turned)
+
+
 def swap_rank(vocab: DataFrame, thr: float = THRESHOLD, by: str = "n_pieces") -> DataFrame:
     """Frequency-matched swap: neighbours in the frequency order of their group exchange places.
 
