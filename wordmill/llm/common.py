@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordmill.operators.scale import new_path, settle
+from wordmill.operators.scale import SHARES_PER_TASK, new_path, settle, task_count
 
-__all__ = ["arrow", "fold", "new_path", "settle", "table", "labelled_sample"]
+__all__ = ["arrow", "fold", "new_path", "settle", "spread_join", "table", "labelled_sample"]
 
 
 #: Bytes that a task hands to Python at a time, unless the session says less.
@@ -55,3 +56,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, ro
     )
     picked = docs.select(F.col(key).alias("_key"), F.col("text").alias("_text")).join(F.broadcast(chosen), "_key")
     return picked.select(F.col("_key").alias("key"), F.coalesce("_text", F.lit("")).alias("text"), F.col("_label").alias("label"))
+
+
+def spread_join(rows: DataFrame, told: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Equi-join of rows with a settled table that has one row for each key and says in ``weight`` how many rows have it.
+
+    Nulls equal each other. A key with more than a share of a task's rows is salted by its weight; there are fewer such keys
+    than shares, so they are broadcast. ``rows`` and ``told`` have no other columns in common; the weight is not returned.
+    """
+    shares = SHARES_PER_TASK * task_count(rows.sparkSession)
+    share = (told.agg(F.sum(weight)).first()[0] or 0) // shares + 1
+    salts = F.ceil(F.col(weight) / share).cast("int")
+    hot = F.broadcast(told.where(F.col(weight) > share).select(*[F.col(c).alias(f"_hot{i}") for i, c in enumerate(on)], salts.alias("_salts")))
+    match = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_hot{i}")) for i, c in enumerate(on)])
+    left = rows.join(hot, match, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_salts", F.lit(1))).cast("int"))
+    copies = told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(weight) > share, salts - 1).otherwise(0))))
+    copies = copies.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(on)], F.col("_salt").alias("_its"), *[c for c in told.columns if c not in (*on, weight)])
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(on)], F.col("_salt") == F.col("_its"))
+    return left.join(copies, same, how).select(*rows.columns, *[c for c in told.columns if c not in (*on, weight)])

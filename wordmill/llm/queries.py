@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm import decontaminate, jaccard, langid, licences, pieces, pii, quality, topk, toxicity, warc
+from wordmill.llm import decontaminate, jaccard, langid, licences, neardup, pieces, pii, quality, topk, toxicity, warc
 from wordmill.llm.common import fold, new_path, table
 
 #: Model file of the registered tokenizer query.
@@ -100,5 +100,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents"))
 
 
-QUERIES |= {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op6_pieces": op6_pieces, "op7_jaccard": op7_jaccard, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_pii": op10_pii}
-SQL |= {"op5_licences": licences.SQL, "op7_jaccard": jaccard.SQL, "op8_warc": warc.SQL, "op9_topk": topk.SQL, "op10_pii": pii.SQL}
+def op13_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors that a cosine of 0.95 connects."""
+    return neardup.dedup(table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
+QUERIES |= {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op6_pieces": op6_pieces, "op7_jaccard": op7_jaccard, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_pii": op10_pii, "op13_neardup": op13_neardup}
+SQL |= {"op5_licences": licences.SQL, "op7_jaccard": jaccard.SQL, "op8_warc": warc.SQL, "op9_topk": topk.SQL, "op10_pii": pii.SQL, "op13_neardup": neardup.SQL}
