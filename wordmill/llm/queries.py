@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmill.llm import decontaminate, jaccard, langid, licences, neardup, pieces, pii, quality, topk, toxicity, vectorcodes, warc
+from wordmill.llm import decontaminate, jaccard, langid, licences, neardup, pieces, pii, quality, topk, toxicity, turns, vectorcodes, warc
 from wordmill.llm.common import fold, new_path, table
 
 #: Model file of the registered tokenizer query.
@@ -105,10 +105,16 @@ def op11_vectorcodes(spark: SparkSession, folder: str) -> DataFrame:
     return vectorcodes.encode(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
 
 
+def op12_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged conversations: their faults, the cheapest repair and a digest of what it gives."""
+    rows = turns.turns(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    return turns.digested(turns.repair(turns.damage(rows))).withColumnRenamed("conv", "conv_id")
+
+
 def op13_neardup(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors that a cosine of 0.95 connects."""
     return neardup.dedup(table(spark, folder, "embeddings"), "vec_id", "embedding")
 
 
-QUERIES |= {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op6_pieces": op6_pieces, "op7_jaccard": op7_jaccard, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_pii": op10_pii, "op11_vectorcodes": op11_vectorcodes, "op13_neardup": op13_neardup}
-SQL |= {"op5_licences": licences.SQL, "op7_jaccard": jaccard.SQL, "op8_warc": warc.SQL, "op9_topk": topk.SQL, "op10_pii": pii.SQL, "op11_vectorcodes": vectorcodes.SQL, "op13_neardup": neardup.SQL}
+QUERIES |= {"op1_toxicity": op1_toxicity, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_langid": op4_langid, "op5_licences": op5_licences, "op6_pieces": op6_pieces, "op7_jaccard": op7_jaccard, "op8_warc": op8_warc, "op9_topk": op9_topk, "op10_pii": op10_pii, "op11_vectorcodes": op11_vectorcodes, "op12_turns": op12_turns, "op13_neardup": op13_neardup}
+SQL |= {"op5_licences": licences.SQL, "op7_jaccard": jaccard.SQL, "op8_warc": warc.SQL, "op9_topk": topk.SQL, "op10_pii": pii.SQL, "op11_vectorcodes": vectorcodes.SQL, "op12_turns": turns.SQL, "op13_neardup": neardup.SQL}
