@@ -14,7 +14,7 @@ sends from each pair of blocks. Pivots come from a bounded sample and only decid
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows without an id;
 their component is their own id. Vectors of different lengths link with nothing. Equal vectors always link. Repeated rows
-count each; rows that share an id are one node, so a link of one of them reaches the others. An empty table gives no rows.
+count each; rows that share an id but not the vector are told apart (by a 64-bit hash of the vector). An empty table gives no rows.
 Any other columns of the rows are ignored.
 """
 
@@ -242,7 +242,7 @@ def met(pairs: DataFrame, packed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def links(classes: DataFrame, least: float = LEAST, size: int = BLOCK) -> DataFrame:
-    """For every class that has links, by pair of blocks: id, mark, n (rows linked with it) and root (a member of its tree)."""
+    """For every class that has links, by pair of blocks: id, mark, n (rows linked with it), and a member of its tree (root, root_mark)."""
     packed = blocks(classes, size)
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,11 +268,11 @@ def links(classes: DataFrame, least: float = LEAST, size: int = BLOCK) -> DataFr
                 ids = x.ids if same else np.concatenate([x.ids, y.ids])
                 marks = x.marks if same else np.concatenate([x.marks, y.marks])
                 some = np.flatnonzero(n)
-                yield pa.record_batch([pa.array(ids[some]), pa.array(marks[some]), pa.array(n[some]), pa.array(ids[label[some]])], ["id", "mark", "n", "root"])
+                yield pa.record_batch([pa.array(ids[some]), pa.array(marks[some]), pa.array(n[some]), pa.array(ids[label[some]]), pa.array(marks[label[some]])], ["id", "mark", "n", "root", "root_mark"])
 
     light = met(near_blocks(packed, least), packed, ["n", "bytes", "scales", "errors"])
     hits = settle(arrow(light, screen, "a long, b long"), "hits")
-    return arrow(met(hits, packed, BODY), link, "id long, mark long, n long, root long")
+    return arrow(met(hits, packed, BODY), link, "id long, mark long, n long, root long, root_mark long")
 
 
 def dedup(rows: DataFrame, key: str, vector: str, least: float = LEAST, size: int = BLOCK) -> DataFrame:
@@ -282,10 +282,11 @@ def dedup(rows: DataFrame, key: str, vector: str, least: float = LEAST, size: in
     grouped = plain.where(takes).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     classes = settle(grouped.withColumn("mark", F.xxhash64("v")), "classes")
     found = settle(links(classes, least, size), "links")
-    roots = components(found.select("id", "root").where("id <> root"), "id", "root")
+    # a class is a pair of its smallest id and its mark; the smallest pair of a component has the smallest id
+    tree = found.select(F.struct("id", "mark").alias("a"), F.struct(F.col("root").alias("id"), F.col("root_mark").alias("mark")).alias("b"))
+    roots = components(tree.where("a <> b")).select("node.id", "node.mark", F.col("root.id").alias("root"))
     counts = found.groupBy("id", "mark").agg(F.sum("n").alias("n"))
-    # rows that share an id are one node: the classes of an id have one component
-    told = classes.join(counts, ["id", "mark"], "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    told = classes.join(counts, ["id", "mark"], "left").join(roots, ["id", "mark"], "left")
     told = told.select("id", "v", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     told = settle(told, "told")
     several = settle(told.where("copies > 1").drop("id"), "several")

@@ -6,7 +6,7 @@ automaton of which a task holds one path at a time. Each node (an ending that an
 state the cost to go, the cheapest edit, and with it the best rest of the audit. Of equally cheap edits the least letter wins;
 as every edit has a letter of its own and leads to one state, the whole audit is the least one.
 
-Rows are sorted by conversation and turn over all tasks, so a conversation may be cut anywhere: pieces of at most ``PIECE``
+Rows are sorted by conversation and turn over all tasks, so a conversation may be cut anywhere: pieces of at most ``size``
 rows become letters where they are, and a message seen in an earlier piece is found by a join on digests, of those conversations only that have
 several pieces. What meets in one task for a conversation is a letter a row, which is the size of its audit. The texts move once, beside the audits,
 and pass through a task in order without being held.
@@ -96,7 +96,7 @@ def marked(damaged: DataFrame) -> DataFrame:
     return damaged.select("*", F.substring("text", 1, 64).alias("head"), digest.alias("digest"), letter.alias("letter"))
 
 
-def pieces(rows: DataFrame) -> DataFrame:
+def pieces(rows: DataFrame, size: int = PIECE) -> DataFrame:
     """Sorted conversations in pieces: letters, turns, and digests of those that may go on in another piece.
 
     Columns: conv, piece (ascending within a conversation), letters (duplicates within the piece told), least, most and turns
@@ -131,7 +131,7 @@ def pieces(rows: DataFrame) -> DataFrame:
             out = []
             kind = batch.schema.field("conv").type
             for row in zip(*(batch[c].to_pylist() for c in columns)):
-                if held and (row[0] != conv or len(held) == PIECE):
+                if held and (row[0] != conv or len(held) == size):
                     out.append(told(row[0] != conv))
                     open_ = row[0] == conv
                     held.clear()
@@ -360,10 +360,10 @@ def digested(found: DataFrame) -> DataFrame:
     return arrow(found, run, f"conv {kind}, {counts}, audit string, repaired_sha256 string")
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, size: int = PIECE) -> DataFrame:
     """Repaired conversations of rows (conv, turn, role, text, gone): see ``repaired``."""
     ready = marked(rows)
-    return repaired(ready, settle(audits(signatures(pieces(ready))), "audits"))
+    return repaired(ready, settle(audits(signatures(pieces(ready, size))), "audits"))
 
 
 def _sql() -> str:

@@ -124,7 +124,7 @@ def blocks(rows: DataFrame, seeds: dict[int, np.ndarray], parts: int) -> DataFra
             lengths, numbers = batch["dim"].to_numpy(), batch["number"].to_numpy()
             for dim in np.unique(lengths):
                 here = lengths == dim
-                v = batch["v"].filter(pa.array(here)).flatten().to_numpy().astype(np.int64).reshape(-1, dim)
+                v = batch["v"].filter(pa.array(here)).flatten().to_numpy().astype(np.int64).reshape(int(here.sum()), dim)
                 for part, (start, end) in enumerate(bounds(int(dim), parts)):
                     x, n = v[:, start:end], end - start
                     places = np.zeros((len(x), 0), np.uint8)
