@@ -37,7 +37,19 @@ def test_near_pairs_equal_all_pairs(spark, limit):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("task_pairs", [3, 1 << 22])
+def test_heavy_segments_are_split(spark, task_pairs):
+    names = {f"{a}{b}thing{c}" for a in "abc" for b in "xyz" for c in ("", "s", "er", "ed")}
+    vocab = spark.createDataFrame([(x,) for x in names], "token string")
+    got = [(r.a, r.b) for r in W.near_pairs(vocab, 0.3, task_pairs).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in names for b in names if edits(a, b) / max(len(a), len(b)) <= 0.3}
+
+
 def test_near_pairs_equal_sql(spark):
-    got = catalog.QUERIES["near_pairs"](spark, FOLDER).toPandas()
-    assert compare.difference(got, compare.connect(FOLDER).execute(catalog.SQL["near_pairs"]).df()) is None
+    got = catalog.QUERIES["near_pairs_benchmark"](spark, FOLDER).toPandas()
+    assert compare.difference(got, compare.connect(FOLDER).execute(catalog.SQL["near_pairs_benchmark"]).df()) is None
     assert (got.dist > 0).any()
+
+
+def test_near_pairs_empty(spark):
+    assert W.near_pairs(spark.createDataFrame([], "token string")).collect() == []

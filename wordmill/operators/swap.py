@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from wordmill.functions import fixed
 from wordmill.functions.hashing import hash_int, hash_key
 from wordmill.functions.text import norm_lev, utf8_length
-from wordmill.operators.scale import numbered, settle
+from wordmill.operators.scale import is_small, numbered, settle, task_count
 from wordmill.operators.vocab import coarse_buckets, freq_rank, frequency_order
 from wordmill.operators.wordpiece import wordpieces
 
 THRESHOLD = 0.3
+#: Pairs that one task compares for a common segment.
+TASK_PAIRS = 1 << 22
+#: Rows of the segment index that one task holds.
+INDEX_ROWS = 500_000
 
 
 def lev_pairs(pairs: DataFrame, first: str = "src", second: str = "dst") -> DataFrame:
@@ -50,28 +54,121 @@ def near_words(vocab: DataFrame, max_dist: float = THRESHOLD) -> DataFrame:
     return near.select("a", "b", norm_lev("a", "b").alias("dist")).where(F.col("dist") <= max_dist)
 
 
-def near_pairs(vocab: DataFrame, max_dist: float = THRESHOLD) -> DataFrame:
+def near_pairs(vocab: DataFrame, max_dist: float = THRESHOLD, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """All pairs of words at most ``max_dist`` of the longer length apart, both directions and each word with itself.
 
-    The longer word of a pair may have k = floor(max_dist * its length) edits, so one of its k + 1 segments stands unchanged
-    in the shorter one, at most k places from its own. Candidates come from an equi-join on length, segment and text.
+    A longer word may have k = floor(max_dist * its length) edits. Cut the shorter one into k + 1 segments: counting the
+    edits of an optimal alignment from the left, some segment i stands unchanged in the longer word with at most i edits
+    before it and k - i behind it. Only the places that this allows are looked up, in an equi-join on lengths, segment and
+    text, and a hit is verified outwards from the segment: the letters of both sides first, then their edit distances within i and
+    k - i. A pair is told at its first verified hit, so no pair is shuffled. Segments with more than ``task_pairs`` hits are
+    split over several tasks. Rows per word grow with the square of its length.
     """
-    n = F.char_length("token")
-    tokens = vocab.where(n > 0).select("token", n.alias("size")).distinct()
-    k = F.floor(F.lit(max_dist) * F.col("longer") + 1e-9).cast("int")
-    lengths = tokens.select(F.col("size").alias("longer")).distinct().withColumn("k", k)
-    first = F.floor(F.col("i") * F.col("longer") / (F.col("k") + 1)).cast("int")
-    after = F.floor((F.col("i") + 1) * F.col("longer") / (F.col("k") + 1)).cast("int")
-    segments = lengths.withColumn("i", F.explode(F.sequence(F.lit(0), "k"))).select("longer", "k", "i", first.alias("at"), (after - first).alias("wide"))
-    part = lambda at: F.substring(F.col("token"), at + 1, F.col("wide"))
-    right = tokens.join(F.broadcast(segments), F.col("size") == F.col("longer")).select("longer", "i", part(F.col("at")).alias("part"), F.col("token").alias("b"))
-    places = tokens.join(F.broadcast(segments), (F.col("size") <= F.col("longer")) & (F.col("size") >= F.col("longer") - F.col("k")))
-    low, high = F.greatest(F.lit(0), F.col("at") - F.col("k")), F.least(F.col("size") - F.col("wide"), F.col("at") + F.col("k"))
-    parts = F.explode(F.array_distinct(F.transform(F.sequence(low, high), part)))
-    left = places.where(low <= high).select("longer", "i", parts.alias("part"), F.col("token").alias("a"))
-    near = left.join(right, ["longer", "i", "part"]).select("a", "b").distinct().withColumn("dist", norm_lev("a", "b")).where(F.col("dist") <= max_dist)
-    turned = near.where(F.char_length("a") < F.char_length("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "dist")
-    return near.unionByName(turned)
+    size = F.char_length("token")
+    tokens = settle(vocab.select("token", size.alias("size")).where("size > 0").distinct(), "words")
+    lengths = settle(tokens.select("size").distinct(), "lengths")
+    k = F.floor(F.lit(max_dist) * F.col("size") + 1e-9).cast("int")
+    shorter = F.explode(F.sequence(F.greatest(F.lit(1), F.col("size") - F.col("k")), "size"))
+    cuts = lengths.withColumn("k", k).where("k > 0").select(F.col("size").alias("longer"), "k", shorter.alias("size"))
+    cuts = settle(cuts.join(lengths, "size", "left_semi"), "cuts")
+    each = F.explode(F.sequence(F.lit(0), "k")).alias("i")
+    key = lambda at: F.concat_ws(":", "size", "k", "i", F.substring(F.col("token"), at + 1, _after() - _first()))
+    index = tokens.join(cuts.select("size", "k").distinct(), "size").select("token", "size", "k", each)
+    index = index.select(key(_first()).alias("key"), F.col("token").alias("b"))
+    places = tokens.withColumnRenamed("size", "longer").join(cuts, "longer").select("token", "longer", "size", "k", each)
+    over = F.col("longer") - F.col("size")
+    places = places.withColumn("place", F.explode(F.sequence(*_places(over, _first(), _after(), F.col("k"), F.col("i"), F.col("longer")))))
+    probes = places.select(key(F.col("place")).alias("key"), F.col("token").alias("a"), F.col("place").cast("int"))
+    index, probes, tasks = _split_heavy(index, probes, task_pairs)
+    by = ["key", "salt"]
+    index = _sides(index.repartition(tasks, *by), "b", None).drop("size", "k", "i")
+    probes = _sides(probes.repartition(tasks, *by), "a", F.col("place"))
+    within = lambda x, most: (F.bit_count(F.expr(f"{x}_a & ~{x}_b")) <= most) & (F.bit_count(F.expr(f"{x}_b & ~{x}_a")) <= most)
+    longer, edits = F.char_length("a"), F.col("k") - F.col("i")
+    hits = probes.join(index.hint("merge"), by).where(within("left", F.col("i")) & within("right", edits))
+    hits = hits.where((longer > F.col("size")) | (F.col("a") < F.col("b")))
+    verified = hits.where(_near("before_a", "before_b", F.col("i")) & _near("behind_a", "behind_b", edits))
+    first = ~F.exists(
+        F.sequence(F.lit(0), "i"),
+        lambda j: F.exists(
+            _possible(_places(longer - F.col("size"), _first(j), _after(j), F.col("k"), j, longer)),
+            lambda q: ((j < F.col("i")) | (q < F.col("place"))) & _verified(j, q, F.col("k"), F.col("size")),
+        ),
+    )
+    near = verified.where(first).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("pair"))
+    return tokens.select(F.col("token").alias("a"), F.col("token").alias("b"), F.lit(0.0).alias("dist")).unionByName(
+        near.select("pair.a", "pair.b").withColumn("dist", norm_lev("a", "b"))
+    )
+
+
+def _first(i: Column | None = None) -> Column:
+    """First place (from 0) of segment i of a word of ``size`` letters cut into k + 1."""
+    return F.floor((F.col("i") if i is None else i) * F.col("size") / (F.col("k") + 1)).cast("int")
+
+
+def _after(i: Column | None = None) -> Column:
+    return _first((F.col("i") if i is None else i) + 1)
+
+
+def _places(over: Column, first: Column, after: Column, k: Column, i: Column, longer: Column) -> tuple[Column, Column]:
+    """First and last place of a segment in a word that is ``over`` letters longer; none if the last lies before the first."""
+    low = F.greatest(F.lit(0), first - i, first + over - (k - i))
+    high = F.least(first + i, first + over + (k - i), longer - (after - first))
+    return low, high
+
+
+def _possible(places: tuple[Column, Column]) -> Column:
+    low, high = places
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
+def _near(x: Column | str, y: Column | str, most: Column) -> Column:
+    return F.call_function("levenshtein", x, y, most.cast("int")) >= 0
+
+
+def _verified(i: Column, place: Column, k: Column, size: Column) -> Column:
+    """Whether segment i of ``b`` stands at a place of ``a``, with at most i edits before it and k - i behind it."""
+    first, after = _first(i), _after(i)
+    same = F.substring("a", place + 1, after - first) == F.substring("b", first + 1, after - first)
+    before = _near(F.substring("a", F.lit(1), place), F.substring("b", F.lit(1), first), i)
+    behind = _near(F.substring("a", place + after - first + 1, F.char_length("a")), F.substring("b", after + 1, size), k - i)
+    return same & before & behind
+
+
+def _split_heavy(index: DataFrame, probes: DataFrame, task_pairs: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with a salt, and the number of tasks: a key with very many pairs has several salts.
+
+    The number of tasks follows the pairs and the rows of the index, of which a task holds its share.
+    """
+    n = index.groupBy("key").agg(F.count("*").alias("n"))
+    counts = settle(n.join(probes.groupBy("key").agg(F.count("*").alias("m")), "key"), "counts")
+    rows, pairs = counts.agg(F.sum("n"), F.sum(F.col("n") * F.col("m"))).first()
+    tasks = max(task_count(index.sparkSession), (rows or 0) // INDEX_ROWS, (pairs or 0) // (8 * task_pairs))
+    parts = F.ceil(F.col("n") * F.col("m") / task_pairs).cast("int")
+    heavy = settle(counts.where(F.col("n") * F.col("m") > task_pairs).select("key", parts.alias("parts")), "heavy")
+    known = F.broadcast(heavy) if is_small(heavy) else heavy
+    of = F.coalesce("parts", F.lit(1))
+    salted = index.join(known, "key", "left").withColumn("salt", F.pmod(F.xxhash64("b"), of).cast("int"))
+    copied = probes.join(known, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), of - 1)))
+    return salted.drop("parts"), copied.drop("parts"), tasks
+
+
+def _sides(rows: DataFrame, word: str, place: Column | None) -> DataFrame:
+    """Rows with size, k and i from their key, what stands before and behind the segment, and the letters of both.
+
+    Letters are bits, one for the first time of a letter and one for any further; within n edits at most n letters of
+    either word are missing in the other.
+    """
+    field = lambda at: F.split_part("key", F.lit(":"), F.lit(at)).cast("int")
+    rows = rows.withColumns({"size": field(1), "k": field(2), "i": field(3)})
+    place = _first() if place is None else place
+    before, behind = F.substring(word, F.lit(1), place), F.substring(word, place + _after() - _first() + 1, F.char_length(word))
+    rows = rows.withColumns({f"before_{word}": before, f"behind_{word}": behind})
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = lambda c, at: F.when(c == "", none).otherwise(F.call_function("shiftleft", one, F.ascii(c) % 32 + at))
+    add = lambda m, c: m.bitwiseOR(F.when(m.bitwiseAND(bit(c, 0)) == 0, bit(c, 0)).otherwise(bit(c, 32)))
+    letters = lambda x: F.aggregate(F.split(x, ""), none, add)
+    return rows.withColumns({f"left_{word}": letters(f"before_{word}"), f"right_{word}": letters(f"behind_{word}")})
 
 
 def swap_rank(vocab: DataFrame, thr: float = THRESHOLD, by: str = "n_pieces") -> DataFrame:

@@ -238,11 +238,17 @@ def near_words(spark, folder):
     return W.near_words(I.field_frequencies(spark, folder)).withColumn("dist", F.round("dist", 6))
 
 
+@query()
+def near_pairs(spark, folder):
+    """All pairs of document words within 0.3 of the longer length; all pairs are too many for SQL, see ``near_pairs_benchmark``."""
+    return W.near_pairs(I.field_frequencies(spark, folder)).withColumn("dist", F.round("dist", 6))
+
+
 @query(
-    S.with_(S.DOC_TOKENS, "words AS MATERIALIZED (SELECT DISTINCT unnest(toks) AS token FROM doc_tokens WHERE doc_id % 50 = 0)")
+    f"WITH words AS MATERIALIZED (SELECT DISTINCT unnest({S.tok('text')}) AS token FROM benchmark) "
     + f"SELECT x.token AS a, y.token AS b, round({S.norm_lev('x.token', 'y.token')}, 6) AS dist FROM words x, words y "
     f"WHERE length(x.token) > 0 AND length(y.token) > 0 AND {S.norm_lev('x.token', 'y.token')} <= 0.3"
 )
-def near_pairs(spark, folder):
-    vocab = settle(doc_freq(I.documents(spark, folder).where("doc_id % 50 = 0"), ["text"]), "freq")
+def near_pairs_benchmark(spark, folder):
+    vocab = settle(doc_freq(load(spark, folder, "benchmark"), ["text"]), "freq")
     return W.near_pairs(vocab).withColumn("dist", F.round("dist", 6))
