@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from wordmill.functions import fixed
 from wordmill.functions.hashing import hash_key
 from wordmill.operators.scale import cumulated, settle, take_first
+from wordmill.sources import delimited
+from wordmill.sources.delimited import read_delimited
 
 SPLIT_FILES = {"train": "train.tsv", "validation": "dev.tsv", "test": "test.tsv"}
 GOLD_SCHEMA = T.StructType(
@@ -21,21 +23,12 @@ GOLD_SCHEMA = T.StructType(
         T.StructField("label_distribution", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
     ]
 )
-# Quoted fields may hold separators, quotes and line breaks.
-TABLE_OPTIONS = {
-    "quote": '"',
-    "escape": '"',
-    "multiLine": True,
-    "ignoreLeadingWhiteSpace": False,
-    "ignoreTrailingWhiteSpace": False,
-}
 
 
 def read_splits(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """Train, dev and test TSV files with a header as one table with a ``split`` column."""
     parts = [
-        spark.read.csv(f"{folder}/{name}", sep="\t", header=True, schema=schema, **TABLE_OPTIONS)
-        .withColumn("split", F.lit(split))
+        read_delimited(spark, f"{folder}/{name}", schema, "\t", header=True).withColumn("split", F.lit(split))
         for split, name in SPLIT_FILES.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -78,10 +71,11 @@ def read_reviews(
     lines of the file; ``sample_size`` rows are drawn by hash.
     """
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(columns)])
-    rows = spark.read.csv(path, schema=schema, **TABLE_OPTIONS)
+    found = delimited.records(spark, path, ",")
     if line_range is not None:
         first, last = line_range
-        rows = with_line_numbers(rows).where((F.col("line") >= first) & (F.col("line") < last))
+        found = delimited.number(found).where((F.col("line") >= first) & (F.col("line") < last))
+    rows = delimited.parsed(found, schema, ",")
     ids = fixed.STAR_LABELS if label_map is None else label_map
     table = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
     data = rows.select(
@@ -218,7 +212,7 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None)
     kind = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind in ("csv", "tsv"):
-        return reader.csv(path, sep="\t" if kind == "tsv" else ",", header=True, **TABLE_OPTIONS)
+        return read_delimited(spark, path, schema, "\t" if kind == "tsv" else ",", header=True)
     if kind in ("json", "jsonl"):
         return reader.json(path)
     if kind == "parquet":
