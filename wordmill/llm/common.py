@@ -6,13 +6,13 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordmill.operators.scale import SHARES_PER_TASK, new_path, settle, task_count
 
-__all__ = ["arrow", "fold", "new_path", "settle", "spread_join", "table", "labelled_sample"]
+__all__ = ["arrow", "fold", "fresh", "new_path", "settle", "spread_join", "table", "labelled_sample"]
 
 
 #: Bytes that a task hands to Python at a time, unless the session says less.
@@ -41,21 +41,38 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added to those that a column of the table has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled texts (text, label), those with the smallest hash of their key.
+    """At most ``rows`` labelled texts (key, text, label), one for each chosen key.
 
-    The bound holds for the whole sample, so its label table is small enough to be broadcast and the texts
-    are neither shuffled nor sorted.
+    A quarter of the places is dealt evenly to the labels, so that a rare one keeps its share; the others go to the smallest hashes of all
+    keys. A key with several texts gives the one with the smallest hash, found before anything is shuffled, so the bound holds
+    however often a key occurs. The label table is bounded and broadcast; texts that are not chosen do not move.
     """
-    chosen = (
+    known = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(key).alias("_key"))
         .agg(F.max(label).cast("string").alias("_label"))
-        .orderBy(F.xxhash64("_key"), "_key")
-        .limit(rows)
     )
-    picked = docs.select(F.col(key).alias("_key"), F.col("text").alias("_text")).join(F.broadcast(chosen), "_key")
-    return picked.select(F.col("_key").alias("key"), F.coalesce("_text", F.lit("")).alias("text"), F.col("_label").alias("label"))
+    share = rows // 4 // max(1, known.agg(F.count_distinct("_label")).first()[0])
+    by_hash = [F.xxhash64("_key"), F.col("_key")]
+    # a rank limited by the share, so no label is numbered as a whole
+    place = F.row_number().over(Window.partitionBy("_label").orderBy(*by_hash))
+    dealt = known.withColumn("_at", place).where(F.col("_at") <= share).select("_key", F.lit(0).alias("_at"))
+    chosen = known.join(F.broadcast(dealt), "_key", "left").orderBy(F.asc_nulls_last("_at"), *by_hash).limit(rows).drop("_at")
+    picked = docs.select(F.col(key).alias("_key"), F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), "_key")
+    one = picked.groupBy("_key").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("text"), F.max("_label").alias("label"))
+    return one.select(F.col("_key").alias("key"), "text", "label")
 
 
 def spread_join(rows: DataFrame, told: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:

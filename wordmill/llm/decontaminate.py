@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordmill.llm.common import arrow, new_path, settle
+from wordmill.llm.common import arrow, fresh, new_path, settle
 from wordmill.llm.hashed import PUNCT, buffers, distinct, grams, mix, runs, words
 
 U = np.uint64
@@ -196,15 +196,18 @@ class Items:
 def mark(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", to: str = "leaks", threshold: float = THRESHOLD) -> DataFrame:
     """The rows with an array of the items found: (similarity, item, first byte, end byte), the best one first."""
     spark = docs.sparkSession
+    if to.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the rows have a column {to} already")
     known = items.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).cast("long").alias("id"), F.lower("text").alias("text"))
     known = settle(known.groupBy("text").agg(F.collect_set("id").alias("ids")), "items")
     n = known.count()
     passes = 1 if n <= ITEMS else -(-n * 5 // (4 * ITEMS))
     shared = _shared(known)
     before = None
+    found = fresh(docs, *[f"_{to}{p}" for p in range(passes)])
     for p in range(passes):
         rows = known.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == p).collect()
-        docs = _mark(docs, [r["ids"] for r in rows], [r["text"] for r in rows], shared, text, f"_{to}{p}", threshold)
+        docs = _mark(docs, [r["ids"] for r in rows], [r["text"] for r in rows], shared, text, found[p], threshold)
         if p + 1 < passes:
             path = new_path(spark, "pass")
             docs.write.parquet(path)
@@ -213,9 +216,9 @@ def mark(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "t
                 at = spark._jvm.org.apache.hadoop.fs.Path(before)
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
             before = path
-    every = F.concat(*[F.col(f"_{to}{p}") for p in range(passes)])
+    every = F.concat(*[F.col(c) for c in found])
     order = lambda a, b: F.when(a["similarity"] > b["similarity"], -1).when(a["similarity"] < b["similarity"], 1).when(a["item"] < b["item"], -1).when(a["item"] > b["item"], 1).otherwise(F.when(a["start"] < b["start"], -1).otherwise(1))
-    return docs.withColumn(to, F.array_sort(every, order)).drop(*[f"_{to}{p}" for p in range(passes)])
+    return docs.withColumn(to, F.array_sort(every, order)).drop(*found)
 
 
 def _shared(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -251,5 +254,5 @@ def _mark(docs: DataFrame, ids: list[list[int]], texts: list[str], shared: tuple
                     found[a + row].append({"similarity": same, "item": item, "start": start - int(offsets[row]), "end": end - int(offsets[row])})
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(found, shape)], names)
 
-    small = docs.select(*docs.columns, F.lower(text).alias(f"{to}_text"))
+    small = docs.select(*docs.columns, F.lower(text).alias(*fresh(docs, f"{to}_text")))
     return arrow(small, run, T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(kind))]))

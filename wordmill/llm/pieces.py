@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as protos
 
-from wordmill.llm.common import arrow
+from wordmill.llm.common import arrow, fresh
 from wordmill.llm.hashed import buffers, runs, stretches
 
 MARK = "▁"
@@ -264,10 +264,12 @@ def _with(docs: DataFrame, fields: list[T.StructField]) -> T.StructType:
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ends: str = "ends") -> DataFrame:
     """The rows with the ids of their text and the source byte at which each piece ends.
 
+    A column of the rows that has the name of a new one already keeps it; the new one gets an underscore.
     ``model`` is the path of a model file; its bytes go to the tasks, so executors need not have the file.
     """
     with open(model, "rb") as source:
         blob = source.read()
+    ids, ends = fresh(docs, ids, ends)
     at, names = docs.columns.index(text), [*docs.columns, ids, ends]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordmill.llm.common import fresh
+
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
 
@@ -163,7 +165,8 @@ def listed(found: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every span replaced by its kind in angle brackets; a null text stays null."""
-    found = find(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), text, "_pii")
+    [spans] = fresh(docs, "_pii")
+    found = find(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), text, spans)
 
     def step(acc: Column, s: Column) -> Column:
         part = F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
@@ -172,8 +175,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             F.struct(s["end"].alias("at"), F.concat(acc["out"], part, F.lit("<"), kind_name(s["kind"]), F.lit(">")).alias("out")),
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    clean = F.aggregate(F.col("_pii"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1)))
-    return found.withColumn(text, F.when(F.size("_pii") > 0, clean).otherwise(F.col(text))).drop("_pii")
+    clean = F.aggregate(F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1)))
+    return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).drop(spans)
 
 
 def _is(number: int) -> Callable[[Column], Column]:

@@ -134,6 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", set
 
 def mark(docs: DataFrame, model: Model, to: str = "score", text: str = "text") -> DataFrame:
     """The rows with their score between 0 and 1."""
+    if to.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the rows have a column {to} already")
     names, width = [*docs.columns, to], len(docs.columns)
     ids, weights, intercept, settings = model.features, model.weights, model.intercept, model.settings
 

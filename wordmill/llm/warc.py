@@ -246,8 +246,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, stride: int) -> None:
-        self.folder, self.stride = folder, stride
+    def __init__(self, folder: str, stride: int, overwrite: bool) -> None:
+        self.folder, self.stride, self.overwrite = folder, stride, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written | None:
         fs, path = opened(self.folder)
@@ -269,11 +269,24 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(name, size, offsets)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """List the new archives, after those of earlier writes or, when overwriting, in their place.
+
+        The index is written aside and takes the old one's name at once, so readers see either state. Archives that
+        no longer count are deleted last.
+        """
         fs, path = opened(self.folder)
         fs.create_dir(path)
+        index, aside = f"{path}/{INDEX}", f"{path}/{INDEX}.{uuid.uuid4().hex}"
+        before = []
+        if fs.get_file_info(index).type == pafs.FileType.File:
+            with fs.open_input_stream(index) as source:
+                before = json.loads(source.read())
         listed = [{"name": m.name, "size": m.size, "offsets": m.offsets} for m in messages if m is not None and m.name]
-        with fs.open_output_stream(f"{path}/{INDEX}") as sink:
-            sink.write(json.dumps(listed).encode())
+        with fs.open_output_stream(aside) as sink:
+            sink.write(json.dumps(listed if self.overwrite else before + listed).encode())
+        fs.move(aside, index)
+        for archive in before if self.overwrite else []:
+            fs.delete_file(f"{path}/{archive['name']}")
 
     def abort(self, messages: list[Written | None]) -> None:
         """Nothing to do: archives that no index lists are not read."""
@@ -293,7 +306,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true")
 
     def writer(self, schema: object, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("stride", STRIDE)))
+        return WarcWriter(self.options["path"], int(self.options.get("stride", STRIDE)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -335,9 +348,10 @@ def records(pages: DataFrame, least: int = 1000, key: str = "page_id", url: str
     )
 
 
-def write(pages: DataFrame, folder: str) -> None:
+def write(pages: DataFrame, folder: str, mode: str = "append") -> None:
+    """Records as archives of a folder, added to those it has (``append``) or in their place (``overwrite``)."""
     register(pages.sparkSession)
-    pages.write.format("warc").mode("append").save(folder)
+    pages.write.format("warc").mode(mode).save(folder)
 
 
 def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
