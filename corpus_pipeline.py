@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.llm import decontaminate, jaccard, pieces, pii, toxicity
-from wordmill.llm.common import fold, settle, table
+from wordmill.llm.common import fold, fresh, settle, table
 from wordmill.llm.queries import MODEL
 
 
@@ -22,7 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the model, learned from the labelled ones outside the held-out fold, does not reject."""
     learn = table(spark, folder, "labels").where(fold("doc_id", 4) != 2)
     model = toxicity.fit(table(spark, folder, "documents"), learn, "toxic")
-    return toxicity.mark(docs, model, "_toxic").where("_toxic < 0.3").select(*docs.columns)
+    [score] = fresh(docs, "toxicity")
+    return toxicity.mark(docs, model, score).where(F.col(score) < 0.3).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -31,16 +32,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     Rows without an id stay; of rows that share id and text, one stays.
     """
     found = jaccard.classes(docs)
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    [n] = fresh(docs, "n")
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(n))
     kept = docs.join(first, "doc_id")
-    once = kept.where("_n > 1").dropDuplicates(["doc_id", "text"])
-    return kept.where("_n = 1").unionByName(once).drop("_n").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    once = kept.where(F.col(n) > 1).dropDuplicates(["doc_id", "text"])
+    return kept.where(F.col(n) == 1).unionByName(once).drop(n).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    marked = decontaminate.mark(docs, table(spark, folder, "benchmark"), to="_leaks")
-    return marked.where(F.size("_leaks") == 0).select(*docs.columns)
+    [leaks] = fresh(docs, "leaks")
+    marked = decontaminate.mark(docs, table(spark, folder, "benchmark"), to=leaks)
+    return marked.where(F.size(leaks) == 0).select(*docs.columns)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -61,7 +64,7 @@ STAGES = [
     ("pieces", encode),
 ]
 
-#: Classifier, fingerprints and pieces are beyond SQL; the tests compare the pipeline with a plain version.
+#: Classifier, fingerprints and pieces are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -478,10 +478,15 @@ def permute_vocab(vocab: DataFrame, seed: int) -> DataFrame:
 
 
 def permute_rows(emb: DataFrame, key: str, value: str, seed: int) -> DataFrame:
-    """Embedding matrix with its rows exchanged at random: key ``k`` gets the row of ``old_key``."""
+    """Embedding matrix with its rows exchanged at random: key ``k`` gets the row of ``old_key``.
+
+    The permutation is built from the keys alone and written; the vectors then move once, unsorted.
+    """
     here = numbered(emb.select(key), [F.col(key)], name="at")
-    there = numbered(emb.select(F.col(key).alias("old_key"), value), [hash_key(seed, "old_key")], name="at")
-    return here.join(there, "at").select(key, "old_key", value)
+    there = numbered(emb.select(F.col(key).alias("old_key")), [hash_key(seed, "old_key")], name="at")
+    moves = settle(here.join(there, "at").select(key, "old_key"), "moves")
+    moves = F.broadcast(moves) if is_small(moves) else moves.hint("shuffle_hash")
+    return emb.select(F.col(key).alias("old_key"), value).join(moves, "old_key").select(key, "old_key", value)
 
 
 def mean_vector(emb: DataFrame, value: str) -> DataFrame:
