@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions import fixed
@@ -14,6 +18,9 @@ from wordmill.operators.vocab import coarse_buckets, freq_rank, frequency_order
 from wordmill.operators.wordpiece import wordpieces
 
 THRESHOLD = 0.3
+#: Greedy matching: words before a word with distances as columns, first words of a block that meet the words left over by
+#: the block before, and how far apart these may stand to be compared.
+LAGS, HEAD, NEAR = 4, 32, 8
 #: Pairs that one task compares for a common segment.
 TASK_PAIRS = 1 << 22
 #: Rows of the segment index that one task holds.
@@ -209,14 +216,159 @@ def swap_greedy(
 
     The rule is symmetric, so taking the first free word both ways is the same as letting each word, in
     order, pair with the first earlier word that is still single. Only the few single words travel along
-    the order. Blocks of consecutive ranks therefore run in parallel, each from an assumed empty state;
-    blocks whose predecessor in fact leaves other single words behind are run again until all states
-    agree. The result equals the one-pass walk.
+    the order, and nearly always they are gone after a few words. So a block of consecutive ranks has two
+    ways to go: no word reaches it, or one that pairs with its first word. Both walks are made for all blocks at once;
+    what leaves a block in each of them meets the first words of the next block, which tells after how many
+    words the next block follows which of its two walks. These steps compose like functions of two values, so
+    the walk that a block really takes comes from one window over the blocks, and the number of Spark jobs does not depend on
+    their number. If on that way some words travel on past the first words of a block, the blocks are
+    walked again from there until their states agree (``_walk_on``). Distances are columns; only
+    words that stay single past ``LAGS`` others in a block are compared in the walk.
     """
     ranked = freq_rank(vocab, [by]).withColumn("block", F.floor((F.col("rank") - 1) / block))
     form_col = F.col(forms) if forms else F.lit(None).cast("array<string>")
     words = settle(ranked.select(by, "block", "rank", "token", form_col.alias("forms")), "words")
     kind = vocab.schema[by].dataType.simpleString()
+    walked = settle(_with_lags(words, by, thr).groupBy(by, "block").applyInPandas(_two_walks(by, thr), _WALKED.format(by=by, kind=kind)), "walks")
+    steps = settle(_steps(words, walked, by, kind, thr), "steps")
+    # a step maps the walk of a block to the walk of the next one: a constant, the same, or the other
+    order = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    turned = F.col("to0") & ~F.col("to1")
+    counted = steps.withColumn("turns", F.coalesce(F.sum(turned.cast("int")).over(order), F.lit(0)))
+    fixed_ = F.last(F.when(F.col("to0") == F.col("to1"), F.struct(F.col("to0").alias("to"), "turns")), ignorenulls=True).over(order)
+    before = counted.withColumn("fixed", fixed_)
+    mode = F.coalesce("fixed.to", F.lit(False)) != ((F.col("turns") - F.coalesce("fixed.turns", F.lit(0))) % 2 == 1)
+    taken = settle(before.withColumn("second", mode), "taken")
+    if not taken.where(~F.when(F.col("second"), F.col("ok1")).otherwise(F.col("ok0"))).isEmpty():
+        return _walk_on(vocab, words, thr, by)
+    # the first words of the next block as the single words met them, and from there on its own walk
+    side = lambda c: F.when(F.col("second"), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    met = taken.select(by, (F.col("block") + 1).alias("block"), side("at").alias("at"), side("pairs").alias("met"))
+    chosen = taken.select(by, "block", "second").join(met, [by, "block"], "left")
+    own = walked.join(chosen, [by, "block"]).where((F.col("second") == F.col("later")) & (F.col("place") >= F.coalesce("at", F.lit(0))))
+    pairs = own.where("partner IS NOT NULL").select(F.col("token").alias("a"), F.col("partner").alias("b"))
+    pairs = pairs.unionByName(met.select(F.explode("met").alias("p")).select("p.a", "p.b"))
+    return _complete(vocab, _both_ways(settle(pairs, "pairs")))
+
+
+_WALKED = "{by} {kind}, block bigint, later boolean, place int, token string, forms array<string>, partner string, single boolean, free boolean"
+
+
+def _with_lags(words: DataFrame, by: str, thr: float) -> DataFrame:
+    """Words with, for each of the ``LAGS`` words before them in their block, whether the two may pair."""
+    order = Window.partitionBy(by, "block").orderBy("rank")
+    lagged = words.withColumns({f"t{d}": F.lag("token", d).over(order) for d in range(1, LAGS + 1)} | {f"f{d}": F.lag("forms", d).over(order) for d in range(1, LAGS + 1)})
+    may = F.array(*[F.coalesce(_unrelated("token", "forms", f"t{d}", f"f{d}", thr), F.lit(False)) for d in range(1, LAGS + 1)])
+    return lagged.withColumn("may", may).select(by, "block", "rank", "token", "forms", "may")
+
+
+def _two_walks(by: str, thr: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Walks of one block from no single word, and from one that pairs with its first word.
+
+    One row for each pair (at its later word), each word left over (``single``) and each of the first ``HEAD`` words at
+    which no word is single before it (``free``).
+    """
+
+    def walks(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank", ignore_index=True)
+        tokens, shapes, may = group["token"].tolist(), group["forms"].tolist(), group["may"].tolist()
+        rows = []
+        for later in (False, True):
+            single: list[int] = []
+            for i in range(int(later), len(tokens)):
+                free = not single and i < HEAD
+                partner = None
+                for at, j in enumerate(single):
+                    if may[i][i - j - 1] if i - j <= LAGS else _different(_word(tokens, shapes, i), _word(tokens, shapes, j), thr):
+                        partner = tokens[j]
+                        del single[at]
+                        break
+                else:
+                    single.append(i)
+                if free or partner is not None:
+                    rows.append((later, i, tokens[i], None, partner, False, free))
+            if not single and len(tokens) < HEAD:
+                rows.append((later, len(tokens), None, None, None, False, True))
+            rows += [(later, j, tokens[j], shapes[j], None, True, False) for j in single]
+        out = pd.DataFrame(rows, columns=["later", "place", "token", "forms", "partner", "single", "free"])
+        out[by], out["block"] = group[by].iloc[0], group["block"].iloc[0]
+        return out[[by, "block", "later", "place", "token", "forms", "partner", "single", "free"]]
+
+    return walks
+
+
+def _word(tokens: list[str], shapes: list, i: int) -> tuple:
+    return (i, tokens[i], None if shapes[i] is None else frozenset(shapes[i]))
+
+
+def _steps(words: DataFrame, walked: DataFrame, by: str, kind: str, thr: float) -> DataFrame:
+    """For each block, after either of its walks: the walk of the next block, from which of its words on, and the pairs before.
+
+    ``ok`` is false if words are still single after the first ``HEAD`` words of the next block.
+    """
+    order = Window.partitionBy(by, "block").orderBy("rank")
+    head = words.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < HEAD)
+    left = walked.where("single").select(by, (F.col("block") + 1).alias("block"), F.col("later").alias("of"), F.col("place").alias("from"), F.col("token").alias("other"), F.col("forms").alias("other_forms"))
+    first = head.select(by, "block", "place", "token", "forms")
+    # the words that leave a block, and the first words of the next among themselves, as far as a block's singles go
+    reached = left.join(first, [by, "block"]).withColumn("may", _unrelated("token", "forms", "other", "other_forms", thr))
+    ask = reached.select(by, "block", F.struct("of", "from", "other", "place", "token", "may").alias("x"))
+    inner = first.alias("x").join(first.alias("y"), (F.col(f"x.{by}").eqNullSafe(F.col(f"y.{by}"))) & (F.col("x.block") == F.col("y.block")) & (F.col("x.place") < F.col("y.place")) & (F.col("y.place") <= F.col("x.place") + NEAR))
+    inner = inner.join(left.select(F.col(by).alias("_by"), F.col("block").alias("_block")).distinct(), F.col(f"x.{by}").eqNullSafe(F.col("_by")) & (F.col("x.block") == F.col("_block")), "left_semi")
+    own = inner.select(F.col(f"x.{by}").alias(by), F.col("x.block").alias("block"), F.struct(F.lit(None).cast("boolean").alias("of"), F.col("x.place").alias("from"), F.col("x.token").alias("other"), F.col("y.place").alias("place"), F.col("y.token").alias("token"), _unrelated("x.token", "x.forms", "y.token", "y.forms", thr).alias("may")).alias("x"))
+    asked = ask.unionByName(own).groupBy(by, "block").agg(F.collect_list("x").alias("may"))
+    free = walked.where("free").groupBy(by, "block").agg(F.collect_list(F.struct("later", "place")).alias("free"))
+    sizes = words.groupBy(by, "block").agg(F.count("*").alias("n"))
+    ready = sizes.join(free, [by, "block"], "left").join(asked, [by, "block"], "left")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, free, may in zip(*(batch[c].to_pylist() for c in ("n", "free", "may"))):
+                out.append([_absorb([x for x in may or [] if x["of"] is m or x["of"] is None], {(f["later"], f["place"]) for f in free or []}, min(n, HEAD)) for m in (False, True)])
+            pair = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))
+            columns = [pa.array([o[m][i] for o in out], t) for m in (0, 1) for i, t in enumerate((pa.bool_(), pa.int32(), pair, pa.bool_()))]
+            yield pa.record_batch([batch[by], pc.subtract(batch["block"], 1), *columns], [by, "block", *(f"{c}{m}" for m in (0, 1) for c in ("to", "at", "pairs", "ok"))])
+
+    told = ", ".join(f"to{m} boolean, at{m} int, pairs{m} array<struct<a:string,b:string>>, ok{m} boolean" for m in (0, 1))
+    found = ready.mapInArrow(step, f"{by} {kind}, block bigint, {told}")
+    last = sizes.groupBy(by).agg(F.max("block").alias("block"))
+    none = F.array().cast("array<struct<a:string,b:string>>")
+    ends = last.select(by, "block", *[c for m in (0, 1) for c in (F.lit(False).alias(f"to{m}"), F.lit(0).alias(f"at{m}"), none.alias(f"pairs{m}"), F.lit(True).alias(f"ok{m}"))])
+    return found.where("block >= 0").unionByName(ends)
+
+
+def _absorb(may: list[dict], free: set[tuple[bool, int]], n: int) -> tuple[bool, int, list[dict], bool]:
+    """Walk the first words of a block with the words that reach it, until one of its own walks has the same (empty) state."""
+    known = {(x["of"] is not None, x["from"], x["place"]): x["may"] for x in may}
+    names = {(x["of"] is not None, x["from"]): x["other"] for x in may} | {(False, x["place"]): x["token"] for x in may}
+    single = [k for k in sorted(names, key=lambda k: (not k[0], k[1])) if k[0]]
+    pairs = []
+    for i in range(n + 1):
+        if not single:
+            for later in (False, True):
+                if (later, i) in free:
+                    return later, i, pairs, True
+        if i == n:
+            break
+        for at, (old, j) in enumerate(single):
+            answer = known.get((old, j, i))
+            if answer is None:  # too far apart to have been asked
+                return False, 0, [], False
+            if answer:
+                pairs.append({"a": names[old, j], "b": names[False, i]})
+                del single[at]
+                break
+        else:
+            if (False, i) not in names:
+                return False, 0, [], False
+            single.append((False, i))
+    return False, 0, [], False
+
+
+def _walk_on(vocab: DataFrame, words: DataFrame, thr: float, by: str) -> DataFrame:
+    """The greedy map by walking blocks from assumed states, again and again where the block before leaves other words."""
+    kind = vocab.schema[by].dataType.simpleString()
     schema = (
         f"{by} {kind}, block bigint, rank bigint, token string, forms array<string>, partner string"
     )
