@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wordmill.operators import swap as W
 from wordmill.operators.scale import numbered, settle
 from wordmill.operators.vocab import doc_freq, term_freq
+from wordmill.operators.wordpiece import vocab_table
 from wordmill.plans import inputs as I
 from wordmill.plans import sql as S
 from wordmill.plans.registry import query
@@ -45,6 +46,37 @@ def swap_greedy_lemma(spark, folder):
     return W.swap_greedy(_stems(I.pieced_vocabulary(spark, folder)), forms="forms")
 
 
+TASK = f"task AS MATERIALIZED (SELECT token, count(*) AS freq FROM (SELECT unnest(list_distinct({S.tok('text')})) AS token FROM benchmark) GROUP BY token)"
+
+
+def _greedy_sql(unrelated: str) -> str:
+    """The sequential rule, word by word: the list of words still single travels along the frequency order."""
+    return (
+        "WITH RECURSIVE " + TASK + ", r AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY freq DESC, md5(token)) AS rn FROM task), "
+        "walk(rn, token, singles, partner) AS ("
+        "SELECT 0::BIGINT, NULL::VARCHAR, []::VARCHAR[], NULL::VARCHAR UNION ALL "
+        "SELECT rn, token, CASE WHEN spot IS NULL THEN list_append(singles, token) ELSE list_concat(singles[1:spot - 1], singles[spot + 1:]) END, singles[spot] "
+        f"FROM (SELECT r.rn, r.token, w.singles, nullif(list_position(list_transform(w.singles, lambda s: {unrelated}), true), 0) AS spot FROM walk w JOIN r ON r.rn = w.rn + 1)), "
+        "pairs AS (SELECT token AS src, partner AS dst FROM walk WHERE partner IS NOT NULL UNION ALL SELECT partner, token FROM walk WHERE partner IS NOT NULL) "
+        "SELECT token AS src, coalesce(dst, token) AS dst FROM task LEFT JOIN pairs ON src = token"
+    )
+
+
+def _benchmark_vocabulary(spark, folder):
+    return settle(vocab_table(doc_freq(load(spark, folder, "benchmark"), ["text"])), "vocab")
+
+
+@query(_greedy_sql(f"{S.norm_lev('s', 'r.token')} > 0.3"))
+def swap_greedy_benchmark(spark, folder):
+    """The greedy map of the benchmark's words, few enough for a walk in SQL."""
+    return W.swap_greedy(_benchmark_vocabulary(spark, folder))
+
+
+@query(_greedy_sql(f"{S.norm_lev('s', 'r.token')} > 0.3 AND substr(s, 1, 5) <> substr(r.token, 1, 5)"))
+def swap_greedy_lemma_benchmark(spark, folder):
+    return W.swap_greedy(_stems(_benchmark_vocabulary(spark, folder)), forms="forms")
+
+
 @query()
 def swap_lemma(spark, folder):
     return W.swap_lemma(settle(_stems(I.pieced_vocabulary(spark, folder)), "stems"), "forms", I.SEED)
