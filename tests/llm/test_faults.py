@@ -25,13 +25,15 @@ def test_archives_are_added_and_replaced(spark):
 
 
 def test_sample_is_bounded_and_keeps_rare_labels(spark):
-    docs = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
-    labels = docs.select("doc_id").distinct().withColumn("y", F.when(F.col("doc_id") % 500 == 0, "rare").otherwise("common"))
-    got = labelled_sample(docs, labels, "doc_id", "y", 100).collect()
-    assert len(got) == len({r["key"] for r in got}) == 100
-    assert sum(r["label"] == "rare" for r in got) == labels.where("y = 'rare'").count() > 0
+    docs = spark.range(40_000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = docs.select("doc_id").distinct().withColumn("y", F.when(F.col("doc_id") % 5000 == 0, "rare").otherwise("common"))
+    got = labelled_sample(docs, labels, "doc_id", "y", 320).collect()
+    assert len(got) == len({r["key"] for r in got}) == 320
+    assert sum(r["label"] == "rare" for r in got) == labels.where("y = 'rare'").count() == 7
     few = labelled_sample(docs, labels.where("doc_id = 7"), "doc_id", "y", 10).collect()
     assert [(r["key"], r["label"]) for r in few] == [(7, "common")]
+    many = labelled_sample(docs, labels.withColumn("y", F.col("doc_id")), "doc_id", "y", 50).collect()
+    assert len(many) == 50
     assert labelled_sample(docs, labels.where("false"), "doc_id", "y", 10).collect() == []
 
 

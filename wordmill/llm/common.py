@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,21 +55,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, rows: int) -> DataFrame:
     """At most ``rows`` labelled texts (key, text, label), one for each chosen key.
 
-    A quarter of the places is dealt evenly to the labels, so that a rare one keeps its share; the others go to the smallest hashes of all
-    keys. A key with several texts gives the one with the smallest hash, found before anything is shuffled, so the bound holds
-    however often a key occurs. The label table is bounded and broadcast; texts that are not chosen do not move.
+    Keys are taken by the smallest hash. A sixteenth of the places is dealt evenly to the labels first, so that a rare one is not lost among
+    many rows: of each label the keys whose hash lies in the lowest part that is expected to hold its share. A key with several texts gives the one with the smallest
+    hash, found before anything is shuffled, so the bound holds however often a key occurs. Labels are counted only, never
+    ranked; their counts (at most a sixteenth of ``rows``) and the chosen keys are broadcast, and texts that are not chosen do not move.
     """
     known = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(key).alias("_key"))
         .agg(F.max(label).cast("string").alias("_label"))
     )
-    share = rows // 4 // max(1, known.agg(F.count_distinct("_label")).first()[0])
-    by_hash = [F.xxhash64("_key"), F.col("_key")]
-    # a rank limited by the share, so no label is numbered as a whole
-    place = F.row_number().over(Window.partitionBy("_label").orderBy(*by_hash))
-    dealt = known.withColumn("_at", place).where(F.col("_at") <= share).select("_key", F.lit(0).alias("_at"))
-    chosen = known.join(F.broadcast(dealt), "_key", "left").orderBy(F.asc_nulls_last("_at"), *by_hash).limit(rows).drop("_at")
+    share = rows // 16 // max(1, known.agg(F.count_distinct("_label")).first()[0])
+    place = F.xxhash64("_key")
+    first = F.lit(False)
+    if share:
+        counts = known.groupBy("_label").agg(F.count("*").alias("_n"))
+        known = known.join(F.broadcast(counts), "_label")
+        first = (place / F.lit(2.0**64) + 0.5) * F.col("_n") < share
+    chosen = known.orderBy(F.desc(first), place, "_key").limit(rows).select("_key", "_label")
     picked = docs.select(F.col(key).alias("_key"), F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), "_key")
     one = picked.groupBy("_key").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("text"), F.max("_label").alias("label"))
     return one.select(F.col("_key").alias("key"), "text", "label")
