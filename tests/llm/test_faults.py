@@ -1,5 +1,10 @@
 """Appended and replaced archives, bounded samples, names that clash."""
 
+import hashlib
+import random
+import re
+import time
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +66,36 @@ def test_names_that_are_taken(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, y int")
     with pytest.raises(ValueError):
         toxicity.mark(docs, toxicity.fit(docs, labels, "y"), "taken")
+
+
+def plain_redact(text, found):
+    out, at = [], 0
+    for start, kind, end in found:
+        if start >= at:
+            out += [text[at:start], f"<{pii.KINDS[kind]}>"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_spans_across_blocks(spark):
+    """Texts of 0 to 600 spans of all kinds, some of which overlap, with characters of several bytes between them."""
+    rng = random.Random(5)
+    bits = ["a@b.co ", "10.2.3.4 ", "+49 30 1234567 ", "4111111111111111 ", "é😀 ", "x.y@10.0.0.1 ", "DE89370400440532013000 ", "+4111111111111111 ", "999.1.1.1 "]
+    texts = ["".join(rng.choices(bits, k=n)) for n in (0, 1, 15, 16, 17, 31, 33, 100, 255, 257, 600)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["pii"]] for r in pii.find(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for i, text in enumerate(texts):
+        emails = [(m.start(), 0, m.end()) for m in re.finditer(pii.PLAIN["email"], text)]
+        ips = [(m.start(), 1, m.end()) for m in re.finditer(pii.PLAIN["ip"], text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [s for s in found[i] if s[1] < 2] == sorted(emails + ips), i
+        assert found[i] == sorted(found[i]) and clean[i] == plain_redact(text, found[i]), i
+
+
+def test_many_spans_in_one_text(spark):
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a@b.co, "), 50_000).alias("text"))
+    begun = time.time()
+    assert pii.report(docs).first()["n_email"] == 50_000
+    assert pii.redact(docs).select(F.sha2("text", 256)).first()[0] == hashlib.sha256(("<email>, " * 50_000).encode()).hexdigest()
+    print("seconds", time.time() - begun)
+    assert time.time() - begun < 20
