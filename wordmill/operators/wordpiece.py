@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,77 +15,99 @@ from wordmill.operators.scale import is_small, join_by_token, settle, task_count
 from wordmill.operators.vocab import term_freq
 
 MAX_WORD = 100
+#: Pieces that a word asks for in one round, unless a single start has more lengths.
+PER_ROUND = 64
 
 
 def wordpieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """Greedy longest-match pieces of every distinct word: ``(token, pieces, n_pieces)``.
 
-    Candidate substrings, no longer than the longest head or continuation piece, meet the vocabulary in
-    one equi-join; the longest hit per start survives; a fold over the starts follows the chain. A word
-    with a gap, or longer than 100 characters, becomes the unknown piece. The words are spread over all
-    tasks once, by word, and every later step keeps that partitioning.
+    Rounds over the words that are not yet through: each word asks for the pieces that could begin at the next few
+    starts from where it has arrived, of those lengths alone that the vocabulary has, and for about ``PER_ROUND`` at
+    most. The longest hit of each start survives and the word follows the chain. A word with a gap leaves the rounds;
+    it and any word longer than 100 characters become the unknown piece.
     """
-    words = words.select("token").repartition(task_count(words.sparkSession), "token").distinct()
-    is_tail = F.col("token").startswith("##") & (F.length("token") > 2)
-    limits = vocab.agg(
-        F.struct(
-            F.coalesce(F.max(F.length("token")), F.lit(0)).alias("head"),
-            F.coalesce(F.max(F.when(is_tail, F.length("token") - 2)), F.lit(0)).alias("tail"),
-        )
-    ).scalar()
+    spark = words.sparkSession
+    spread = task_count(spark)
+    words = words.select("token").repartition(spread, "token").distinct()
+    n = F.length("token")
+    heads, tails = _piece_lengths(vocab)
+    known = vocab.select(F.col("token").alias("piece"))
+    known = F.broadcast(known) if is_small(vocab) else known
+    front = words.where(n.between(1, MAX_WORD)).select("token", F.lit(1).alias("at"))
+    starts = 1 + max(0, PER_ROUND - len(heads)) // max(1, len(tails))
+    rounds = []
+    while True:
+        hits = piece_candidates(front, heads, tails, starts).join(known, "piece", "left_semi")
+        rounds.append(settle(_advance(hits, starts), "pieces"))
+        going = rounds[-1].where((F.col("c.at") >= F.col("at") + starts) & (F.col("c.at") <= n))
+        if not tails or going.isEmpty():
+            break
+        front = going.select("token", "c.at").repartition(spread, "token")
+        starts = max(1, PER_ROUND // len(tails))
+    if len(rounds) == 1:
+        found = rounds[0].select("token", "c.ends", "c.at")
+    else:
+        parts = reduce(DataFrame.unionByName, [r.select("token", "c.ends", "c.at") for r in rounds])
+        found = parts.groupBy("token").agg(F.array_sort(F.flatten(F.collect_list("ends"))).alias("ends"), F.max("at").alias("at"))
+    found = found.where(F.col("at") == n + 1).select("token", "ends")
+    cut = lambda end, i: F.concat(
+        F.when(i == 0, "").otherwise("##"),
+        F.substring(F.col("token"), F.when(i == 0, 1).otherwise(F.get("ends", i - 1)), end - F.when(i == 0, 1).otherwise(F.get("ends", i - 1))),
+    )
+    pieces = F.when(F.col("ends").isNull(), F.array(F.lit(fixed.UNK))).otherwise(F.transform("ends", cut))
+    return words.join(found, "token", "left").select("token", pieces.alias("pieces")).withColumn("n_pieces", F.size("pieces"))
+
+
+def _piece_lengths(vocab: DataFrame) -> tuple[list[int], list[int]]:
+    """Lengths of head and of continuation pieces that a vocabulary has, longest first, at most ``MAX_WORD`` of each."""
     n = F.length("token")
+    tail = F.when(F.col("token").startswith("##"), n - 2)
+    sizes = lambda size: F.sort_array(F.collect_set(F.when(size.between(1, MAX_WORD), size)), asc=False)
+    row = vocab.agg(sizes(n).alias("heads"), sizes(tail).alias("tails")).first()
+    return row["heads"], row["tails"]
+
+
+def piece_candidates(front: DataFrame, heads: list[int], tails: list[int], starts: int) -> DataFrame:
+    """The pieces of the given lengths that could begin at the next few starts of words that have arrived ``at`` a place."""
+    n = F.length("token")
+    sizes = lambda lengths: F.array(*[F.lit(size) for size in lengths]).cast("array<int>")
 
     def from_start(s: Column) -> Column:
-        reach = F.least(n - s + 1, F.when(s == 1, F.col("_limits.head")).otherwise(F.col("_limits.tail")))
-        lengths = F.when(reach >= 1, F.sequence(F.lit(1), reach)).otherwise(F.array().cast("array<int>"))
         return F.transform(
-            lengths,
+            F.filter(F.when(s == 1, sizes(heads)).otherwise(sizes(tails)), lambda size: s + size <= n + 1),
             lambda size: F.struct(
                 s.alias("s"),
                 (s + size).alias("nxt"),
-                F.concat(
-                    F.when(s == 1, "").otherwise("##"), F.substring(F.col("token"), s, size)
-                ).alias("piece"),
+                F.concat(F.when(s == 1, "").otherwise("##"), F.substring(F.col("token"), s, size)).alias("piece"),
             ),
         )
 
-    short = words.where(n.between(1, MAX_WORD)).withColumn("_limits", limits)
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), from_start))
-    candidates = short.select("token", F.explode_outer(spans).alias("c")).select(
-        "token", "c.s", "c.nxt", F.col("c.piece").alias("piece")
-    )
-    known = vocab.select(F.col("token").alias("piece"))
-    known = F.broadcast(known) if is_small(vocab) else known
-    best = (
-        candidates.join(known, "piece", "left_semi")
-        .groupBy("token", "s")
-        .agg(F.max("nxt").alias("nxt"))
+    spans = F.flatten(F.transform(F.sequence("at", F.least(F.col("at") + (starts - 1), n)), from_start))
+    return front.select("token", "at", F.explode_outer(spans).alias("c")).select("token", "at", "c.*")
+
+
+def _advance(hits: DataFrame, starts: int) -> DataFrame:
+    """Words with the place that they reach by their longest hits and the piece ends on the way, ``c``; words without a hit are gone."""
+    steps = (
+        hits.groupBy("token", "s")
+        .agg(F.max("nxt").alias("nxt"), F.min("at").alias("at"))
         .groupBy("token")
-        .agg(F.map_from_entries(F.collect_list(F.struct("s", "nxt"))).alias("steps"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("s", "nxt"))).alias("steps"), F.min("at").alias("at"))
     )
 
     def follow(acc: Column, s: Column) -> Column:
         nxt = F.element_at("steps", s)
-        piece = F.concat(
-            F.when(s == 1, "").otherwise("##"), F.substring(F.col("token"), s, nxt - s)
-        )
-        here = acc["at"] == s
+        on = (acc["at"] == s) & nxt.isNotNull()
         return F.struct(
-            F.when(here, F.coalesce(nxt, F.lit(-1))).otherwise(acc["at"]).alias("at"),
-            F.when(here & nxt.isNotNull(), F.concat(acc["pieces"], F.array(piece)))
-            .otherwise(acc["pieces"])
-            .alias("pieces"),
+            F.when(on, nxt).otherwise(acc["at"]).alias("at"),
+            F.when(on, F.array_append(acc["ends"], nxt)).otherwise(acc["ends"]).alias("ends"),
         )
 
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("pieces"))
-    chain = F.aggregate(F.sequence(F.lit(1), n), start, follow)
-    # Bound once: a filter on the chain would make the optimizer run the fold twice.
-    whole = F.transform(F.array(chain), lambda c: F.when(c["at"] == n + 1, c["pieces"]))
-    found = best.select("token", F.element_at(whole, 1).alias("pieces"))
-    pieces = F.coalesce("pieces", F.array(F.lit(fixed.UNK)))
-    return words.join(found, "token", "left").select(
-        "token", pieces.alias("pieces"), F.size(pieces).alias("n_pieces")
-    )
+    start = F.struct(F.col("at").alias("at"), F.array().cast("array<int>").alias("ends"))
+    last = F.least(F.col("at") + (starts - 1), F.length("token"))
+    chain = F.aggregate(F.sequence(F.col("at"), last), start, follow)
+    return steps.select("token", "at", chain.alias("c"))
 
 
 def vocab_table(freq: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
