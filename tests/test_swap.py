@@ -102,6 +102,30 @@ def test_lemma_swap_equals_the_sequential_repair(spark):
     assert as_map(W.swap_lemma(vocab, "forms", 5)) == want
 
 
+@pytest.mark.parametrize("hot", [0.0, 0.9])
+def test_trades_equal_the_sequential_ones(spark, hot):
+    """Chains of trades through partners that trade themselves; with ``hot`` most words of a bucket trade with its first one."""
+    rng = random.Random(3)
+    turned, trades, want = [], [], {}
+    for g, n in (("a", 400), ("b", 40), ("c", 1)):
+        names = [f"{g}{i}" for i in range(n)]
+        cell = dict(zip(names, rng.sample(names, n)))
+        turned += [(g, i, w, cell[w]) for i, w in enumerate(names)]
+        first = dict(cell)
+        for i, w in enumerate(names):
+            partner = names[0] if rng.random() < hot else rng.choice(names)
+            if n > 1 and rng.random() < 0.7 and partner != w:
+                trades.append((g, i, w, first[w], partner))
+                cell[partner], cell[w] = first[w], cell[partner]
+                want |= {w: None, partner: None}
+        want |= {w: cell[w] for w in names if w in want}
+    got = W._traded(
+        settle(spark.createDataFrame(turned, "group string, at bigint, token string, dst string")),
+        settle(spark.createDataFrame(trades, "group string, at bigint, token string, dst string, with_token string")),
+    )
+    assert as_map(got) == want and got.count() == len(want)
+
+
 @pytest.mark.parametrize("make", [lambda v: W.swap_rotate(v, 3), lambda v: W.swap_mutual(v, 3), lambda v: W.swap_random(v, 3)])
 def test_permutations(spark, make):
     vocab = words(spark)

@@ -491,7 +491,7 @@ def swap_lemma(vocab: DataFrame, forms: str, seed: int, thr: float = THRESHOLD,
 
     A word that shares a lemma form with its target, or is too similar to it, trades targets with the
     first word of the bucket it is unrelated to. Which word that is does not depend on earlier trades, so
-    it is found by joins; only the trades themselves, a few per bucket, run in order.
+    it is found by joins, and the outcome of the trades, which is that of one after the other, by joins as well.
     """
     words = coarse_buckets(vocab, by).join(vocab.select("token", F.col(forms).alias("forms")), "token")
     words = words.withColumn("group", F.concat_ws("|", by, "bucket"))
@@ -509,30 +509,38 @@ def swap_lemma(vocab: DataFrame, forms: str, seed: int, thr: float = THRESHOLD,
         turned.where(~_unrelated("token", "forms", "dst", "dst_forms", thr)), "clash"
     )
     trades = settle(_first_unrelated(clash, placed, sizes, thr), "trades")
-    schema = "src string, dst string"
-
-    def trade(group: pd.DataFrame) -> pd.DataFrame:
-        """Trades in order; cells are the words that appear on either side of a trade."""
-        group = group.sort_values("at")
-        cell = dict(zip(group["token"], group["dst"])) | dict(zip(group["with_token"], group["with_dst"]))
-        for word, aim_, partner in zip(group["token"], group["dst"], group["with_token"]):
-            cell[word], cell[partner] = cell[partner], aim_
-        return pd.DataFrame(cell.items(), columns=["src", "dst"])
-
-    with_dst = turned.select(
-        "group", F.col("token").alias("with_token"), F.col("dst").alias("with_dst")
-    )
-    changed = settle(
-        trades.join(with_dst, ["group", "with_token"])
-        .select("group", "at", "token", "dst", "with_token", "with_dst")
-        .groupBy("group")
-        .applyInPandas(trade, schema),
-        "changed",
-    )
+    changed = settle(_traded(turned, trades.where(F.col("with_token").isNotNull())), "changed")
     base = turned.select(F.col("token").alias("src"), "dst")
     return base.join(changed.select("src"), "src", "left_anti").unionByName(changed)
 
 
+def _traded(turned: DataFrame, trades: DataFrame) -> DataFrame:
+    """Targets ``(src, dst)`` of all words that take part in a trade, after all trades in their order.
+
+    At its place a word takes the target that its partner holds by then, and the partner gets the word's first target, which is known.
+    What a partner holds was given to it by the trade before, or is its first target, or was taken in a trade of its own: only
+    the last case points to another trade, and such pointers are followed by doubling. Trades of one word are numbered by a
+    spread sort, so the first word of a bucket, with which most words trade, does not gather them in one task.
+    """
+    took = trades.select("group", F.col("token").alias("cell"), "at", F.lit(None).cast("string").alias("given"))
+    got = trades.select("group", F.col("with_token").alias("cell"), "at", F.col("dst").alias("given"))
+    events = settle(numbered(took.unionByName(got), [F.col("at")], ["group", "cell"], name="nth"), "events")
+    own = F.when(F.col("given").isNull(), F.col("at"))
+    before = events.select("group", "cell", (F.col("nth") + 1).alias("nth"), F.col("given").alias("held"), own.alias("ref"))
+    first = turned.select("group", F.col("token").alias("cell"), F.lit(1).cast("bigint").alias("nth"), F.col("dst").alias("held"))
+    before = before.unionByName(first.withColumn("ref", F.lit(None).cast("bigint")))
+    held = events.where("given IS NOT NULL").join(before, ["group", "cell", "nth"]).select("group", "at", "held", "ref")
+    held = settle(held, "held")
+    while not held.where("held IS NULL").isEmpty():
+        ahead = held.select("group", F.col("at").alias("ref"), "held", F.col("ref").alias("next"))
+        followed = held.where("held IS NULL").drop("held").join(ahead, ["group", "ref"])
+        followed = followed.select("group", "at", "held", F.col("next").alias("ref"))
+        held = settle(held.where("held IS NOT NULL").unionByName(followed), "held")
+    last = events.groupBy("group", "cell").agg(F.max_by(F.struct("at", "given"), "nth").alias("e"))
+    last = last.select("group", F.col("cell").alias("src"), "e.at", "e.given")
+    return last.join(held, ["group", "at"]).select("src", F.coalesce("given", "held").alias("dst"))
+
+
 def _unrelated(a: str, a_forms: str, b: str, b_forms: str, thr: float) -> Column:
     overlap = F.coalesce(F.arrays_overlap(a_forms, b_forms), F.lit(False))
     return ~overlap & (norm_lev(a, b) > thr)
