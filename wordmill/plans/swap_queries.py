@@ -82,6 +82,44 @@ def swap_lemma(spark, folder):
     return W.swap_lemma(settle(_stems(I.pieced_vocabulary(spark, folder)), "stems"), "forms", I.SEED)
 
 
+def _lemma_sql(unrelated) -> str:
+    """The half-turn of each bucket of the benchmark's words, then its trades one after the other on the list of its targets."""
+    return "WITH RECURSIVE " + ",\n".join(
+        [
+            TASK,
+            """levels AS (SELECT freq, count(*) AS n, row_number() OVER (ORDER BY freq) AS rn FROM task GROUP BY freq),
+walk AS (
+  SELECT rn, 0 AS id, CASE WHEN n >= 10 THEN 0 ELSE n END AS held, CASE WHEN n >= 10 THEN 1 ELSE 0 END AS closed FROM levels WHERE rn = 1
+  UNION ALL
+  SELECT l.rn, w.closed, CASE WHEN w.held + l.n >= 10 THEN 0 ELSE w.held + l.n END, w.closed + CASE WHEN w.held + l.n >= 10 THEN 1 ELSE 0 END
+  FROM walk w JOIN levels l ON l.rn = w.rn + 1),
+bucketed AS (SELECT token, least(id, (SELECT greatest(max(closed) - 1, 0) FROM walk)) AS bucket FROM task JOIN levels USING (freq) JOIN walk USING (rn))""",
+            f"""placed AS MATERIALIZED (
+  SELECT token, bucket, row_number() OVER (PARTITION BY bucket ORDER BY {S.key(42, "token")}) - 1 AS spot, count(*) OVER (PARTITION BY bucket) AS n FROM bucketed),
+turned AS MATERIALIZED (
+  SELECT a.*, b.token AS dst FROM placed a JOIN placed b ON a.bucket = b.bucket AND b.spot = (a.spot - a.n // 2 + a.n) % a.n),
+trades AS MATERIALIZED (
+  SELECT c.bucket, c.spot, c.dst, min(p.spot) AS partner FROM turned c JOIN placed p ON p.bucket = c.bucket
+  WHERE NOT ({unrelated("c.token", "c.dst")}) AND {unrelated("c.token", "p.token")} GROUP BY c.bucket, c.spot, c.dst),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY spot) AS k FROM trades),
+chain AS (
+  SELECT bucket, 0::BIGINT AS k, list(dst ORDER BY spot) AS cells FROM turned GROUP BY bucket
+  UNION ALL
+  SELECT c.bucket, o.k, list_transform(c.cells, lambda x, i: CASE WHEN i = o.spot + 1 THEN c.cells[o.partner + 1] WHEN i = o.partner + 1 THEN o.dst ELSE x END)
+  FROM chain c JOIN ordered o ON o.bucket = c.bucket AND o.k = c.k + 1),
+settled AS (SELECT bucket, arg_max(cells, k) AS cells FROM chain GROUP BY bucket)
+""",
+        ]
+    ) + "SELECT token AS src, cells[spot + 1] AS dst FROM placed JOIN settled USING (bucket)"
+
+
+@query(_lemma_sql(lambda a, b: f"({S.norm_lev(a, b)} > 0.3 AND substr({a}, 1, 1) <> substr({b}, 1, 1))"))
+def swap_lemma_benchmark(spark, folder):
+    """The lemma map of the benchmark's words; words with the same first letter count as related, so that many trade."""
+    vocab = _benchmark_vocabulary(spark, folder).withColumn("forms", F.array(F.substring("token", 1, 1)))
+    return W.swap_lemma(vocab, "forms", I.SEED)
+
+
 def _permuted(order: str) -> str:
     return (
         f"a AS (SELECT token, row_number() OVER (ORDER BY {order}) AS spot FROM df), "
