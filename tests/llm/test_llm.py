@@ -187,12 +187,28 @@ def test_decontaminate(spark, odd, empty):
 
 
 def test_decontaminate_index_is_complete():
-    """Every fingerprint within the radius has a byte within two bits of its own."""
+    """The index names every fingerprint within the radius, and hardly any other: the bits differ in the most even way and in random ways."""
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        flips = np.zeros(128, np.uint8)
-        flips[rng.choice(128, decontaminate.RADIUS, replace=False)] = 1
-        assert decontaminate.BITS[np.packbits(flips)].min() <= decontaminate.NEAR
+    bits = decontaminate.WIDTH * 8
+    base = rng.integers(0, 256, (1, decontaminate.WIDTH), dtype=np.uint8)
+    flips = np.zeros((301, bits), np.uint8)
+    for row in flips[1:]:
+        row[rng.choice(bits, decontaminate.RADIUS, replace=False)] = 1
+    flips[0, np.r_[np.arange(decontaminate.RADIUS) // 3 * 8 + np.arange(decontaminate.RADIUS) % 3]] = 1
+    items = base ^ np.packbits(flips, axis=1)
+    w, i = decontaminate.named(decontaminate.tables(items), base, len(items))
+    assert not w.any() and i.tolist() == list(range(301))
+
+
+def test_decontaminate_index_selects():
+    """Fewer than one in a hundred of 20,000 unrelated fingerprints of one size go on to the exact distance."""
+    rng = np.random.default_rng(2)
+    items = rng.integers(0, 256, (20_000, decontaminate.WIDTH), dtype=np.uint8)
+    index = decontaminate.tables(items)
+    w, i = decontaminate.named(index, rng.integers(0, 256, (64, decontaminate.WIDTH), dtype=np.uint8), len(items))
+    assert index.nbytes < 32 << 20 and len(w) < 0.01 * 64 * len(items)
+    w, i = decontaminate.named(index, items[:50], len(items))
+    assert {(x, x) for x in range(50)} <= set(zip(w.tolist(), i.tolist(), strict=True))
 
 
 def test_pii(spark, odd, empty):

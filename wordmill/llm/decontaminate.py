@@ -1,9 +1,11 @@
 """Benchmark items in texts: SimHash fingerprints of item-sized windows, a multi-index over them, exact verification.
 
 Words are stretches of letters and digits of the text in small letters (places are bytes of that); a shingle is five of them (the whole item if it is shorter). For
-every item, windows of as many words as the item has are fingerprinted with 128 weighted bits. Sixteen byte tables
-hold the items whose byte is within two bits of each value: two fingerprints without such a byte differ in at least 48
-bits, so the tables name all items within ``RADIUS``; the exact distance is then checked. What remains is verified by weighted Jaccard similarity of the distinct shingles. A shingle of n items weighs
+every item, windows of as many words as the item has are fingerprinted with 256 weighted bits. For each of the 32 bytes a table
+holds, as a row of bits, the items whose byte is within two bits of each value: two fingerprints with fewer than ``LEAST`` such bytes differ in
+three bits at least in each of the others, so in more than ``RADIUS``. The rows of bits of a window's bytes are added up digit by digit, and the items with
+``LEAST`` bytes or more, among which are all within ``RADIUS`` and about one in a thousand of the unrelated ones, go on; the exact distance is then
+checked. What remains is verified by weighted Jaccard similarity of the distinct shingles. A shingle of n items weighs
 1 / n, one of no item weighs 1, but none weighs more than the item's ``cap``: the mean of the item's own weights, rounded down to a
 power of two. So a changed word weighs no more than the item's words do, however many items share these.
 Holders are counted once over all different item texts; texts that are equal in small letters are one item with several ids.
@@ -12,7 +14,7 @@ A row with fewer words than an item is one window for it, and its similarity wit
 comes from the postings of the shingles, without fingerprints.
 
 Windows that hold no shingle of an item of their size have similarity 0 with all of these and are not fingerprinted.
-For two sets of similarity 0.8 a fingerprint bit differs with probability 0.15 at most, 19 of 128 on average; the radius lies four
+For two sets of similarity 0.8 a fingerprint bit differs with probability 0.15 at most, 38 of 256 on average; the radius lies four
 standard deviations above. Votes are square roots of the weights, so this holds for shingles of unequal weights too, as long as
 no few of them outweigh the others.
 
@@ -41,27 +43,60 @@ from wordmill.llm.hashed import PUNCT, buffers, distinct, grams, mix, runs, word
 U = np.uint64
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 36
+#: Bytes of a fingerprint, most bits in which two that belong together differ, bits within which two bytes are near, and how many are then near at least.
+WIDTH = 32
+RADIUS = 61
 NEAR = 2
+LEAST = WIDTH - RADIUS // (NEAR + 1)
+#: Shingles fingerprinted at a time, so that memory does not follow the length of an item.
+STEP = 1 << 16
 ITEMS = 20_000
 BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def prints(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """128-bit fingerprints, as 16 bytes, of rows of shingles with weights; repeats of a shingle weigh 0.
+    """Fingerprints, ``WIDTH`` bytes each, of rows of shingles with weights; repeats of a shingle weigh 0.
 
     A vote is the square root of the weight, so bits agree by the cosine whose squares are the weights. That is
     the overlap that is verified: for a weighted Jaccard similarity of s it is at least 2s / (1 + s).
     """
     force = np.sqrt(weights)
-    out = np.zeros((len(shingles), 16), np.uint8)
-    for half, salt in enumerate((U(0), U(0xA24BAED4963EE407))):
-        bits = np.unpackbits(mix(shingles ^ salt).view(np.uint8).reshape(*shingles.shape, 8), axis=2)
-        votes = np.einsum("nmb,nm->nb", bits.astype(np.float32), force.astype(np.float32)) - force.sum(1, keepdims=True) / 2
-        out[:, half * 8 : half * 8 + 8] = np.packbits(votes > 1e-4, axis=1)
+    out = np.zeros((len(shingles), WIDTH), np.uint8)
+    for part in range(WIDTH // 8):
+        salt = U(part * 0xA24BAED4963EE407 % (1 << 64))
+        votes = -force.sum(1, keepdims=True) / 2
+        for a in range(0, shingles.shape[1], STEP):
+            some = shingles[:, a : a + STEP]
+            bits = np.unpackbits(mix(some ^ salt).view(np.uint8).reshape(*some.shape, 8), axis=2)
+            votes = votes + np.einsum("nmb,nm->nb", bits.astype(np.float32), force[:, a : a + STEP].astype(np.float32))
+        out[:, part * 8 : part * 8 + 8] = np.packbits(votes > 1e-4, axis=1)
     return out
 
 
+def tables(made: np.ndarray) -> np.ndarray:
+    """For every byte of a fingerprint and each of its values, the fingerprints near it in that byte, as a row of bits."""
+    values = np.arange(256, dtype=np.uint8)[:, None]
+    return np.stack([np.packbits(BITS[values ^ made[None, :, block]] <= NEAR, axis=1) for block in range(WIDTH)])
+
+
+def named(index: np.ndarray, made: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``made``, one of the n fingerprints of the index) with ``LEAST`` near bytes or more.
+
+    Near bytes are counted for all fingerprints of the index at once: ``digits`` holds one row of bits for each binary digit of the count.
+    """
+    digits: list[np.ndarray] = []
+    for block in range(WIDTH):
+        carry = index[block][made[:, block]]
+        for d, digit in enumerate(digits):
+            digits[d], carry = digit ^ carry, digit & carry
+        if not block & (block + 1):
+            digits.append(carry)
+    enough = np.full_like(digits[0], 255)
+    for d, digit in enumerate(digits):
+        enough = digit & enough if LEAST >> d & 1 else digit | enough
+    return np.nonzero(np.unpackbits(enough, axis=1, count=n))
+
+
 @dataclass
 class Sized:
     """Items of one number of words and one cap."""
@@ -99,15 +134,15 @@ class Items:
         self.sized = []
         for n, cap in sorted({(int(n), float(cap)) for n, cap in zip(size, caps, strict=True) if n}):
             at = np.flatnonzero((size == n) & (caps == cap))
-            made = self.prints(np.stack([own[i] for i in at]), cap)
-            near = BITS[np.arange(256, dtype=np.uint8)[:, None, None] ^ made[None]] <= NEAR
+            step = max(1, STEP // n)
+            made = np.concatenate([self.prints(np.stack([own[i] for i in at[a : a + step]]), cap) for a in range(0, len(at), step)])
             sets = [every[i] for i in at]
             joined, of = np.concatenate(sets), np.repeat(np.arange(len(at)), [len(x) for x in sets])
             order = np.argsort(joined, kind="stable")
             anchors, counts = np.unique(joined, return_counts=True)
             posted = np.concatenate([[0], np.cumsum(counts)])
             total = np.bincount(of, self.weights(joined, cap), len(at))
-            self.sized.append(Sized(n, cap, [ids[i] for i in at], made, near.transpose(2, 0, 1), sets, anchors, posted, of[order], total))
+            self.sized.append(Sized(n, cap, [ids[i] for i in at], made, tables(made), sets, anchors, posted, of[order], total))
 
     @staticmethod
     def _shingles(hashes: np.ndarray) -> np.ndarray:
@@ -175,14 +210,12 @@ class Items:
             first = np.unique((hits[:, None] + np.arange(k - group.words, 1)).ravel())
             first = first[(first >= 0) & (first + group.words <= len(hashes))]
             first = first[rows[first] == rows[first + group.words - 1]]
-            for a in range(0, len(first), 512):
-                part = first[a : a + 512]
+            step = max(1, min(512, STEP // group.words))
+            for a in range(0, len(first), step):
+                part = first[a : a + step]
                 shingles = whole[part[:, None] + np.arange(group.words - k + 1)]
                 made = self.prints(shingles, group.cap)
-                near = np.zeros((len(part), len(group.ids)), bool)
-                for block in range(16):
-                    near |= group.tables[block][made[:, block]]
-                w, i = np.nonzero(near)
+                w, i = named(group.tables, made, len(group.ids))
                 close = BITS[made[w] ^ group.prints[i]].sum(1) <= RADIUS
                 for x, y in zip(w[close], i[close], strict=True):
                     same = self.similarity(np.unique(shingles[x]), group.shingles[y], group.cap)
