@@ -2,7 +2,10 @@
 
 import random
 
+import duckdb
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from wordmill.operators import metrics as M
@@ -58,11 +61,13 @@ def test_missing_runs_lists_a_record_once(spark):
 
 def separable(spark, size):
     """The label is the feature that is set; every tenth row has none."""
+    return models.feature_vectors(*plain_features(spark), "id", "label", size)
+
+
+def plain_features(spark):
     rows = [(i, i % 2) for i in range(200)]
     features = [(i, label + 2 * (i % 3), 1 + i % 4) for i, label in rows if i % 10 > 1]
-    return models.feature_vectors(
-        spark.createDataFrame(features, "id int, idx int, cnt int"), spark.createDataFrame(rows, "id int, label int"), "id", "label", size
-    )
+    return spark.createDataFrame(features, "id int, idx int, cnt int"), spark.createDataFrame(rows, "id int, label int")
 
 
 def test_feature_vectors(spark):
@@ -73,9 +78,82 @@ def test_feature_vectors(spark):
 
 
 def test_classifiers_separate(spark):
+    features, rows = plain_features(spark)
+    train = models.examples(features, rows.where("id % 10 > 1"), "id", "label")
+    scores = models.bow_classifier(train, {"same": train}, (2, 8)).first()
+    assert scores.best_macro_f1 == 1.0 and abs(scores.best_mcc - 1) < 1e-12
     data = separable(spark, 6)
     seen = data.where(F.col("id") % 10 > 1)
-    scores = models.bow_classifier(seen, {"same": seen}).first()
-    assert scores.best_macro_f1 == 1.0 and abs(scores.best_mcc - 1) < 1e-12
     scores = models.mlp(seen, {"same": seen}, [6, 8, 2], steps=60).first()
     assert scores.macro_f1 == 1.0 and abs(scores.mcc - 1) < 1e-12
+
+
+def plain_loss(x, y, w, l2):
+    """Loss of the linear model with one row of coefficients per feature, and its gradient."""
+    scores = x @ w
+    p = np.exp(scores - scores.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    told = np.eye(w.shape[1])[y]
+    return -np.log((p * told).sum(1)).mean() + l2 / 2 * (w**2).sum(), x.T @ (p - told) / len(x) + l2 * w
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_linear_model_finds_the_least_loss(spark, monkeypatch, broadcast):
+    """Three classes over features of which one is in most rows: the loss falls and the gradient vanishes, with and without a broadcast."""
+    monkeypatch.setattr(scale, "is_small", lambda df, limit=0: broadcast)
+    rng = np.random.default_rng(4)
+    n, size, l2 = 120, 6, 0.05
+    counts = rng.poisson(0.7, (n, size)) * (rng.random((n, size)) < 0.6)
+    counts[5:, 0] += 1
+    y = (counts[:, 1] + 2 * counts[:, 2] + rng.integers(0, 2, n)) % 3
+    cells = [(i, j, int(counts[i, j])) for i in range(n) for j in range(size) if counts[i, j]]
+    features = spark.createDataFrame(cells, "id int, idx int, cnt int")
+    rows = spark.createDataFrame([*enumerate(y.tolist()), (n, None), (None, 1)], "id int, label int")
+    train = models.examples(features, rows, "id", "label")
+    x = np.c_[np.ones(n), counts]
+    losses, slopes = [], []
+    for coefs in models.linear_steps(train, 30 if broadcast else 4, l2):
+        w = np.zeros((size + 1, 3))
+        for r in coefs.collect():
+            w[r["idx"] + 1] = r["w0"], r["w1"], r["w2"]
+        loss, slope = plain_loss(x, y, w, l2)
+        losses.append(loss)
+        slopes.append(np.abs(slope).max())
+    first, _ = plain_loss(x, y, np.zeros((size + 1, 3)), l2)
+    assert losses[0] < first and losses[3] < losses[0]
+    if broadcast:
+        assert slopes[-1] < 0.02 * np.abs(plain_loss(x, y, np.zeros((size + 1, 3)), l2)[1]).max()
+    guesses = {r["row"]: (r["gold"], r["pred"]) for r in models.linear_guesses(train, coefs).collect()}
+    assert guesses == {i: (int(y[i]), int((x[i] @ w).argmax())) for i in range(n)}
+
+
+def test_linear_model_without_rows(spark):
+    features, rows = plain_features(spark)
+    none = models.examples(features, rows.limit(0), "id", "label")
+    [coefs] = models.linear_steps(none, 1)
+    assert coefs.count() == 0
+    every = models.linear_guesses(models.examples(features, rows, "id", "label"), coefs)
+    assert {r["pred"] for r in every.collect()} == {0} and every.count() == 200
+
+
+def test_network_scores_equal_sql(spark):
+    """The forward pass of a fitted network, in SQL over its exported weights, gives the same classes."""
+    data = separable(spark, 6)
+    layers = [6, 5, 2]
+    model = models.network(data, layers, steps=15, seed=1)
+    got = {r["id"]: int(r["prediction"]) for r in model.transform(data).collect()}
+    con = duckdb.connect()
+    x = pd.DataFrame([(r.id, j, v) for r in data.collect() for j, v in enumerate(r.features.toArray().tolist())], columns=["id", "j", "v"])  # noqa: F841
+    at, weights = 0, []
+    for layer, (a, b) in enumerate(zip(layers, layers[1:])):
+        flat = model.weights.toArray()[at : at + (a + 1) * b]
+        weights += [(layer, j, k, flat[j * b + k]) for j in range(a + 1) for k in range(b)]
+        at += (a + 1) * b
+    w = pd.DataFrame(weights, columns=["layer", "j", "k", "w"])  # noqa: F841
+    sql = """
+        WITH inputs AS (SELECT id, j, v FROM x UNION ALL SELECT DISTINCT id, 6, 1.0 FROM x),
+        hidden AS (SELECT id, k AS j, 1 / (1 + exp(-sum(v * w))) AS v FROM inputs JOIN w USING (j) WHERE layer = 0 GROUP BY ALL),
+        second AS (SELECT * FROM hidden UNION ALL SELECT DISTINCT id, 5, 1.0 FROM hidden),
+        scores AS (SELECT id, k, sum(v * w) AS score FROM second JOIN w USING (j) WHERE layer = 1 GROUP BY ALL)
+        SELECT id, arg_max(k, score) FROM scores GROUP BY id"""
+    assert dict(con.execute(sql).fetchall()) == got and set(got.values()) == {0, 1}

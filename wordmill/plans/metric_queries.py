@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -253,7 +255,61 @@ def exact_match(spark, folder):
     return rounded(M.exact_match(_scored(spark, folder)), "exact_match")
 
 
-@query()
+def _linear_sql(lengths: tuple[int, ...], l2: float) -> list[str]:
+    """The linear model in plain steps: coefficients c<i> after i passes over ``train_cells``, then guesses for ``eval_cells``."""
+    parts = [
+        "sizes AS (SELECT doc_id, sum(x) AS size FROM train_cells GROUP BY doc_id)",
+        "n AS (SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM train_cells)",
+        f"c0 AS MATERIALIZED (SELECT token, sum(x * size) / (2 * (SELECT n FROM n)) + {l2}::DOUBLE AS rate, "
+        "0::DOUBLE AS w0, 0::DOUBLE AS w1, 0::DOUBLE AS v0, 0::DOUBLE AS v1 FROM train_cells JOIN sizes USING (doc_id) GROUP BY token)",
+    ]
+    pace = 1.0
+    for i in range(1, max(lengths) + 1):
+        following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        momentum, pace = (pace - 1) / following, following
+        step = "c.v{k} - (g{k} / (SELECT n FROM n) + " + f"{l2}::DOUBLE * c.v{{k}}) / c.rate AS n{{k}}"
+        parts += [
+            f"m{i} AS MATERIALIZED (SELECT doc_id, label, 1 / (1 + exp(sum(x * v1) - sum(x * v0))) AS p0 FROM train_cells JOIN c{i - 1} USING (token) GROUP BY ALL)",
+            f"g{i} AS (SELECT token, sum(x * (p0 - (label = 0)::INT)) AS g0, sum(x * (1 - p0 - (label = 1)::INT)) AS g1 "
+            f"FROM train_cells JOIN m{i} USING (doc_id, label) GROUP BY token)",
+            f"c{i} AS MATERIALIZED (SELECT token, rate, n0 AS w0, n1 AS w1, n0 + {momentum!r}::DOUBLE * (n0 - w0) AS v0, n1 + {momentum!r}::DOUBLE * (n1 - w1) AS v1 "
+            f"FROM (SELECT c.token, c.rate, c.w0, c.w1, {step.format(k=0)}, {step.format(k=1)} FROM c{i - 1} c JOIN g{i} USING (token)))",
+        ]
+    guesses = " UNION ALL ".join(
+        f"SELECT {i} AS steps, kind, doc_id, label AS gold, (coalesce(sum(x * w1), 0) > coalesce(sum(x * w0), 0))::INT AS pred "
+        f"FROM eval_cells LEFT JOIN c{i} USING (token) GROUP BY kind, doc_id, label"
+        for i in lengths
+    )
+    return [*parts, f"guesses AS MATERIALIZED ({guesses})"]
+
+
+def _cells_sql(source: str, keys: str) -> str:
+    """Counted words of every row, and the intercept as the empty word."""
+    return f"SELECT {keys}, token, count(*)::DOUBLE AS x FROM {source} WHERE token IS NOT NULL GROUP BY {keys}, token UNION ALL SELECT DISTINCT {keys}, '', 1::DOUBLE FROM {source}"
+
+
+@query(
+    S.with_(
+        S.LABELLED,
+        f"told AS MATERIALIZED (SELECT doc_id, quality AS label, doc_id % 10 > 1 AS train, {S.tok('text')} AS toks FROM labelled WHERE quality IS NOT NULL)",
+        "tf AS MATERIALIZED (SELECT token, count(*) AS freq FROM (SELECT unnest(toks) AS token FROM told) GROUP BY token)",
+        "vocab AS (SELECT token, freq, 1 AS n_pieces FROM tf)",
+        S.swap_rank("vocab"),
+        S.permuted("tf", "freq DESC, md5(token)"),
+        "words AS MATERIALIZED (SELECT doc_id, label, train, unnest(CASE WHEN coalesce(len(toks), 0) = 0 THEN [NULL] ELSE toks END) AS token FROM told)",
+        "held AS MATERIALIZED (SELECT * FROM words WHERE NOT train)",
+        "evals AS (SELECT 'original' AS kind, doc_id, label, token FROM held "
+        "UNION ALL SELECT 'matched', doc_id, label, coalesce(dst, token) FROM held LEFT JOIN swaps ON src = token "
+        "UNION ALL SELECT 'blind', doc_id, label, b.token FROM held h LEFT JOIN a ON a.token = h.token LEFT JOIN b USING (spot))",
+        f"train_cells AS MATERIALIZED ({_cells_sql('(SELECT * FROM words WHERE train)', 'doc_id, label')})",
+        f"eval_cells AS MATERIALIZED ({_cells_sql('evals', 'kind, doc_id, label')})",
+        *_linear_sql((5, 20), models.L2),
+        report("guesses", "steps, kind"),
+        mcc_sql("steps, kind"),
+        "f AS (SELECT steps, kind, avg(f1) AS f1 FROM scores GROUP BY ALL)",
+    )
+    + 'SELECT kind AS "set", round(max(f1), 6) AS best_macro_f1, round(max(mcc), 6) AS best_mcc FROM f JOIN mccs USING (steps, kind) GROUP BY kind'
+)
 def bow_classifier(spark, folder):
     """Trained on the labelled documents, scored on the originals and on two rewrites."""
     docs = settle(I.labelled(spark, folder).select("doc_id", "text", "quality", I.split_column().alias("split")), "labelled")
@@ -261,17 +317,15 @@ def bow_classifier(spark, folder):
     index = settle(
         V.vocab_index(docs.withColumn("o", F.when(F.col("split") == "train", 0).otherwise(1)), "o", "doc_id", ["text"]), "index"
     )
-    size = index.count()
 
-    def vectors(rows):
-        return models.feature_vectors(X.bow(rows, "doc_id", ["text"], index), rows, "doc_id", "quality", size)
+    def examples(rows):
+        return models.examples(X.bow(rows, "doc_id", ["text"], index), rows, "doc_id", "quality")
 
     held_out = docs.where("split <> 'train'")
     matched = R.apply_swap(held_out, "doc_id", ["text"], settle(W.weighed(W.swap_rank(vocab), vocab), "map"))
     blind = R.apply_swap(held_out, "doc_id", ["text"], settle(W.weighed(W.swap_random(vocab, I.SEED), vocab), "map"))
-    sets = {"original": held_out, "matched": matched, "blind": blind}
-    evals = {name: vectors(rows) for name, rows in sets.items()}
-    return models.bow_classifier(vectors(docs.where("split = 'train'")), evals)
+    evals = {name: examples(rows) for name, rows in {"original": held_out, "matched": matched, "blind": blind}.items()}
+    return rounded(models.bow_classifier(examples(docs.where("split = 'train'")), evals), "best_macro_f1", "best_mcc")
 
 
 @query()

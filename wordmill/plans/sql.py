@@ -133,6 +133,14 @@ sr_both AS MATERIALIZED (SELECT a AS src, b AS dst FROM sr_good UNION ALL SELECT
 {out} AS (SELECT v.token AS src, coalesce(m.dst, v.token) AS dst FROM {vocab} v LEFT JOIN sr_both m ON m.src = v.token)"""
 
 
+def permuted(table: str, order: str) -> str:
+    """Places of the words of ``table(token)`` in an order (a) and in seeded hash order (b): a is swapped for b of the same place."""
+    return (
+        f"a AS (SELECT token, row_number() OVER (ORDER BY {order}) AS spot FROM {table}), "
+        f"b AS (SELECT token, row_number() OVER (ORDER BY {key(42, 'token')}) AS spot FROM {table})"
+    )
+
+
 VOCAB = "vocab AS (SELECT token, freq, 1 AS n_pieces FROM df)"
 PIECED_VOCAB = "pvocab AS MATERIALIZED (SELECT df.token, df.freq, len(pieces)::INT AS n_pieces FROM df JOIN pieced USING (token))"
 

@@ -120,19 +120,12 @@ def swap_lemma_benchmark(spark, folder):
     return W.swap_lemma(vocab, "forms", I.SEED)
 
 
-def _permuted(order: str) -> str:
-    return (
-        f"a AS (SELECT token, row_number() OVER (ORDER BY {order}) AS spot FROM df), "
-        f"b AS (SELECT token, row_number() OVER (ORDER BY {S.key(42, 'token')}) AS spot FROM df)"
-    )
-
-
-@query(S.with_(*BASE, _permuted("freq DESC, md5(token)")) + "SELECT a.token AS src, b.token AS dst FROM a JOIN b USING (spot)")
+@query(S.with_(*BASE, S.permuted("df", "freq DESC, md5(token)")) + "SELECT a.token AS src, b.token AS dst FROM a JOIN b USING (spot)")
 def swap_random(spark, folder):
     return W.swap_random(I.vocabulary(spark, folder), I.SEED)
 
 
-@query(S.with_(*BASE, _permuted("token")) + "SELECT a.token AS src, b.token AS dst FROM a JOIN b USING (spot)")
+@query(S.with_(*BASE, S.permuted("df", "token")) + "SELECT a.token AS src, b.token AS dst FROM a JOIN b USING (spot)")
 def swap_random_alphabetical(spark, folder):
     return W.swap_random(I.vocabulary(spark, folder), I.SEED, order=[F.col("token")])
 
@@ -281,7 +274,7 @@ def control_map(spark, folder):
     return W.control_map(settle(W.swap_rank(I.vocabulary(spark, folder)), "map"), I.SEED)
 
 
-@query(S.with_(*BASE, _permuted("freq DESC, md5(token)")) + "SELECT b.token AS src, a.token AS dst FROM a JOIN b USING (spot)")
+@query(S.with_(*BASE, S.permuted("df", "freq DESC, md5(token)")) + "SELECT b.token AS src, a.token AS dst FROM a JOIN b USING (spot)")
 def invert_map(spark, folder):
     return W.invert_map(W.swap_random(I.vocabulary(spark, folder), I.SEED))
 
