@@ -9,7 +9,7 @@ from wordmill.plans import catalog
 FOLDER = "/root/testdata/sf0.001"
 NAMES = [
     "apply_swap", "apply_swap_pairs", "save_map", "swap_freq_diff", "swap_rank", "swap_rotate", "swap_mutual", "swap_greedy_benchmark", "swap_lemma_benchmark",
-    "swap_greedy_lemma_benchmark", "permute_rows", "basic_tokens", "bow_pairs", "bucket_coverage", "bucket_lift", "build_pair_inputs",
+    "swap_greedy_lemma_benchmark", "permute_rows", "basic_tokens", "bow_classifier", "bow_pairs", "bucket_coverage", "bucket_lift", "build_pair_inputs",
     "classification_report", "coarse_buckets", "cosine_pairs", "doc_freq", "downsample_min", "mask_tokens", "pair_bow",
     "parse_run_names", "probe_rows", "random_baseline", "read_splits", "scramble_window_pairs", "span_report",
     "swap_nonsense", "swap_oov_similar", "swap_rank_by_pieces", "task_metrics_correlation", "tree_spans", "vocab_index",
