@@ -1,5 +1,6 @@
 """Rank correlation, run names and classifiers."""
 
+import hashlib
 import random
 
 import duckdb
@@ -157,3 +158,16 @@ def test_network_scores_equal_sql(spark):
         scores AS (SELECT id, k, sum(v * w) AS score FROM second JOIN w USING (j) WHERE layer = 1 GROUP BY ALL)
         SELECT id, arg_max(k, score) FROM scores GROUP BY id"""
     assert dict(con.execute(sql).fetchall()) == got and set(got.values()) == {0, 1}
+
+
+def test_random_guesses_have_a_digest_each(spark):
+    """Every row and run draws by a digest of its own, whose first 32 bits are the uniform number."""
+    rows = [(i, "aab"[i % 3]) for i in range(30)]
+    got = {(r.run, r.gold, r.pred): r.n for r in M.random_confusion(spark.createDataFrame(rows, "id int, label string"), "id", "label", 9, 5).collect()}
+    want = {}
+    for run in range(1, 10):
+        for i, gold in rows:
+            u = int(hashlib.md5(f"5|{run}|{i}".encode()).hexdigest()[:8], 16) / 2**32
+            at = (run, gold, "a" if u < 2 / 3 else "b")
+            want[at] = want.get(at, 0) + 1
+    assert got == want
