@@ -1,3 +1,5 @@
+import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -211,3 +213,20 @@ def test_wordpieces_equal_greedy_matching(spark):
         settle(spark.createDataFrame([(v,) for v in vocab], "token string")),
     ).collect()
     assert {r.token: r.pieces for r in found} == {n: greedy_pieces(n, vocab) for n in names}
+
+
+def test_nonsense_words_grow_longer_when_they_are_too_few(spark):
+    """More words than strings of two letters: strings of three and four follow, by length and alphabet."""
+    pieces = ["a", "b", "c", "##a", "##b", "##c", "ab", "##ca"]
+    vocab = settle(spark.createDataFrame([(f"w{i}",) for i in range(60)], "token string"))
+    got = W.swap_nonsense(vocab, settle(spark.createDataFrame([(p,) for p in pieces], "token string")), 4, letters=2).collect()
+    fit = ["".join(s) for n in (2, 3, 4) for s in itertools.product("abc", repeat=n)]
+    fit = [s for s in fit if greedy_pieces(s, set(pieces)) == [s[0], *["##" + x for x in s[1:]]]]
+    order = sorted((f"w{i}" for i in range(60)), key=lambda w: hashlib.md5(f"4|{w}".encode()).hexdigest())
+    assert len(fit) > 60 > sum(len(s) < 4 for s in fit) and {r.src: r.dst for r in got} == dict(zip(order, fit)) and len(got) == 60
+
+
+def test_nonsense_words_run_out(spark):
+    vocab = settle(spark.createDataFrame([("x",), ("y",), ("z",)], "token string"))
+    with pytest.raises(ValueError):
+        W.swap_nonsense(vocab, settle(spark.createDataFrame([("a",), ("b",)], "token string")), 4, letters=1)

@@ -574,18 +574,31 @@ def _first_unrelated(clash: DataFrame, placed: DataFrame, sizes: DataFrame, thr:
 
 
 def swap_nonsense(vocab: DataFrame, pieces_vocab: DataFrame, seed: int, letters: int = 4) -> DataFrame:
-    """Letter strings that break into one piece per letter, in alphabetical order, for shuffled words."""
+    """Letter strings that break into one piece per letter, in alphabetical order, for shuffled words.
+
+    If the strings of ``letters`` letters are too few, longer ones follow, by length. All but the last letter of a string that
+    breaks into letters break into letters too, so longer strings are made of the ones at hand, in their order, as far as they are needed.
+    """
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
     spark = vocab.sparkSession
     digit = lambda place: F.floor(F.col("id") / 26 ** (letters - 1 - place)) % 26
-    letter = lambda place: F.substring(
-        F.lit("abcdefghijklmnopqrstuvwxyz"), digit(place).cast("int") + 1, F.lit(1)
-    )
-    strings = spark.range(26**letters).select(F.concat(*[letter(i) for i in range(letters)]).alias("token"))
-    fit = wordpieces(strings, pieces_vocab).where(F.col("n_pieces") == letters)
-    there = settle(numbered(fit.select("token"), [F.col("token")], name="at"), "nonsense")
+    letter = lambda place: F.substring(F.lit(alphabet), digit(place).cast("int") + 1, F.lit(1))
+
+    def placed(strings: DataFrame, start: int) -> DataFrame:
+        fit = wordpieces(strings, pieces_vocab).where(F.col("n_pieces") == F.length("token"))
+        order = [F.length("token"), F.col("token")]
+        return settle(numbered(fit.select("token"), order, name="at", start=start), "nonsense")
+
     here = settle(numbered(vocab.select("token"), [hash_key(seed, "token")], name="at"), "words")
-    if there.count() < here.count():
-        raise ValueError("fewer nonsense words than vocabulary words")
+    there = placed(spark.range(26**letters).select(F.concat(*[letter(i) for i in range(letters)]).alias("token")), 1)
+    wanted, found, used = here.count(), there.count(), 0
+    while found < wanted:
+        if used == found:
+            raise ValueError("fewer nonsense words than vocabulary words")
+        upto = min(found, used + (wanted - found) // len(alphabet) + 1)
+        longer = F.explode(F.array(*[F.concat("token", F.lit(x)) for x in alphabet])).alias("token")
+        more = placed(there.where(F.col("at").between(used + 1, upto)).select(longer), found + 1)
+        there, found, used = there.unionByName(more), found + more.count(), upto
     return _meet(here, there)
 
 
