@@ -113,6 +113,15 @@ def test_jaccard_large_group(spark):
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("frequent", [32, 0])
+def test_jaccard_links_a_set_without_slack_to_a_larger_one(spark, frequent):
+    """Six of seven shingles are 85.7 percent; five of six are not enough."""
+    texts = [" ".join(f"{g}{i}" for i in range(n)) for g in "abc" for n in (8, 9, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(docs, settings=jaccard.Settings(frequent=frequent)).collect()}
+    assert got == {3 * g + i: (5 + i, 3 * g + min(i, 1)) for g in range(3) for i in range(3)}
+
+
 def test_jaccard_odd(odd, empty):
     rows = jaccard.classes(odd).collect()
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in rows) == [(0, 5, None), (1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (4, 0, 4), (5, 2, 5)]  # five words, so two shingles

@@ -102,9 +102,10 @@ def level_of(size: np.ndarray) -> np.ndarray:
 def dealt(tokens: np.ndarray, rows: np.ndarray, size: np.ndarray, s: Settings) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Level, places of tokens in it, and tokens under the level's own hash, for each level that rows belong to.
 
-    Sets that cannot be similar to another one than their equals (no slack) are left out.
+    Sets that cannot be similar to another one than their equals are left out: those for which even the largest set that can be
+    similar to them has no slack. A set without slack of its own may be part of a larger one that has some.
     """
-    slack = s.slack(size)
+    slack, most = s.slack(size), s.slack(size * 100 // s.percent)
     level = level_of(size)
     half = (tokens & U(1)) == 0
     kept = np.bincount(rows[half], minlength=len(size))
@@ -113,7 +114,7 @@ def dealt(tokens: np.ndarray, rows: np.ndarray, size: np.ndarray, s: Settings) -
     # a set with so few kept tokens, or one that can be similar to such a set, also goes to the level of all tokens
     thin = (level > 0) & ((kept <= slack + classes) | (kept - slack <= s.slack(size * 100 // s.percent + 1) + classes))
     for k in range(len(LEVELS)):
-        member = (slack > 0) & ((level == k) | (below & (level == k + 1)) | ((k == 0) & thin))
+        member = (most > 0) & ((level == k) | (below & (level == k + 1)) | ((k == 0) & thin))
         if member.any():
             at = np.flatnonzero(member[rows] & (half | (k == 0)))
             yield k, at, mix(tokens[at] + U(k + 1))
