@@ -166,3 +166,41 @@ def test_labelled_documents_start_no_join(spark):
     jobs = context.statusTracker().getJobIdsForGroup("labelled")
     context.setJobGroup("tests", "")
     assert len(jobs) <= 2
+
+
+def _part_of_the_words_is_common(spark, monkeypatch):
+    """A table of 300 words, of which the common ones are broadcast, and the limit that does so."""
+    rows = [(i, "the the cat " + ("mat " * (i % 5)) + f"w{i} unseen") for i in range(300)] + [(900, ""), (901, None)]
+    counts = {"the": 600, "cat": 300, "mat": 600} | {f"w{i}": 1 for i in range(300)}
+    monkeypatch.setattr(scale, "is_small", lambda *_: False)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 1000)
+    return spark.createDataFrame(rows, "id int, text string"), counts
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("weighed", [True, False])
+def test_only_rare_tokens_are_shuffled(spark, monkeypatch, how, weighed):
+    docs, counts = _part_of_the_words_is_common(spark, monkeypatch)
+    table = scale.settle(spark.createDataFrame([(w, w.upper(), n) for w, n in counts.items()], "token string, dst string, freq int"))
+    table = table if weighed else table.drop("freq")
+    tokens = docs.select("id", F.explode_outer(F.split("text", " ")).alias("token"))
+    met = []
+    real = scale._join_shuffled
+    monkeypatch.setattr(scale, "_join_shuffled", lambda rows, *a: met.append(rows) or real(rows, *a))
+    got = scale.join_by_token(tokens, table, how)
+    want = tokens.join(table, "token", how).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    far = {r.token for r in met[0].collect()}
+    assert far == {f"w{i}" for i in range(300)} | {"unseen", ""}
+
+
+def test_rewriting_and_ids_with_common_and_rare_words(spark, monkeypatch):
+    docs, counts = _part_of_the_words_is_common(spark, monkeypatch)
+    mapping = scale.settle(spark.createDataFrame([(w, w.upper(), n) for w, n in counts.items()], "src string, dst string, freq int"))
+    got = {r.id: r.text for r in rewrite.apply_swap(docs, "id", ["text"], mapping).collect()}
+    assert got == {i: " ".join(["THE THE CAT", *["MAT"] * (i % 5), f"W{i} unseen"]) for i in range(300)} | {900: "", 901: None}
+    vocab = scale.settle(spark.createDataFrame([(w, i, n) for i, (w, n) in enumerate(counts.items())], "token string, id int, freq int"))
+    arrays = docs.select(F.col("id").alias("key"), F.split("text", " ").alias("words"))
+    ids = scale.settle(wordpiece.encode_ids(arrays, "key", "words", vocab, -1))
+    back = {r.key: r.tokens for r in wordpiece.decode_ids(ids, "key", "ids", vocab).collect()}
+    assert back[7] == ["the", "the", "cat", "mat", "mat", "w7", "[UNK]"] and back[900] == ["[UNK]"] and back[901] == [] and len(back) == 302

@@ -211,7 +211,7 @@ def mlm_rows(spark, folder):
 
 def _mlm(spark, folder):
     freq = I.frequencies(spark, folder)
-    found = settle(P.wordpieces(freq, I.piece_table(spark, folder)), "pieced")
+    found = settle(P.wordpieces(freq, I.piece_table(spark, folder)).join(freq, "token"), "pieced")
     return P.mlm_rows(I.documents(spark, folder), "doc_id", "text", found)
 
 
