@@ -229,4 +229,4 @@ def test_nonsense_words_grow_longer_when_they_are_too_few(spark):
 def test_nonsense_words_run_out(spark):
     vocab = settle(spark.createDataFrame([("x",), ("y",), ("z",)], "token string"))
     with pytest.raises(ValueError):
-        W.swap_nonsense(vocab, settle(spark.createDataFrame([("a",), ("b",)], "token string")), 4, letters=1)
+        W.swap_nonsense(vocab, settle(spark.createDataFrame([("a",), ("b",)], "token string")), 4, letters=2)
