@@ -134,6 +134,25 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7}
 
 
+@pytest.mark.parametrize("few", [0, 40, 1 << 16])
+def test_few_links_take_no_rounds(spark, monkeypatch, few):
+    """Whether links are followed by rounds, by rounds until few are left, or at once, the components are the same."""
+    rng = random.Random(5)
+    links = [(x, x + 1) for x in range(0, 60) if x % 20 != 19] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(70, 70)]
+    want = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in want:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    rounds = []
+    real = components.settle
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(components, "settle", lambda df, name: rounds.append(name) or real(df, name))
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(want) and {r["node"]: r["root"] for r in got} == want
+    assert ("small" in rounds) == (few < len(links))
+
+
 def test_pieces_equal_library():
     codec = pieces.Codec(open(public_tokenizers.path(MODEL), "rb").read())
     texts = ["", " ", "  a", "a  ", "\n\n a\n", "▁x ▁ y", "日本語 \u0000 ok", "😀é́", "c\t\td\r\n", " " * 50 + "x", "the the\nthe"]
