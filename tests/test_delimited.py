@@ -83,3 +83,18 @@ def test_round_trip_of_splits(spark, tmp_path):
 def test_inside_after():
     for line, outside, inside in [("a,b", False, True), ('"a', True, False), ('a"b', False, False), ('x","y', True, True), ('""', False, True), ('a,"b""', True, False), ('""",c', True, False)]:
         assert (delimited.inside_after(line, False, ","), delimited.inside_after(line, True, ",")) == (outside, inside), line
+
+
+def test_only_records_cut_in_two_are_written(spark, tmp_path, monkeypatch):
+    rows = [f'"x{i} ""y""","b{i}",{i}' for i in range(400)]
+    (tmp_path / "t.csv").write_text("\n".join(rows) + "\n")
+    written = []
+    real = delimited.settle
+    monkeypatch.setattr(delimited, "settle", lambda df, name: written.append((name, made := real(df, name))) or made)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = readers.read_delimited(spark, str(tmp_path / "t.csv"), SCHEMA, ",", False).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, got)) == sorted((f'x{i} "y"', f"b{i}", i) for i in range(400))
+    assert all(df.count() < 100 for _, df in written)

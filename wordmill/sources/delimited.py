@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import csv
 import functools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from wordmill.operators.scale import cumulated, is_small, settle
 
 QUOTE = '"'
+#: The rest of a quoted field, up to its closing quote.
+QUOTED = re.compile(r'[^"]*+(?:""[^"]*+)*+')
 #: Options of the parser that gets one record at a time.
 PARSER = {"quote": QUOTE, "escape": QUOTE, "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -36,16 +39,11 @@ def inside_after(line: str, inside: bool, sep: str) -> bool:
         return inside
     at = 0
     while True:
-        if inside:
-            at = line.find(QUOTE, at)
-            if at < 0:
+        if inside or line.startswith(QUOTE, at):
+            at = QUOTED.match(line, at if inside else at + 1).end()
+            if at == len(line):
                 return True
-            if line.startswith(QUOTE, at + 1):
-                at += 2
-                continue
-        elif line.startswith(QUOTE, at):
-            inside, at = True, at + 1
-            continue
+            at += 1
         # past a quoted field, or in a plain one
         inside, at = False, line.find(sep, at) + 1
         if not at:
@@ -129,9 +127,9 @@ def records(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
             yield pa.record_batch([pa.array([x]) for x in piece(False)], ["path", "block", "n", "text", "begins", "ends"])
 
     pieces = placed.select("value", "inside", "path", "block").mapInArrow(cut, schema)
-    pieces = settle(pieces, "records")
+    # whole records go on from here; of the text only what stretches cut in two is written
     whole = pieces.where("begins AND ends")
-    parts = pieces.where("NOT begins OR NOT ends")
+    parts = settle(pieces.where("NOT begins OR NOT ends"), "parts")
     # a record in pieces: its beginning and all pieces up to the next beginning, in file order
     order = W.partitionBy("path").orderBy("block", "begins", "n")
     group = F.sum(F.col("begins").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
