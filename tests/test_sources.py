@@ -72,6 +72,20 @@ def test_polarity_files(spark, tmp_path):
     assert got == {("pos line 1\nline 2", 1), ("neg line 1\nline 2", 0)}
 
 
+def test_polarity_folders_are_listed_as_such(spark, tmp_path, monkeypatch):
+    """Two folders are looked up, whatever their files; one of them may have none, and tasks stay few."""
+    for name in ("pos", "neg"):
+        (tmp_path / name).mkdir()
+    for i in range(200):
+        (tmp_path / "pos" / f"{i}.txt").write_text(f"text {i}\n")
+    (tmp_path / "pos" / "note.md").write_text("no example")
+    monkeypatch.setattr(readers, "SMALL_FILE_TASKS", 0.5, raising=False)
+    monkeypatch.setattr(readers, "task_count", lambda _: 4, raising=False)
+    df = readers.read_polarity_dirs(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() <= 2
+    assert sorted((r.text, r.label) for r in df.collect()) == sorted((f"text {i}\n", 1) for i in range(200))
+
+
 def test_results_need_the_agreed_columns(spark, tmp_path):
     with pytest.raises(ValueError):
         writers.append_results(spark.range(1), str(tmp_path / "r"))

@@ -94,7 +94,8 @@ def read_polarity_dirs(spark, folder):
     docs = I.labelled(spark, folder)
     for name, label in (("pos", 1), ("neg", 0)):
         part = docs.where(F.col("quality") == label).select("text")
-        part.write.option("maxRecordsPerFile", 1).text(f"{path}/{name}")
+        # one file for each text; tasks move their own, so the driver does not move all of them one by one
+        part.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(f"{path}/{name}")
     return readers.read_polarity_dirs(spark, path).select("text", "label")
 
 

@@ -11,11 +11,13 @@ from pyspark.sql import types as T
 
 from wordmill.functions import fixed
 from wordmill.functions.hashing import hash_key
-from wordmill.operators.scale import cumulated, settle, take_first
+from wordmill.operators.scale import cumulated, settle, take_first, task_count
 from wordmill.sources import delimited
 from wordmill.sources.delimited import read_delimited
 
 SPLIT_FILES = {"train": "train.tsv", "validation": "dev.tsv", "test": "test.tsv"}
+#: Tasks that read very many small files, for each that a shuffle has.
+SMALL_FILE_TASKS = 4
 GOLD_SCHEMA = T.StructType(
     [
         T.StructField("sentence", T.StringType()),
@@ -105,8 +107,14 @@ def read_polarity_lines(spark: SparkSession, folder: str, source: str = "custrev
 
 
 def read_polarity_dirs(spark: SparkSession, folder: str, source: str = "imdb") -> DataFrame:
-    """Every non-blank file below ``pos/`` and ``neg/`` is an example."""
-    files = spark.read.text([f"{folder}/pos/*.txt", f"{folder}/neg/*.txt"], wholetext=True)
+    """Every non-blank file below ``pos/`` and ``neg/`` is an example.
+
+    The two folders are listed as such: a pattern in the path would make each file a path of its own, looked up one by one. Spark's
+    scan puts a few dozen small files into a task, so the tasks of very many files are put together.
+    """
+    files = spark.read.text([f"{folder}/pos", f"{folder}/neg"], wholetext=True, pathGlobFilter="*.txt")
+    most = int(SMALL_FILE_TASKS * task_count(spark))
+    files = files.coalesce(most) if files.rdd.getNumPartitions() > most else files
     label = _polarity(F.col("_metadata.file_path"), r"/(pos|neg)/[^/]*$")
     return files.select(
         F.col("value").alias("text"), label.alias("label"), F.lit(source).alias("source")
