@@ -160,3 +160,21 @@ def test_scores_of_a_class_never_predicted(spark):
     rows = M.classification_report(spark.createDataFrame([(0, 0), (1, 0)], "gold int, pred int")).collect()
     by = {r.label: r for r in rows}
     assert (by["1"].precision, by["1"].recall, by["1"].f1, by["accuracy"].f1) == (0.0, 0.0, 0.0, 0.5)
+
+
+def test_texts_of_bucket_histograms_are_not_shuffled(spark):
+    """Counts leave a row by bucket, not by token, and pairs are not gathered in an array."""
+    docs = spark.createDataFrame([(i, i % 2, "a a b c" + " d" * (i % 5)) for i in range(60)], "id int, label int, text string")
+    buckets = settle(spark.createDataFrame([("a", 1, 120), ("b", 2, 60), ("c", 2, 60), ("d", 3, 120)], "token string, bucket int, freq int"))
+    hist = X.bucket_histogram(docs, "id", ["label"], V.field_tokens("text"), buckets)
+    plan = hist._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and plan.count("Aggregate") == 2
+    got = {(r.id, r.label): [tuple(x) for x in r.hist] for r in hist.collect()}
+    assert got == {(i, i % 2): [(1, 2), (2, 2)] + [(3, i % 5)] * (i % 5 > 0) for i in range(60)}
+    pairs = X.ordered_pairs(hist, ["label"]).groupBy("label", "b1", "b2").agg(F.sum("n").alias("n")).collect()
+    want = {}
+    for (_, label), row in got.items():
+        for b1, x in row:
+            for b2, y in row:
+                want[label, b1, b2] = want.get((label, b1, b2), 0) + x * y
+    assert {(r.label, r.b1, r.b2): r.n for r in pairs} == want

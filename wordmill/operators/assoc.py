@@ -85,11 +85,7 @@ def pair_cells(df: DataFrame, key: str, label: str, text: str, points: int = 25)
     tokens squared.
     """
     hist = _pair_histograms(df, key, label, text, points)
-    return (
-        hist.select("label", F.explode(ordered_pairs(F.col("hist"))).alias("p"))
-        .groupBy("label", "p.b1", "p.b2")
-        .agg(F.sum("p.n").alias("n"))
-    )
+    return ordered_pairs(hist, ["label"]).groupBy("label", "b1", "b2").agg(F.sum("n").alias("n"))
 
 
 def pair_lift(df: DataFrame, key: str, label: str, text: str, points: int = 25) -> DataFrame:
@@ -101,10 +97,7 @@ def pair_lift(df: DataFrame, key: str, label: str, text: str, points: int = 25)
 def pair_coverage(df: DataFrame, key: str, label: str, text: str, points: int = 25) -> DataFrame:
     """Share of each label's rows that contain the ordered bucket pair."""
     hist = _pair_histograms(df, key, label, text, points)
-    hits = hist.select("label", F.explode(ordered_pairs(F.col("hist"))).alias("p")).select(
-        "label", "p.b1", "p.b2"
-    )
-    return _coverage(hits, ["b1", "b2"], df, label)
+    return _coverage(ordered_pairs(hist, ["label"]), ["b1", "b2"], df, label)
 
 
 def lift_and_coverage(
@@ -115,9 +108,9 @@ def lift_and_coverage(
     The corpus is tokenised once for the buckets and once for the histograms, whatever is reported.
     """
     hist = _pair_histograms(df, key, label, text, points)
-    items, keys = (ordered_pairs(F.col("hist")), ["b1", "b2"]) if pairs else (F.col("hist"), ["bucket"])
-    counts = hist.select("label", F.explode(items).alias("p")).groupBy("label", *[f"p.{k}" for k in keys])
-    cells = settle(counts.agg(F.sum("p.n").alias("n"), F.count("*").alias("rows")), "cells")
+    keys = ["b1", "b2"] if pairs else ["bucket"]
+    items = ordered_pairs(hist, ["label"]) if pairs else hist.select("label", F.explode("hist").alias("x")).select("label", "x.*")
+    cells = settle(items.groupBy("label", *keys).agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "cells")
     priors = settle(label_prior(df.select(F.col(label).alias("label")), "label"), "priors")
     sizes = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("size"))
     coverage = cells.join(sizes, "label").select("label", *keys, (F.col("rows") / F.col("size")).alias("coverage"))

@@ -52,11 +52,11 @@ def bucket_bow(
 def bucket_histogram(df: DataFrame, key: str, keep: list[str], tokens: Column, buckets: DataFrame) -> DataFrame:
     """Per row one array of (bucket, count), at most as long as there are buckets.
 
-    One shuffle of the compact rows serves all three groupings when the bucket table is broadcast.
+    Tokens are counted by bucket where they meet it, so neither the texts are shuffled nor the distinct tokens of
+    rows held; at most as many counts leave a row as there are buckets.
     """
-    rows = unnest(df.repartition(key), [key, *keep], tokens)
-    counts = rows.groupBy(key, *keep, "token").agg(F.count("*").alias("n"))
-    sums = token_buckets(counts, buckets).groupBy(key, *keep, "bucket").agg(F.sum("n").alias("n"))
+    rows = unnest(df, [key, *keep], tokens)
+    sums = token_buckets(rows, buckets).groupBy(key, *keep, "bucket").agg(F.count("*").alias("n"))
     return sums.groupBy(key, *keep).agg(
         F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("hist")
     )
@@ -85,19 +85,11 @@ def unordered_pairs(hist: Column) -> Column:
     return F.filter(pairs, lambda p: p["n"] > 0)
 
 
-def ordered_pairs(hist: Column) -> Column:
-    """Token pairs (i, j), i = j included, of one row as (b1, b2, count)."""
-    return F.flatten(
-        F.transform(
-            hist,
-            lambda x: F.transform(
-                hist,
-                lambda y: F.struct(
-                    x["bucket"].alias("b1"), y["bucket"].alias("b2"), (x["n"] * y["n"]).alias("n")
-                ),
-            ),
-        )
-    )
+def ordered_pairs(hist: DataFrame, keep: list[str]) -> DataFrame:
+    """Token pairs (i, j), i = j included, of every row with a ``hist`` as (keep, b1, b2, n); no array of pairs is made."""
+    first = hist.select(*keep, "hist", F.explode("hist").alias("x"))
+    both = first.select(*keep, "x", F.explode("hist").alias("y"))
+    return both.select(*keep, F.col("x.bucket").alias("b1"), F.col("y.bucket").alias("b2"), (F.col("x.n") * F.col("y.n")).alias("n"))
 
 
 def pair_ranks(df: DataFrame, key: str, col: str, buckets: DataFrame) -> DataFrame:
