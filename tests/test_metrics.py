@@ -171,3 +171,34 @@ def test_random_guesses_have_a_digest_each(spark):
             at = (run, gold, "a" if u < 2 / 3 else "b")
             want[at] = want.get(at, 0) + 1
     assert got == want
+
+
+def test_span_report_equals_spans_of_each_row(spark):
+    """Rows of uneven length, many types, and null rows, against the spans that the column expression finds."""
+    rng = random.Random(3)
+    tag = lambda: rng.choice(["O", "O", "B-A", "I-A", "I-B", "B-B", "B-", "X"])
+    rows = [([tag() for _ in range(n)], [tag() for _ in range(n + rng.choice([0, 0, 0, 1, -1]))]) for n in [0, 1, 1, 2, *range(1, 60)]]
+    rows += [(x, list(x)) for x, _ in rows[:20]] + [(None, ["B-A"]), (["B-A"], None)]
+    df = spark.createDataFrame(rows, "g array<string>, p array<string>")
+    found = df.where("g IS NOT NULL AND p IS NOT NULL").select(M.spans(F.col("g")).alias("g"), M.spans(F.col("p")).alias("p")).collect()
+    gold, pred = ({(i, *s) for i, r in enumerate(found) for s in r[c]} for c in "gp")
+    got = {r.type: r for r in M.span_report(df, "g", "p").collect()}
+    assert set(got) == {s[1] for s in gold | pred} | {"overall"}
+    for kind, r in got.items():
+        mine = [{s for s in side if kind in ("overall", s[1])} for side in (gold, pred, gold & pred)]
+        assert (r.support, round(r.precision, 9), round(r.recall, 9)) == (len(mine[0]), round(len(mine[2]) / max(1, len(mine[1])), 9), round(len(mine[2]) / max(1, len(mine[0])), 9))
+    same = sum(a == b for g, p in rows if g is not None and p is not None for a, b in zip(g, p))
+    assert abs(got["overall"].accuracy - same / sum(len(g) for g, p in rows if g is not None and p is not None)) < 1e-12
+
+
+def test_span_report_passes_tags_in_batches(spark):
+    """Spans are found on whole batches, not position by position in nested expressions."""
+    df = spark.createDataFrame([(["B-A"], ["O"])], "g array<string>, p array<string>")
+    with_names = []
+    real = M.settle
+    M.settle = lambda t, *a: with_names.append(t) or real(t, *a)
+    try:
+        M.span_report(df, "g", "p")
+    finally:
+        M.settle = real
+    assert "MapInArrow" in with_names[0]._jdf.queryExecution().optimizedPlan().toString()
