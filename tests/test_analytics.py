@@ -178,3 +178,14 @@ def test_texts_of_bucket_histograms_are_not_shuffled(spark):
             for b2, y in row:
                 want[label, b1, b2] = want.get((label, b1, b2), 0) + x * y
     assert {(r.label, r.b1, r.b2): r.n for r in pairs} == want
+
+
+def test_token_counts_equal_both_frequencies(spark):
+    texts = ["a b a, c!", "", None, "None", "b b b", "É e 日本 a", "  ", "a"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = V.token_counts(df, "text")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # texts are tokenised once
+    rows = {r.token: (r.terms, r.docs) for r in got.collect()}
+    terms, docs = ({r.token: r.freq for r in t.collect()} for t in (V.term_freq(df, "text"), V.doc_freq(df, ["text"])))
+    assert rows == {t: (terms[t], docs[t]) for t in terms} and terms.keys() == docs.keys()

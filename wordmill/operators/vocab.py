@@ -31,6 +31,18 @@ def term_freq(df: DataFrame, col: str, tokenised: bool = False) -> DataFrame:
     return unnest(df, [], field_tokens(col, tokenised)).groupBy("token").agg(F.count("*").alias("freq"))
 
 
+def token_counts(df: DataFrame, col: str) -> DataFrame:
+    """Occurrences (``terms``) and fields (``docs``) of each token, from texts that are tokenised once.
+
+    A field's tokens are sorted, and each is met with the one before it: it counts as a field where the two differ.
+    """
+    tokens = df.select(F.sort_array(field_tokens(col)).alias("t"))
+    shifted = F.concat(F.array(F.lit(None).cast("string")), "t")
+    met = unnest(tokens, [], F.arrays_zip("t", shifted.alias("last")), "z").where("z.t IS NOT NULL")
+    new = F.coalesce(F.col("z.last") != F.col("z.t"), F.lit(True)).cast("bigint")
+    return met.groupBy(F.col("z.t").alias("token")).agg(F.count("*").alias("terms"), F.sum(new).alias("docs"))
+
+
 def frequency_order() -> list[Column]:
     """Most frequent first; ties in hash order, never alphabetically (neighbours look alike)."""
     return [F.desc("freq"), F.md5("token")]

@@ -248,7 +248,11 @@ def mask_tokens(
 
 def piece_vocabulary(df: DataFrame, col: str, min_freq: int = 5) -> DataFrame:
     """Small word-piece vocabulary of a corpus: frequent words, all characters, all continuation characters."""
-    freq = settle(term_freq(df, col), "freq")
+    return pieces_of(settle(term_freq(df, col), "freq"), min_freq)
+
+
+def pieces_of(freq: DataFrame, min_freq: int = 5) -> DataFrame:
+    """The same from settled occurrence counts."""
     chars = freq.select(F.explode_outer(F.split("token", "")).alias("token")).where("token <> ''").distinct()
     frequent = freq.where(F.col("freq") >= min_freq).select("token")
     return (

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from wordmill.functions.text import basic_tokens
 from wordmill.operators.scale import settle
-from wordmill.operators.vocab import doc_freq, term_freq
-from wordmill.operators.wordpiece import piece_vocabulary, vocab_table, wordpieces
+from wordmill.operators.vocab import doc_freq, term_freq, token_counts
+from wordmill.operators.wordpiece import piece_vocabulary, pieces_of, vocab_table, wordpieces
 from wordmill.session import load
 
 SEED = 42
@@ -77,9 +77,11 @@ def piece_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pieced_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    """Settled document vocabulary with piece counts."""
-    freq = field_frequencies(spark, folder)
-    return settle(vocab_table(freq, wordpieces(freq, piece_table(spark, folder))), "vocab")
+    """Settled document vocabulary with piece counts; one pass over the texts counts fields and occurrences."""
+    counts = settle(token_counts(documents(spark, folder), "text"), "counts")
+    pieces = settle(pieces_of(counts.select("token", F.col("terms").alias("freq"))), "pieces")
+    freq = counts.select("token", F.col("docs").alias("freq"))
+    return settle(vocab_table(freq, wordpieces(freq, pieces)), "vocab")
 
 
 def tokens(col: str = "text") -> Column:
