@@ -53,3 +53,18 @@ def test_near_pairs_equal_sql(spark):
 
 def test_near_pairs_empty(spark):
     assert W.near_pairs(spark.createDataFrame([], "token string")).collect() == []
+
+
+@pytest.mark.parametrize("limit", [0.15, 0.3, 0.8])
+@pytest.mark.parametrize("cell_words", [2, 1 << 14])
+def test_short_words_are_paired_by_forms(spark, limit, cell_words):
+    from wordmill.operators import near
+
+    rng = random.Random(4)
+    names = {"".join(rng.choice(["sch", "en", "tion", "é", "a😀"]) for _ in range(rng.randrange(1, 6))) for _ in range(90)} | {"aaaaaaa", "aaaaaa", "aabaaaa"}
+    lengths = [n for n in sorted({len(x) for x in names}) if near.by_forms(n, limit)]
+    vocab = spark.createDataFrame([(x,) for x in names], "token string")
+    got = [(r.a, r.b, r.edits, r.n) for r in near.form_pairs(vocab, lengths, limit, cell_words).collect()]
+    want = {frozenset((a, b)): edits(a, b) for a in names for b in names if a != b and max(len(a), len(b)) in lengths and edits(a, b) / max(len(a), len(b)) <= limit}
+    assert len(got) == len(want) > 0 and {frozenset(r[:2]): r[2] for r in got} == want
+    assert all(n == max(len(a), len(b)) for a, b, _, n in got)

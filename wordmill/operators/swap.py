@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wordmill.functions import fixed
 from wordmill.functions.hashing import hash_int, hash_key
 from wordmill.functions.text import norm_lev, utf8_length
+from wordmill.operators.near import CELL_WORDS, LONGEST, by_forms, form_pairs
 from wordmill.operators.scale import is_small, numbered, settle, task_count
 from wordmill.operators.vocab import coarse_buckets, freq_rank, frequency_order
 from wordmill.operators.wordpiece import wordpieces
@@ -61,7 +62,7 @@ def near_words(vocab: DataFrame, max_dist: float = THRESHOLD) -> DataFrame:
     return near.select("a", "b", norm_lev("a", "b").alias("dist")).where(F.col("dist") <= max_dist)
 
 
-def near_pairs(vocab: DataFrame, max_dist: float = THRESHOLD, task_pairs: int = TASK_PAIRS) -> DataFrame:
+def near_pairs(vocab: DataFrame, max_dist: float = THRESHOLD, task_pairs: int = TASK_PAIRS, cell_words: int = CELL_WORDS) -> DataFrame:
     """All pairs of words at most ``max_dist`` of the longer length apart, both directions and each word with itself.
 
     A longer word may have k = floor(max_dist * its length) edits. Cut the shorter one into k + 1 segments: counting the
@@ -70,13 +71,17 @@ def near_pairs(vocab: DataFrame, max_dist: float = THRESHOLD, task_pairs: int =
     text, and a hit is verified outwards from the segment: the letters of both sides first, then their edit distances within i and
     k - i. A pair is told at its first verified hit, so no pair is shuffled. Segments with more than ``task_pairs`` hits are
     split over several tasks. Rows per word grow with the square of its length.
+
+    Segments of short words are short and shared by very many; pairs whose longer word is short enough are found by ``form_pairs`` instead.
     """
     size = F.char_length("token")
     tokens = settle(vocab.select("token", size.alias("size")).where("size > 0").distinct(), "words")
     lengths = settle(tokens.select("size").distinct(), "lengths")
+    short = sorted(r["size"] for r in lengths.where(F.col("size") <= LONGEST).collect() if by_forms(r["size"], max_dist))
     k = F.floor(F.lit(max_dist) * F.col("size") + 1e-9).cast("int")
     shorter = F.explode(F.sequence(F.greatest(F.lit(1), F.col("size") - F.col("k")), "size"))
-    cuts = lengths.withColumn("k", k).where("k > 0").select(F.col("size").alias("longer"), "k", shorter.alias("size"))
+    longer_words = lengths.where(~F.col("size").isin(short)) if short else lengths
+    cuts = longer_words.withColumn("k", k).where("k > 0").select(F.col("size").alias("longer"), "k", shorter.alias("size"))
     cuts = settle(cuts.join(lengths, "size", "left_semi"), "cuts")
     each = F.explode(F.sequence(F.lit(0), "k")).alias("i")
     key = lambda at: F.concat_ws(":", "size", "k", "i", F.substring(F.col("token"), at + 1, _after() - _first()))
@@ -102,10 +107,11 @@ def near_pairs(vocab: DataFrame, max_dist: float = THRESHOLD, task_pairs: int =
             lambda q: ((j < F.col("i")) | (q < F.col("place"))) & _verified(j, q, F.col("k"), F.col("size")),
         ),
     )
-    near = verified.where(first).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("pair"))
-    return tokens.select(F.col("token").alias("a"), F.col("token").alias("b"), F.lit(0.0).alias("dist")).unionByName(
-        near.select("pair.a", "pair.b").withColumn("dist", norm_lev("a", "b"))
-    )
+    near = verified.where(first).select("a", "b", norm_lev("a", "b").alias("dist"))
+    if short:
+        near = near.unionByName(form_pairs(tokens, short, max_dist, cell_words).select("a", "b", (F.col("edits") / F.col("n")).alias("dist")))
+    both = near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("pair"), "dist")
+    return tokens.select(F.col("token").alias("a"), F.col("token").alias("b"), F.lit(0.0).alias("dist")).unionByName(both.select("pair.a", "pair.b", "dist"))
 
 
 def _first(i: Column | None = None) -> Column:
