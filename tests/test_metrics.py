@@ -202,3 +202,17 @@ def test_span_report_passes_tags_in_batches(spark):
     finally:
         M.settle = real
     assert "MapInArrow" in with_names[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_linear_steps_leave_the_rows_in_their_blocks(spark, monkeypatch):
+    data = spark.createDataFrame(
+        [(r, r % 3, [(-1, 1.0), (r % 4, 1.0 + r % 2), (100 + r, 1.0)]) for r in range(12)], "row long, label int, f array<struct<idx:bigint,x:double>>"
+    )
+    found = []
+    monkeypatch.setattr(models, "margins", None)  # a pass joins no coefficients to the rows one by one
+    for cells in (1, models.BLOCK_CELLS):
+        monkeypatch.setattr(models, "BLOCK_CELLS", cells)
+        *_, last = models.linear_steps(data, 3)
+        found.append({r.idx: [r.freq, r.w0, r.w1, r.w2] for r in last.collect()})
+    assert len(found[0]) == 17 and found[0].keys() == found[1].keys()
+    assert all(found[0][i] == pytest.approx(found[1][i]) for i in found[0]) and any(abs(r[1]) > 1e-3 for r in found[0].values())

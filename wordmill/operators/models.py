@@ -5,6 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
@@ -12,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordmill.operators.metrics import class_scores, confusion, mcc_of
-from wordmill.operators.scale import join_by_token, new_path, settle
+from wordmill.operators.scale import join_by_token, new_path, settle, task_count
 
 #: The intercept is a feature that every row has once.
 INTERCEPT = -1
 L2 = 1e-4
+#: Features, counted in every row, of one block of rows.
+BLOCK_CELLS = 250_000
 
 
 def feature_vectors(features: DataFrame, rows: DataFrame, key: str, label: str, size: int) -> DataFrame:
@@ -85,31 +91,59 @@ def linear_steps(data: DataFrame, steps: int, l2: float = L2) -> Iterator[DataFr
     """Coefficients of the multinomial linear model after each of ``steps`` passes over settled examples.
 
     The loss is the mean cross entropy plus half of ``l2`` times the squared coefficients. Coefficients are a settled table with one row for each
-    feature (w0, w1, ... by class), never on the driver: a pass joins them to the rows' features, adds up the margins of each row, and adds up
-    the gradient of each feature, partially before both shuffles. Each feature has a rate of its own, half of the sum of its counts times the
+    feature (w0, w1, ... by class), never on the driver. The rows stay where they are, in blocks: a pass sends every block the coefficients of its own
+    features, once each, adds up the margins of its rows and the gradient of its features there, and only these sums are shuffled back. Each feature
+    has a rate of its own, half of the sum of its counts times the
     sizes of their rows: by convexity of the square that bounds the curvature of the loss, so no step size is to be tuned and the loss
     falls at every plain step; the steps are accelerated by momentum (v0, v1, ... is the point the next gradient is taken at).
     """
     classes, n = class_count(data), max(1, data.count())
+    cells = data.agg(F.sum(F.size("f"))).first()[0] or 0
+    parts = max(task_count(data.sparkSession), cells // (2 * BLOCK_CELLS))
     size = F.aggregate("f", F.lit(0.0), lambda total, c: total + F.abs(c["x"]))
-    sized = data.withColumn("size", size)
-    rates = _cells(sized, "size").groupBy("idx").agg(F.count("*").alias("freq"), (F.sum(F.abs("x") * F.col("size")) / (2 * n) + l2).alias("rate"))
+    sized = data.withColumns({"size": size, "block": F.pmod(F.xxhash64("row"), F.lit(2 * parts)).cast("int")})
+    rates = _cells(sized, "size", "block").groupBy("idx").agg(
+        F.count("*").alias("freq"), (F.sum(F.abs("x") * F.col("size")) / (2 * n) + l2).alias("rate"), F.collect_set("block").alias("blocks")
+    )
     zero = [F.lit(0.0).alias(f"{c}{k}") for c in "wv" for k in range(classes)]
     coefs, pace = settle(rates.select("*", *zero), "coefs"), 1.0
-    for _ in range(steps):
-        shifted = margins(data, coefs, "v", classes).select("row", F.transform("m", lambda x: F.exp(x - F.array_max("m"))).alias("e"))
-        told = data.join(shifted, "row").withColumn("total", F.aggregate("e", F.lit(0.0), lambda total, x: total + x))
-        missed = [(F.col("e")[k] / F.col("total") - (F.col("label") == k).cast("double")).alias(f"r{k}") for k in range(classes)]
-        cells = _cells(told.select("f", *missed), *[f"r{k}" for k in range(classes)])
-        slopes = cells.groupBy("idx").agg(*[(F.sum(F.col("x") * F.col(f"r{k}")) / n).alias(f"g{k}") for k in range(classes)])
-        following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        momentum, pace = (pace - 1) / following, following
-        moved = [(F.col(f"v{k}") - (F.col(f"g{k}") + l2 * F.col(f"v{k}")) / F.col("rate")).alias(f"n{k}") for k in range(classes)]
-        before = [f"w{k}" for k in range(classes)]
-        after = coefs.join(slopes, "idx").select("idx", "freq", "rate", *before, *moved)
-        point = [(F.col(f"n{k}") + momentum * (F.col(f"n{k}") - F.col(f"w{k}"))).alias(f"v{k}") for k in range(classes)]
-        coefs = settle(after.select("idx", "freq", "rate", *[F.col(f"n{k}").alias(f"w{k}") for k in range(classes)], *point), "coefs")
-        yield coefs
+    rows = sized.select("block", "label", "f").repartition(parts, "block").sortWithinPartitions("block").persist(StorageLevel.DISK_ONLY)
+    told = "idx bigint, " + ", ".join(f"g{k} double" for k in range(classes))
+    try:
+        for _ in range(steps):
+            point = coefs.select(F.explode("blocks").alias("block"), "idx", *[f"v{k}" for k in range(classes)])
+            slopes = rows.groupBy("block").cogroup(point.groupBy("block")).applyInArrow(_block_slopes(classes), told)
+            slopes = slopes.groupBy("idx").agg(*[(F.sum(f"g{k}") / n).alias(f"g{k}") for k in range(classes)])
+            following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+            momentum, pace = (pace - 1) / following, following
+            moved = [(F.col(f"v{k}") - (F.col(f"g{k}") + l2 * F.col(f"v{k}")) / F.col("rate")).alias(f"n{k}") for k in range(classes)]
+            kept = ["idx", "freq", "rate", "blocks"]
+            after = coefs.join(slopes, "idx").select(*kept, *[f"w{k}" for k in range(classes)], *moved)
+            point = [(F.col(f"n{k}") + momentum * (F.col(f"n{k}") - F.col(f"w{k}"))).alias(f"v{k}") for k in range(classes)]
+            coefs = settle(after.select(*kept, *[F.col(f"n{k}").alias(f"w{k}") for k in range(classes)], *point), "coefs")
+            yield coefs.drop("blocks")
+    finally:
+        rows.unpersist()
+
+
+def _block_slopes(classes: int):
+    """Gradient of the cross entropy, summed over the rows of one block, for the features that come in it."""
+
+    def run(rows: pa.Table, point: pa.Table) -> pa.Table:
+        idx = point["idx"].to_numpy()
+        order = np.argsort(idx)
+        idx = idx[order]
+        lists, label = rows["f"].combine_chunks(), rows["label"].to_numpy()
+        flat = lists.flatten()
+        x, at = flat.field("x").to_numpy(), np.searchsorted(idx, flat.field("idx").to_numpy())
+        row = np.repeat(np.arange(len(label)), pc.list_value_length(lists).to_numpy())
+        m = np.stack([np.bincount(row, x * point[f"v{k}"].to_numpy()[order][at], len(label)) for k in range(classes)])
+        e = np.exp(m - m.max(axis=0))
+        missed = e / e.sum(axis=0) - (label == np.arange(classes)[:, None])
+        slopes = {f"g{k}": np.bincount(at, x * missed[k][row], len(idx)) for k in range(classes)}
+        return pa.table({"idx": idx, **slopes})
+
+    return run
 
 
 def linear_guesses(data: DataFrame, coefs: DataFrame) -> DataFrame:
