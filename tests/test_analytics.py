@@ -189,3 +189,18 @@ def test_token_counts_equal_both_frequencies(spark):
     rows = {r.token: (r.terms, r.docs) for r in got.collect()}
     terms, docs = ({r.token: r.freq for r in t.collect()} for t in (V.term_freq(df, "text"), V.doc_freq(df, ["text"])))
     assert rows == {t: (terms[t], docs[t]) for t in terms} and terms.keys() == docs.keys()
+
+
+def test_probe_rows_count_the_tokens_once(spark, monkeypatch):
+    """The table that the corpus meets has the frequencies by which its words are told common or rare."""
+    from wordmill.operators import assoc
+
+    met = []
+    monkeypatch.setattr(assoc, "join_by_token", lambda rows, table: met.append(table) or rows.join(table, "token"))
+    words = spark.createDataFrame([(1, "train", "a"), (2, "train", "a"), (3, "test", "a"), (3, "test", "b"), (3, "test", "c")], "id int, part string, token string")
+    mapping = spark.createDataFrame([("x", "a"), ("y", "b"), ("z", "d")], "src string, dst string")
+    control = spark.createDataFrame([("a", "y"), ("b", "y"), ("d", "x")], "dst string, label string")
+    got = {tuple(r) for r in assoc.probe_rows(words, ["id"], "token", "part", mapping, control).collect()}
+    assert {(r.token, r.freq) for r in met[0].collect()} == {("a", 3), ("b", 1), ("d", 0)}
+    kinds = {(1, "train"), (2, "train"), (3, "test")}
+    assert got == {(i, p, "a", k, v) for i, p in kinds for k, v in (("word", "x"), ("control", "y"))} | {(3, "test", "b", "control", "y")}

@@ -343,15 +343,18 @@ def probe_rows(df: DataFrame, keep: list[str], token: str, split: str, mapping:
     """Word-identity probe: swapped tokens with the original word and a random control word as labels.
 
     Test rows survive only with a label that the training rows have; each label is checked on its own.
-    Which labels the training rows have is settled on the vocabulary, so the corpus meets one table.
+    Which labels the training rows have is settled on the vocabulary, so the corpus meets one table; the one count of the
+    tokens that tells it also weighs them for the join.
     ``mapping`` is ``(src, dst)`` and ``control`` is ``(dst, label)``.
     """
     tokens = df.select(*keep, split, F.col(token).alias("token"))
     is_train = F.col(split) == "train"
+    counts = tokens.groupBy("token").agg(F.count("*").alias("freq"), F.max(F.when(is_train, True)).alias("seen"))
     pairs = settle(
         mapping.select(F.col("dst").alias("token"), F.col("src").alias("word"))
         .join(control.select(F.col("dst").alias("token"), F.col("label").alias("control")), "token")
-        .join(tokens.where(is_train).select("token").distinct().withColumn("seen", F.lit(True)), "token", "left"),
+        .join(counts, "token", "left")
+        .withColumn("freq", F.coalesce("freq", F.lit(0))),
         "labels",
     )
     labels = pairs.drop("seen")

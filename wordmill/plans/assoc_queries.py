@@ -234,4 +234,4 @@ def probe_rows(spark, folder):
     words = I.documents(spark, folder).select(
         "doc_id", part.alias("part"), F.explode_outer(F.array_distinct(I.tokens())).alias("token")
     ).where("token is not null")
-    return A.probe_rows(words, ["doc_id"], "token", "part", mapping, control)
+    return A.probe_rows(settle(words, "words"), ["doc_id"], "token", "part", mapping, control)
