@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +23,9 @@ from wordmill.sources.delimited import read_delimited
 SPLIT_FILES = {"train": "train.tsv", "validation": "dev.tsv", "test": "test.tsv"}
 #: Tasks that read very many small files, for each that a shuffle has.
 SMALL_FILE_TASKS = 4
+#: Files that a task reads at least, if there are so many, and bytes of them that it holds.
+TASK_FILES, HELD_BYTES = 32, 4 << 20
+_FILES = pa.schema([("store", pa.string()), ("path", pa.string())])
 GOLD_SCHEMA = T.StructType(
     [
         T.StructField("sentence", T.StringType()),
@@ -106,16 +114,86 @@ def read_polarity_lines(spark: SparkSession, folder: str, source: str = "custrev
     return parts.where(F.col("text").rlike(r"[^\s\p{Z}]"))
 
 
+def _listed(spark: SparkSession, folder: str) -> list[tuple[str, str]] | None:
+    """``pos/`` and ``neg/`` as (store, path) if tasks can list and open them themselves, else None."""
+    if re.search(r"[*?\[\]{}\\]", folder):
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    if uri.getScheme() == "file":
+        return [("", f"{uri.getPath()}/{name}") for name in ("pos", "neg")]
+    try:
+        top = pafs.FileSystem.from_uri(uri.toString())[1]
+    except (pa.ArrowException, OSError):
+        return None
+    return [(uri.toString(), f"{top}/{name}") for name in ("pos", "neg")]
+
+
+def _store(uri: str) -> pafs.FileSystem:
+    return pafs.FileSystem.from_uri(uri)[0] if uri else pafs.LocalFileSystem()
+
+
+def _names(uri: str, path: str) -> Iterator[str]:
+    """Plain files of a folder; those of a local one as they come, so that no list of them is held."""
+    if uri:
+        yield from (x.base_name for x in _store(uri).get_file_info(pafs.FileSelector(path)) if x.type == pafs.FileType.File)
+        return
+    with os.scandir(path) as found:
+        yield from (x.name for x in found if x.is_file())
+
+
+def _text_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``*.txt`` files of folders, without those that Spark takes for hidden."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            names = (x for x in _names(row["store"], row["path"]) if x.endswith(".txt") and x[0] != "." and (x[0] != "_" or "=" in x))
+            while some := list(islice(names, 10_000)):
+                yield pa.RecordBatch.from_pydict({"store": [row["store"]] * len(some), "path": [f"{row['path']}/{x}" for x in some]}, _FILES)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is in the files, some megabytes at a time."""
+    stores, held, size = {}, ([], []), 0
+
+    def told() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(held[0], pa.string()), pa.array(held[1], pa.binary())], ["path", "value"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            store = stores.get(row["store"]) or stores.setdefault(row["store"], _store(row["store"]))
+            with store.open_input_stream(row["path"], compression=None) as source:
+                value = source.read()
+            if held[0] and size + len(value) > HELD_BYTES:
+                yield told()
+                held, size = ([], []), 0
+            held[0].append(row["path"])
+            held[1].append(value)
+            size += len(value)
+    if held[0]:
+        yield told()
+
+
 def read_polarity_dirs(spark: SparkSession, folder: str, source: str = "imdb") -> DataFrame:
     """Every non-blank file below ``pos/`` and ``neg/`` is an example.
 
-    The two folders are listed as such: a pattern in the path would make each file a path of its own, looked up one by one. Spark's
+    One task lists each folder, the names are written as a table, and tasks open the files, so the driver holds no file's name, however many
+    there are. Of a store that only Spark can open, and of folders given as a pattern, the driver lists the files: the two folders as such, because a
+    pattern in the path would make each file a path of its own, looked up one by one. Spark's
     scan puts a few dozen small files into a task, so the tasks of very many files are put together.
     """
-    files = spark.read.text([f"{folder}/pos", f"{folder}/neg"], wholetext=True, pathGlobFilter="*.txt")
     most = int(SMALL_FILE_TASKS * task_count(spark))
-    files = files.coalesce(most) if files.rdd.getNumPartitions() > most else files
-    label = _polarity(F.col("_metadata.file_path"), r"/(pos|neg)/[^/]*$")
+    folders = _listed(spark, folder)
+    if folders is None:
+        files = spark.read.text([f"{folder}/pos", f"{folder}/neg"], wholetext=True, pathGlobFilter="*.txt")
+        files = files.coalesce(most) if files.rdd.getNumPartitions() > most else files
+        files = files.select("value", F.col("_metadata.file_path").alias("path"))
+    else:
+        places = spark.createDataFrame(spark.sparkContext.parallelize(folders, len(folders)), "store string, path string")
+        names = settle(places.mapInArrow(_text_files, "store string, path string"), "files")
+        tasks = max(1, min(most, names.count() // TASK_FILES))
+        files = names.repartition(tasks).mapInArrow(_contents, "path string, value binary")
+        files = files.select(F.col("value").cast("string").alias("value"), "path")
+    label = _polarity(F.col("path"), r"/(pos|neg)/[^/]*$")
     return files.select(
         F.col("value").alias("text"), label.alias("label"), F.lit(source).alias("source")
     ).where(F.col("text").rlike(r"[^\s\p{Z}]"))
