@@ -73,3 +73,24 @@ def test_presence_equals_the_stripped_text(spark):
     stripped = F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     old = F.coalesce(~stripped.isin("", "None"), F.lit(False))
     assert df.where(is_present("text") != old).collect() == []
+
+
+def test_blocks_of_rows_are_packed_with_their_features_numbered():
+    import pyarrow as pa
+
+    from wordmill.operators import models
+
+    kind = pa.list_(pa.struct([("idx", pa.int64()), ("x", pa.float64())]))
+    for scale_by, width in ((1.0, 1), (0.5, 8)):
+        cells = [[(-1, 1.0), (10**12, 255.0)], [(-1, 1.0)], [], [(7, 3.0), (-1, 1.0), (7, 1.0)]]
+        f = pa.array([[{"idx": i, "x": x * scale_by} for i, x in row] for row in cells], kind)
+        rows = pa.table({"block": pa.array([5] * 4, pa.int32()), "label": pa.array([0, 1, 2, 1], pa.int32()), "f": f})
+        packed = models._packed_block(rows)
+        assert packed["width"].to_pylist() == [width] and packed["block"].to_pylist() == [5]
+        [rates] = [b.to_pydict() for b in models._block_rates(packed.to_batches())]
+        assert rates == {"idx": [-1, 7, 10**12], "block": [5] * 3, "n": [3, 2, 1], "pull": [x * scale_by**2 for x in (256.0 + 1 + 5, 20.0, 255 * 256.0)]}
+        point = pa.table({"idx": [7, 10**12, -1], "v0": [0.0, 0.0, 0.0], "v1": [0.0, 0.0, 0.0], "v2": [0.0, 0.0, 0.0]})
+        slopes = models._block_slopes(3)(packed, point).to_pydict()
+        assert slopes["idx"] == [-1, 7, 10**12] and slopes["g1"] == pytest.approx([-1.0 * scale_by, -8 / 3 * scale_by, 255 / 3 * scale_by])
+        empty = models._packed_block(pa.table({"block": pa.array([1], pa.int32()), "label": pa.array([0], pa.int32()), "f": pa.array([[]], kind)}))
+        assert [b.num_rows for b in models._block_rates(empty.to_batches())] == [0]

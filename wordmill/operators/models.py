@@ -22,7 +22,8 @@ from wordmill.operators.scale import join_by_token, new_path, settle, task_count
 INTERCEPT = -1
 L2 = 1e-4
 #: Features, counted in every row, of one block of rows.
-BLOCK_CELLS = 250_000
+BLOCK_CELLS = 1_000_000
+_BLOCK = "block int, idx binary, label binary, size binary, at binary, width int, x binary"
 
 
 def feature_vectors(features: DataFrame, rows: DataFrame, key: str, label: str, size: int) -> DataFrame:
@@ -91,7 +92,8 @@ def linear_steps(data: DataFrame, steps: int, l2: float = L2) -> Iterator[DataFr
     """Coefficients of the multinomial linear model after each of ``steps`` passes over settled examples.
 
     The loss is the mean cross entropy plus half of ``l2`` times the squared coefficients. Coefficients are a settled table with one row for each
-    feature (w0, w1, ... by class), never on the driver. The rows stay where they are, in blocks: a pass sends every block the coefficients of its own
+    feature (w0, w1, ... by class), never on the driver. The rows stay where they are, in blocks, each packed into one row of numbers with its features
+    numbered: a pass sends every block the coefficients of its own
     features, once each, adds up the margins of its rows and the gradient of its features there, and only these sums are shuffled back. Each feature
     has a rate of its own, half of the sum of its counts times the
     sizes of their rows: by convexity of the square that bounds the curvature of the loss, so no step size is to be tuned and the loss
@@ -100,16 +102,17 @@ def linear_steps(data: DataFrame, steps: int, l2: float = L2) -> Iterator[DataFr
     classes, n = class_count(data), max(1, data.count())
     cells = data.agg(F.sum(F.size("f"))).first()[0] or 0
     parts = max(task_count(data.sparkSession), cells // (2 * BLOCK_CELLS))
-    size = F.aggregate("f", F.lit(0.0), lambda total, c: total + F.abs(c["x"]))
-    sized = data.withColumns({"size": size, "block": F.pmod(F.xxhash64("row"), F.lit(2 * parts)).cast("int")})
-    rates = _cells(sized, "size", "block").groupBy("idx").agg(
-        F.count("*").alias("freq"), (F.sum(F.abs("x") * F.col("size")) / (2 * n) + l2).alias("rate"), F.collect_set("block").alias("blocks")
+    blocks = data.select("label", "f", F.pmod(F.xxhash64("row"), F.lit(2 * parts)).cast("int").alias("block"))
+    rows = blocks.repartition(parts, "block").groupBy("block").applyInArrow(_packed_block, _BLOCK)
+    rows = rows.repartition(parts, "block").sortWithinPartitions("block").persist(StorageLevel.DISK_ONLY)
+    met = rows.mapInArrow(_block_rates, "idx bigint, block int, n bigint, pull double")
+    rates = met.groupBy("idx").agg(
+        F.sum("n").alias("freq"), (F.sum("pull") / (2 * n) + l2).alias("rate"), F.collect_list("block").alias("blocks")
     )
     zero = [F.lit(0.0).alias(f"{c}{k}") for c in "wv" for k in range(classes)]
-    coefs, pace = settle(rates.select("*", *zero), "coefs"), 1.0
-    rows = sized.select("block", "label", "f").repartition(parts, "block").sortWithinPartitions("block").persist(StorageLevel.DISK_ONLY)
     told = "idx bigint, " + ", ".join(f"g{k} double" for k in range(classes))
     try:
+        coefs, pace = settle(rates.select("*", *zero), "coefs"), 1.0
         for _ in range(steps):
             point = coefs.select(F.explode("blocks").alias("block"), "idx", *[f"v{k}" for k in range(classes)])
             slopes = rows.groupBy("block").cogroup(point.groupBy("block")).applyInArrow(_block_slopes(classes), told)
@@ -126,22 +129,51 @@ def linear_steps(data: DataFrame, steps: int, l2: float = L2) -> Iterator[DataFr
         rows.unpersist()
 
 
+def _packed_block(rows: pa.Table) -> pa.Table:
+    """The rows of one block as one: its features in order, and for all cells the place of the feature and the count, in a byte if all fit."""
+    lists = rows["f"].combine_chunks()
+    flat = lists.flatten()
+    idx, at = np.unique(flat.field("idx").to_numpy(), return_inverse=True)
+    x = flat.field("x").to_numpy()
+    if x.min(initial=0) >= 0 and x.max(initial=0) < 256 and (x == np.floor(x)).all():
+        x = x.astype(np.uint8)
+    told = {"idx": idx, "label": rows["label"].to_numpy().astype(np.int32), "size": pc.list_value_length(lists).to_numpy().astype(np.int32), "at": at.astype(np.int32)}
+    packed = {c: pa.array([v.tobytes()], pa.binary()) for c, v in told.items()}
+    return pa.table({"block": rows["block"][:1], **packed, "width": pa.array([x.itemsize], pa.int32()), "x": pa.array([x.tobytes()], pa.binary())})
+
+
+class _Block:
+    def __init__(self, packed: dict) -> None:
+        get = lambda c, kind: np.frombuffer(packed[c], kind)
+        self.idx, self.label, self.at = get("idx", np.int64), get("label", np.int32), get("at", np.int32)
+        self.x = get("x", np.uint8 if packed["width"] == 1 else np.float64)
+        self.row = np.repeat(np.arange(len(self.label)), get("size", np.int32))
+
+
+def _block_rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every feature of a block its cells and the sum of their counts times the sizes of their rows."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            packed = batch.slice(i, 1).to_pylist()[0]
+            block = _Block(packed)
+            x = np.abs(block.x.astype(float))
+            size = np.bincount(block.row, x, len(block.label))
+            n, pull = np.bincount(block.at, minlength=len(block.idx)), np.bincount(block.at, x * size[block.row], len(block.idx))
+            columns = [pa.array(block.idx), pa.array(np.full(len(n), packed["block"], np.int32)), pa.array(n.astype(np.int64)), pa.array(pull.astype(float))]
+            yield pa.RecordBatch.from_arrays(columns, ["idx", "block", "n", "pull"])
+
+
 def _block_slopes(classes: int):
     """Gradient of the cross entropy, summed over the rows of one block, for the features that come in it."""
 
     def run(rows: pa.Table, point: pa.Table) -> pa.Table:
-        idx = point["idx"].to_numpy()
-        order = np.argsort(idx)
-        idx = idx[order]
-        lists, label = rows["f"].combine_chunks(), rows["label"].to_numpy()
-        flat = lists.flatten()
-        x, at = flat.field("x").to_numpy(), np.searchsorted(idx, flat.field("idx").to_numpy())
-        row = np.repeat(np.arange(len(label)), pc.list_value_length(lists).to_numpy())
-        m = np.stack([np.bincount(row, x * point[f"v{k}"].to_numpy()[order][at], len(label)) for k in range(classes)])
+        block = _Block(rows.to_pylist()[0])
+        order = np.argsort(point["idx"].to_numpy())
+        m = np.stack([np.bincount(block.row, block.x * point[f"v{k}"].to_numpy()[order][block.at], len(block.label)) for k in range(classes)])
         e = np.exp(m - m.max(axis=0))
-        missed = e / e.sum(axis=0) - (label == np.arange(classes)[:, None])
-        slopes = {f"g{k}": np.bincount(at, x * missed[k][row], len(idx)) for k in range(classes)}
-        return pa.table({"idx": idx, **slopes})
+        missed = e / e.sum(axis=0) - (block.label == np.arange(classes)[:, None])
+        slopes = {f"g{k}": np.bincount(block.at, block.x * missed[k][block.row], len(block.idx)) for k in range(classes)}
+        return pa.table({"idx": block.idx, **slopes})
 
     return run
 
